@@ -1,11 +1,12 @@
 """Token ids in a fixed-width bit-packed file format, written in id order and read back.
 
 A token file is a Parquet dataset with a row for each block: whole documents, their ids packed with the least bits that hold
-the vocabulary, and the offsets of the documents. Block and document offsets give random access; numpy unpacks a block at
-once. Spark's committer makes the write atomic on any store, and a lost executor's task is written again."""
+the vocabulary, the lengths of the documents, and the number of ids of the part before the block. These offsets give random
+access; numpy unpacks a block at once. Spark's committer makes the write atomic on any store, and a lost executor's task is
+written again."""
 
-import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +14,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_limits, saved
+from .text import SPACE, U, byte_symbols, chunks, mix, rolling, stretch, text_bytes
 
 BLOCK_IDS = 1 << 16
-#: White space by Unicode beyond 9 to 13 and 32, and its borderline cases: a text with any of them goes to the library whole.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
-#: Byte-level BPE cuts a text before white space that follows other text, whatever stands on either side.
-_PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
-#: Pieces remembered by a worker; then it starts afresh.
-_REMEMBERED = 400_000
+#: Pieces remembered by a worker, some 200 bytes each; then it starts afresh.
+_REMEMBERED = 1_000_000
+_SIGNS = frozenset(".,;:!?")
 _encoders: dict = {}
 
 
@@ -47,9 +46,25 @@ def unpack(data: bytes, bits: int, n: int, first: int = 0) -> np.ndarray:
     return (flat.reshape(n, bits).astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(1, dtype=np.uint32).astype("<u4")
 
 
+def odd_space(data: np.ndarray) -> np.ndarray:
+    """Places of white space other than 9 to 13 and 32, and of characters that some Unicode tables count as such: 1C to 1F,
+    85, A0, 1680, 180E, 2000 to 200D, 2028, 2029, 202F, 205F, 2060, 3000, FEFF."""
+    found = (data >= 0x1C) & (data <= 0x1F)
+    if len(data) > 2:
+        a, b, c = data[:-2], data[1:-1], data[2:]
+        wide = (a == 0xE1) & ((b == 0x9A) & (c == 0x80) | (b == 0xA0) & (c == 0x8E))
+        wide |= (a == 0xE2) & (b == 0x80) & ((c <= 0x8D) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF))
+        wide |= (a == 0xE2) & (b == 0x81) & ((c == 0x9F) | (c == 0xA0)) | (a == 0xE3) & (b == 0x80) & (c == 0x80) | (a == 0xEF) & (b == 0xBB)
+        found[:-2] |= wide
+    if len(data) > 1:
+        found[:-1] |= (data[:-1] == 0xC2) & ((data[1:] == 0x85) | (data[1:] == 0xA0))
+    return np.flatnonzero(found)
+
+
 class Encoder:
-    """The library's ids for whole texts. A text is cut where the pre-tokenizer always cuts, and each distinct piece is
-    encoded by the library once in a worker's memory; `whole` is the plain path."""
+    """The library's ids for whole texts. Byte-level BPE cuts a text before white space that follows other text, whatever
+    stands on either side; so each distinct piece between such places is encoded by the library once in a worker's memory.
+    A text with odd white space goes to the library whole; `whole` is that plain path."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -57,7 +72,11 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # byte-level BPE writes bytes as visible characters: those that are visible as they are, the rest from 256 on
+        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.visible = {b: chr(b) if b in seen else chr(256 + i) for i, b in enumerate(sorted(range(256), key=lambda b: (b in seen, b)))}
+        self.known: dict[int, bytes] = {}  # by hash of the piece
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -68,21 +87,60 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        cut = [None if _ODD_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        if len(self.known) > _REMEMBERED:
-            self.known.clear()
+    def _word(self, piece: str) -> bytes | None:
+        """Ids of a space, Latin letters and perhaps one sign: the pre-tokenizer makes one token of the letters and one of
+        the sign, and the library's model is asked at once. None for other pieces."""
+        last = ""
+        if piece[-1:] in _SIGNS:
+            piece, last = piece[:-1], piece[-1]
+        if not piece[1:].isalpha() or (piece[0] != " " and not piece[0].isalpha()) or max(piece) >= "\u0250":
+            return None
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.visible))]
+        if last:
+            ids += [t.id for t in self.model.tokenize(last)]
+        return array("I", ids).tobytes()
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
+        """Ids of each text data[at[i]:at[i+1]] as little-endian unsigned 32-bit numbers."""
+        if not len(data):
+            return [b""] * (len(at) - 1)
         known = self.known
-        new = list({p for pieces in cut if pieces for p in pieces if p not in known})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                known[piece] = np.array(got.ids, "<u4").tobytes()
-        return [self.whole(t) if pieces is None else b"".join(map(known.__getitem__, pieces)) for t, pieces in zip(texts, cut, strict=True)]
-
-
-BLOCKS = "part int, block int, n_ids long, doc_ids array<long>, lengths array<int>, packed binary"
+        if len(known) > _REMEMBERED:
+            known.clear()
+        space = SPACE[data]
+        begin = np.zeros(len(data) + 1, bool)
+        begin[1:-1] = space[1:] & ~space[:-1]
+        begin[at] = True
+        start = np.flatnonzero(begin[:-1])
+        end = np.append(start[1:], len(data))
+        names, one, of = np.unique(mix(stretch(rolling(byte_symbols(data)), start, end) + (end - start).astype(U)), return_index=True, return_inverse=True)
+        names, raw = names.tolist(), data.tobytes()
+        new = [(name, i) for name, i in zip(names, one.tolist(), strict=True) if name not in known]
+        for k in range(0, len(new), 4096):
+            some = new[k : k + 4096]
+            rest = []
+            for name, i in some:
+                piece = raw[start[i] : end[i]].decode()
+                if (ids := self._word(piece)) is None:
+                    rest.append((name, piece))
+                else:
+                    known[name] = ids
+            for (name, _), got in zip(rest, self.tokenizer.encode_batch_fast([p for _, p in rest], add_special_tokens=False), strict=True):
+                known[name] = array("I", got.ids).tobytes()
+        held = list(map(known.__getitem__, names))
+        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        flat, offset = np.frombuffer(b"".join(held), "<u4"), np.cumsum(size) - size
+        n = size[of]
+        done = np.concatenate(([0], np.cumsum(n)))
+        ids = flat[np.arange(int(done[-1])) - np.repeat(done[:-1] - offset[of], n)].tobytes()
+        cut = (4 * done[np.searchsorted(start, at)]).tolist()
+        out = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        for i in np.unique(np.searchsorted(at, odd_space(data), "right") - 1):
+            out[i] = self.whole(raw[at[i] : at[i + 1]].decode())
+        return out
+
+
+BLOCKS = "part int, block int, first long, n_ids long, doc_ids array<long>, lengths array<int>, packed binary"
 
 
 def _written(path: str, end_id: int, bits: int):
@@ -92,25 +150,26 @@ def _written(path: str, end_id: int, bits: int):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, block = Encoder.of(path), TaskContext.get().partitionId(), 0
+        encoder, part, block, first = Encoder.of(path), TaskContext.get().partitionId(), 0, 0
         names, lengths, held, n = [], [], [], 0
         end = np.array([end_id], "<u4").tobytes()
 
         def closed():
             packed = pack(np.frombuffer(b"".join(held), "<u4"), bits)
-            return pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([packed], pa.binary())], ["part", "block", "n_ids", "doc_ids", "lengths", "packed"])
+            return pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([packed], pa.binary())], ["part", "block", "first", "n_ids", "doc_ids", "lengths", "packed"])
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
+            data, at = text_bytes(batch.column("text"))
             ids = batch.column("doc_id").to_pylist()
-            for i in range(0, len(texts), 64):
-                for name, got in zip(ids[i : i + 64], encoder.encode([t or "" for t in texts[i : i + 64]]), strict=True):
+            for x, y in chunks(at):
+                for name, got in zip(ids[x:y], encoder.encode(data[at[x] : at[y]], at[x : y + 1] - at[x]), strict=True):
                     names.append(name)
                     held += [got, end]
                     lengths.append(len(got) // 4 + 1)
                     n += lengths[-1]
                     if n >= BLOCK_IDS:
                         yield closed()
+                        first += n
                         names, lengths, held, n, block = [], [], [], 0, block + 1
         if names:
             yield closed()
@@ -141,11 +200,6 @@ def read_tokens(blocks: DataFrame, bits: int) -> DataFrame:
     for part, n in index:
         starts.append((part, before))
         before += n
-    from pyspark.sql import Window
-
-    earlier = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("part", "block", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("in_part")).join(F.broadcast(spark.createDataFrame(starts, "part int, before long")), "part").select("part", "block", (F.col("before") + F.col("in_part")).alias("start"))
-
     def documents(batches):
         for batch in batches:
             for row in range(batch.num_rows):
@@ -157,7 +211,8 @@ def read_tokens(blocks: DataFrame, bits: int) -> DataFrame:
                 n = len(sizes)
                 yield pa.record_batch([pa.array(names.as_py(), pa.int64()), pa.array(start.as_py() + at[:-1]), pa.array(sizes), raw, pa.array([part.as_py()] * n, pa.int32()), pa.array([block.as_py()] * n, pa.int32())], ["doc_id", "start", "n_tokens", "ids", "part", "block"])
 
-    return blocks.join(offsets, ["part", "block"]).select("part", "block", "n_ids", "doc_ids", "lengths", "packed", "start").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary, part int, block int")
+    placed = blocks.join(F.broadcast(spark.createDataFrame(starts, "part int, before long")), "part")
+    return placed.select("part", "block", "n_ids", "doc_ids", "lengths", "packed", (F.col("before") + F.col("first")).alias("start")).mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary, part int, block int")
 
 
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
