@@ -10,10 +10,10 @@ from .common import arrow_limits
 from .text import U, chunks, text_bytes, word_hashes
 
 #: The bound of the sample that is learnt from: examples of a class, and bytes of the longest text that may be one.
-EXAMPLES, EXAMPLE_BYTES = 2000, 1 << 16
+EXAMPLES, EXAMPLE_BYTES = 1000, 1 << 16
 #: A word is a dimension if the log-likelihood ratio of its examples by class is at least this: about four standard errors.
 SIGNIFICANT = 22.0
-NEIGHBOURS, BLOCK, WAVE = 11, 64, 4
+NEIGHBOURS, BLOCK, WAVE = 11, 64, 8
 THRESHOLD = 0.7
 
 
