@@ -11,8 +11,9 @@ from .text import U, chunks, text_bytes, word_hashes
 
 #: The bound of the sample that is learnt from: examples of a class, and bytes of the longest text that may be one.
 EXAMPLES, EXAMPLE_BYTES = 1000, 1 << 16
-#: A word is a dimension if the log-likelihood ratio of its examples by class is at least this: about four standard errors.
-SIGNIFICANT = 22.0
+#: A word is a dimension if the log-likelihood ratio of its examples by class is at least this: over five standard errors, as
+#: tens of thousands of words are looked at.
+SIGNIFICANT = 30.0
 NEIGHBOURS, BLOCK, WAVE = 11, 64, 8
 THRESHOLD = 0.7
 
@@ -188,6 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     picked = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, toxic int")
     rows = docs.join(F.broadcast(picked), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= EXAMPLE_BYTES).select("doc_id", "toxic", "text").mapInArrow(_bags, "doc_id long, toxic int, words binary, counts binary").collect()
     rows.sort(key=lambda r: (r.doc_id, bytes(r.words)))
+    rows = list({(bytes(r.words), bytes(r.counts)): r for r in reversed(rows)}.values())[::-1]  # copies tell nothing new
     bags = [(np.frombuffer(bytes(r.words), U), np.frombuffer(bytes(r.counts), np.int32).astype(float)) for r in rows]
     names, toxic = np.array([r.doc_id for r in rows], np.int64), np.array([r.toxic for r in rows], np.int64)
     space = Space.of(bags, toxic)
