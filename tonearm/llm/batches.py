@@ -14,7 +14,7 @@ from .common import saved
 from .text import U, byte_symbols, mix, rolling, stretch, text_bytes
 
 #: Bytes of text in a batch; a longer text is a batch of its own.
-BATCH = 8 << 20
+BATCH = 4 << 20
 
 
 def squeeze(data) -> bytes:
@@ -91,14 +91,21 @@ def corpus_batches(docs: DataFrame, id_col: str, text_col: str, size: int = BATC
     """The saved batches of `docs`, a row each. Row groups stay small, as a row holds megabytes."""
     spark = docs.sparkSession
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
-    return saved(narrow.mapInArrow(_batched(size), TABLE), "batches", {"parquet.block.size": str(24 << 20), "compression": "none"})
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return saved(narrow.mapInArrow(_batched(size), TABLE), "batches", {"parquet.block.size": str(8 << 20), "compression": "none"})
 
 
-def partitions_for(batches: DataFrame, most: int = 1 << 14) -> tuple[int, int]:
-    """(partitions, batches): a power of two about the number of batches."""
-    n = max(1, batches.select("batch").count())
-    return min(most, 1 << max(0, (n - 1).bit_length())), n
+def partitions_for(batches: DataFrame, each: int = 2, most: int = 1 << 14) -> int:
+    """Hash partitions, a power of two: about one for `each` batches."""
+    n = max(1, -(-batches.select("batch").count() // each))
+    return min(most, 1 << max(0, (n - 1).bit_length()))
+
+
+def rows_of(batches):
+    """The rows of Arrow batches as dictionaries, one at a time: a row may hold megabytes."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
 def parts_of(keys: np.ndarray, partitions: int) -> np.ndarray:
@@ -112,13 +119,12 @@ def parts_of(keys: np.ndarray, partitions: int) -> np.ndarray:
 def grouped(batches, key: str):
     """Streams rows sorted by `key` as (value, rows of that value)."""
     value, rows = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if rows and row[key] != value:
-                yield value, rows
-                rows = []
-            value = row[key]
-            rows.append(row)
+    for row in rows_of(batches):
+        if rows and row[key] != value:
+            yield value, rows
+            rows = []
+        value = row[key]
+        rows.append(row)
     if rows:
         yield value, rows
 

@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import Batch, answered, corpus_batches, grouped, pack, pack_sorted, partitions_for, parts_of, unpack, unpack_sorted
+from .batches import Batch, answered, corpus_batches, grouped, pack, pack_sorted, partitions_for, parts_of, rows_of, unpack, unpack_sorted
 from .common import arrow_limits, released, saved
-from .text import U, mix, word_hashes
+from .text import U, chunks, mix, word_hashes
 
 #: Factor of a step from pairs to words, and what an unseen word counts as.
 BACKOFF, UNSEEN = 0.4, 0.5
@@ -22,7 +22,12 @@ SCORES = "doc_id long, n_words long, n_pairs_seen long, score double, mean_score
 
 def ngrams(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys of the words, keys of the pairs (of each word with the one before it in its text), and words before each text."""
-    hashes, first = word_hashes(batch.data, batch.offsets)
+    parts, counts = [np.zeros(0, U)], [np.zeros(1, np.int64)]
+    for a, b in chunks(batch.offsets, 1 << 19):
+        some, first = word_hashes(batch.data[batch.offsets[a] : batch.offsets[b]], batch.offsets[a : b + 1] - batch.offsets[a])
+        parts.append(some)
+        counts.append(np.diff(first))
+    hashes, first = np.concatenate(parts), np.cumsum(np.concatenate(counts))
     words = mix(hashes, 11)
     pairs = mix(hashes[:-1] * U(0x9E3779B97F4A7C15) + mix(hashes[1:], 13), 12) if len(hashes) else hashes
     return words, pairs, first
@@ -37,14 +42,13 @@ def _inside(first: np.ndarray) -> np.ndarray:
 
 def _requests(partitions: int):
     def run(batches):
-        for arrow in batches:
-            for row in arrow.to_pylist():
-                words, pairs, first = ngrams(Batch.of(row))
-                at = _inside(first)
-                keys, counts = np.unique(np.concatenate((words, pairs[at - 1])), return_counts=True)
-                cut = parts_of(keys, partitions)
-                some = [p for p in range(partitions) if cut[p + 1] > cut[p]]
-                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([pack_sorted(keys[cut[p] : cut[p + 1]]) for p in some], pa.binary()), pa.array([pack(counts[cut[p] : cut[p + 1]].astype(U)) for p in some], pa.binary())], ["part", "batch", "keys", "counts"])
+        for row in rows_of(batches):
+            words, pairs, first = ngrams(Batch.of(row))
+            at = _inside(first)
+            keys, counts = np.unique(np.concatenate((words, pairs[at - 1])), return_counts=True)
+            cut = parts_of(keys, partitions)
+            some = [p for p in range(partitions) if cut[p + 1] > cut[p]]
+            yield pa.record_batch([pa.array(some, pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([pack_sorted(keys[cut[p] : cut[p + 1]]) for p in some], pa.binary()), pa.array([pack(counts[cut[p] : cut[p + 1]].astype(U)) for p in some], pa.binary())], ["part", "batch", "keys", "counts"])
 
     return run
 
@@ -88,26 +92,23 @@ def score_batch(batch: Batch, totals: np.ndarray, corpus: int):
 def _scores(corpus: int):
     def run(batches):
         answers: list = []
-        for arrow in batches:
-            for row in arrow.to_pylist():
-                if row["texts"] is None:
-                    answers.append(unpack(row["answer"]).astype(np.int64))
-                    continue
-                own = Batch.of(row)
-                totals = np.concatenate(answers) if answers else np.zeros(0, np.int64)
-                answers = []
-                sizes, seen, score = score_batch(own, totals, corpus)
-                mean = np.divide(score, sizes, out=np.zeros(len(sizes)), where=sizes > 0)
-                yield pa.record_batch([pa.array(own.ids, pa.int64()), pa.array(sizes), pa.array(seen.astype(np.int64)), pa.array(score), pa.array(mean, mask=sizes == 0)], ["doc_id", "n_words", "n_pairs_seen", "score", "mean_score"])
+        for row in rows_of(batches):
+            if row["texts"] is None:
+                answers.append(unpack(row["answer"]).astype(np.int64))
+                continue
+            own = Batch.of(row)
+            totals = np.concatenate(answers) if answers else np.zeros(0, np.int64)
+            answers = []
+            sizes, seen, score = score_batch(own, totals, corpus)
+            mean = np.divide(score, sizes, out=np.zeros(len(sizes)), where=sizes > 0)
+            yield pa.record_batch([pa.array(own.ids, pa.int64()), pa.array(sizes), pa.array(seen.astype(np.int64)), pa.array(score), pa.array(mean, mask=sizes == 0)], ["doc_id", "n_words", "n_pairs_seen", "score", "mean_score"])
 
     return run
 
 
 def _words(batches):
-    for arrow in batches:
-        for row in arrow.to_pylist():
-            own = Batch.of(row)
-            yield pa.record_batch([pa.array([int(word_hashes(own.data, own.offsets)[1][-1])], pa.int64())], ["n"])
+    for row in rows_of(batches):
+        yield pa.record_batch([pa.array([int(ngrams(Batch.of(row))[2][-1])], pa.int64())], ["n"])
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -121,7 +122,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     arrow_limits(spark)
     batches = corpus_batches(docs, id_col, text_col)
-    partitions, n = partitions_for(batches)
+    partitions = partitions_for(batches)
     corpus = batches.mapInArrow(_words, "n long").agg(F.sum("n")).first()[0] or 0
     requests = batches.mapInArrow(_requests(partitions), REQUESTS)
     answers = saved(requests.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_totals, ANSWERS), "answers", {"compression": "none"})
