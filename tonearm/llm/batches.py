@@ -122,7 +122,7 @@ def grouped(batches, key: str):
     for row in rows_of(batches):
         if rows and row[key] != value:
             yield value, rows
-            rows = []
+            rows = []  # the receiver may have emptied its list
         value = row[key]
         rows.append(row)
     if rows:

@@ -14,18 +14,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import BATCH, Batch, answered, corpus_batches, expand, grouped, pack, pack_sorted, partitions_for, parts_of, squeeze, unpack, unpack_sorted
+from .batches import Batch, answered, corpus_batches, expand, grouped, pack, pack_sorted, partitions_for, parts_of, rows_of, squeeze, unpack, unpack_sorted
 from .common import arrow_limits, released, saved
 from .text import U, byte_symbols, chunks, mix, rolling, stretch
 
 WINDOW, K = 100, 40
+#: Bytes of text in a batch: each byte may need some eighty of memory.
+BATCH = 2 << 20
 SPAN = WINDOW - K + 1
 #: Windows of one run that travel together, and batches that may hold a digit before its windows are dealt singly.
 RUN, HOT = 64, 64
 
 REQUESTS = "part int, batch long, keys binary"
 ANSWERS = "batch long, part int, answer binary"
-ENTRIES = "part int, batch long, runs binary, order binary, texts binary"
+ENTRIES = "part int, batch long, runs binary, order binary, texts binary, singles binary"
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -69,7 +71,7 @@ class Windows:
             stop = np.flatnonzero(inside & ~np.append(inside[1:] & ~new[1:], False)) + 1
             starts.append(first + base)
             ends.append(stop + base)
-            digits.append(digit[first])
+            digits.append(mix(digit[first], 5))  # least values crowd low; partitions are ranges of keys
             # a run repeats a window only if its digit stands at two places: then it outlives the window that begins with one
             led = np.concatenate(([0], np.cumsum(grams[: len(digit)] == digit)))
             inner.append(led[stop - 1] > led[first])
@@ -110,12 +112,11 @@ def later(hashes: np.ndarray) -> np.ndarray:
 
 def _requests(partitions: int):
     def run(batches):
-        for arrow in batches:
-            for row in arrow.to_pylist():
-                keys = np.unique(Windows(Batch.of(row)).digit)
-                cut = parts_of(keys, partitions)
-                some = [p for p in range(partitions) if cut[p + 1] > cut[p]]
-                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([pack_sorted(keys[cut[p] : cut[p + 1]]) for p in some], pa.binary())], ["part", "batch", "keys"])
+        for row in rows_of(batches):
+            keys = np.unique(Windows(Batch.of(row)).digit)
+            cut = parts_of(keys, partitions)
+            some = [p for p in range(partitions) if cut[p + 1] > cut[p]]
+            yield pa.record_batch([pa.array(some, pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([pack_sorted(keys[cut[p] : cut[p + 1]]) for p in some], pa.binary())], ["part", "batch", "keys"])
 
     return run
 
@@ -148,14 +149,17 @@ class Local:
         self.asked = np.flatnonzero(lead)
         group = np.cumsum(lead) - 1
         self.size = np.bincount(group[ask], minlength=len(self.asked)).astype(np.int64)
+        self.single = hot[self.asked]
         self.digit = np.where(hot, self.hash, w.digit[runs[run]])[self.asked] if len(run) else np.zeros(0, U)
         # by digit, so that a partition's entries are a slice; then by place
         order = np.lexsort((self.start[self.asked], self.digit)) if len(self.asked) else np.zeros(0, np.int64)
-        self.asked, self.size, self.digit = self.asked[order], self.size[order], self.digit[order]
+        self.asked, self.size, self.digit, self.single = self.asked[order], self.size[order], self.digit[order], self.single[order]
 
     def entry_texts(self, a: int, b: int) -> bytes:
-        start = self.start[self.asked[a:b]]
-        length = self.size[a:b] + WINDOW - 1
+        """The bytes under the runs among entries a to b; single windows go by their hash alone."""
+        run = np.flatnonzero(~self.single[a:b]) + a
+        start = self.start[self.asked[run]]
+        length = self.size[run] + WINDOW - 1
         at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length) + np.repeat(start, length)
         return self.windows.batch.data[at].tobytes()
 
@@ -170,52 +174,65 @@ LOWEST = -(1 << 63)
 def _entries(partitions: int):
     def run(batches):
         answers: list = []
-        for arrow in batches:
-            for row in arrow.to_pylist():
-                if row["texts"] is None:
-                    answers.append(row["answer"])
-                    continue
-                batch = Batch.of(row)
-                own = Local(batch, _state(answers))
-                answers = []
-                start = own.start[own.asked]
-                text = np.searchsorted(batch.offsets, start, "right") - 1
-                ids = np.array([LOWEST if x is None else x for x in batch.ids], np.int64)
-                cut = parts_of(own.digit, partitions)
-                some = [p for p in range(partitions) if cut[p + 1] > cut[p]]
-                runs, order, texts = [], [], []
-                for p in some:
-                    a, b = cut[p], cut[p + 1]
-                    runs.append(pack(own.size[a:b].astype(U)))
-                    order.append(pack(np.concatenate((ids[text[a:b]].view(U), batch.hashes[text[a:b]], (start[a:b] - batch.offsets[text[a:b]]).astype(U)))))
-                    texts.append(squeeze(own.entry_texts(a, b)))
-                yield pa.record_batch([pa.array(some, pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array(runs, pa.binary()), pa.array(order, pa.binary()), pa.array(texts, pa.binary())], ["part", "batch", "runs", "order", "texts"])
+        for row in rows_of(batches):
+            if row["texts"] is None:
+                answers.append(row["answer"])
+                continue
+            batch = Batch.of(row)
+            own = Local(batch, _state(answers))
+            answers = []
+            start = own.start[own.asked]
+            text = np.searchsorted(batch.offsets, start, "right") - 1
+            ids = np.array([LOWEST if x is None else x for x in batch.ids], np.int64)
+            cut = parts_of(own.digit, partitions)
+            some = [p for p in range(partitions) if cut[p + 1] > cut[p]]
+            runs, order, texts, singles = [], [], [], []
+            for p in some:
+                a, b = cut[p], cut[p + 1]
+                runs.append(pack(np.where(own.single[a:b], 0, own.size[a:b]).astype(U)))
+                singles.append(pack_sorted(own.digit[a:b][own.single[a:b]]))
+                order.append(pack(np.concatenate((ids[text[a:b]].view(U), batch.hashes[text[a:b]], (start[a:b] - batch.offsets[text[a:b]]).astype(U)))))
+                texts.append(squeeze(own.entry_texts(a, b)))
+            yield pa.record_batch([pa.array(some, pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array(runs, pa.binary()), pa.array(order, pa.binary()), pa.array(texts, pa.binary()), pa.array(singles, pa.binary())], ["part", "batch", "runs", "order", "texts", "singles"])
 
     return run
 
 
+def _run_hashes(size: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Hashes of the windows of runs whose bytes follow one another."""
+    at = np.concatenate(([0], np.cumsum(size + WINDOW - 1)))
+    out = [np.zeros(0, U)]
+    for a, b in chunks(at, 1 << 19):
+        n = size[a:b]
+        start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[a:b] - at[a], n)
+        out.append(mix(stretch(rolling(byte_symbols(data[at[a] : at[b]])), start, start + WINDOW), 77))
+    return np.concatenate(out)
+
+
 def _ordered(batches):
     """Rows sorted by part: which windows of each entry an earlier text holds, a bit each, least first."""
     for part, rows in grouped(batches, "part"):
-        size = [unpack(r["runs"]).astype(np.int64) for r in rows]
-        order = [unpack(r["order"]).reshape(3, -1) for r in rows]
-        source = np.repeat(np.arange(len(rows)), [len(x) for x in size])
-        size, keys = np.concatenate(size), np.concatenate(order, 1)
-        data = np.frombuffer(b"".join(expand(r["texts"]) for r in rows), np.uint8)
-        base = np.concatenate(([0], np.cumsum(size + WINDOW - 1)))[:-1]
+        sizes = [unpack(r["runs"]).astype(np.int64) for r in rows]
+        source = np.repeat(np.arange(len(rows)), [len(x) for x in sizes])
+        size = np.concatenate(sizes)
+        keys = np.concatenate([unpack(r["order"]).reshape(3, -1) for r in rows], 1)
+        single = size == 0
+        n = np.maximum(size, 1)
+        hashes = np.empty(int(n.sum()), U)
+        alone = np.repeat(single, n)
+        hashes[alone] = np.concatenate([unpack_sorted(r["singles"]) for r in rows])
+        hashes[~alone] = np.concatenate([_run_hashes(x[x > 0], np.frombuffer(expand(r["texts"]), np.uint8)) for x, r in zip(sizes, rows, strict=True)])
+        names = [r["batch"] for r in rows]
+        rows.clear()
         rank = np.lexsort((source, keys[2], keys[1], keys[0].view(np.int64)))
-        n = size[rank]
+        entry = np.repeat(rank, n[rank])
         first = np.cumsum(n) - n
-        inner = np.arange(int(n.sum())) - np.repeat(first, n)
-        start = inner + np.repeat(base[rank], n)
-        hashes = np.empty(len(start), U)
-        prefix = rolling(byte_symbols(data))
-        hashes[:] = stretch(prefix, start, start + WINDOW)
-        hit = later(mix(hashes, 77))
+        inner = np.arange(len(entry)) - np.repeat(np.cumsum(n[rank]) - n[rank], n[rank])
+        hit = later(hashes[first[entry] + inner])
         mask = np.zeros(len(size), U)
-        np.bitwise_or.at(mask, np.repeat(rank, n)[hit], U(1) << inner[hit].astype(U))
-        cut = np.searchsorted(source, np.arange(len(rows) + 1))
-        yield pa.record_batch([pa.array([r["batch"] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int32()), pa.array([pack(mask[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["batch", "part", "answer"])
+        np.bitwise_or.at(mask, entry[hit], U(1) << inner[hit].astype(U))
+        cut = np.searchsorted(source, np.arange(source[-1] + 2 if len(source) else 1))
+        yield pa.record_batch([pa.array(names, pa.int64()), pa.array([part] * len(names), pa.int32()), pa.array([pack(mask[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["batch", "part", "answer"])
 
 
 def removed_spans(batch: Batch, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,35 +248,34 @@ def removed_spans(batch: Batch, starts: np.ndarray) -> tuple[np.ndarray, np.ndar
 def _removed(batches):
     states: list = []
     masks: list = []
-    for arrow in batches:
-        for row in arrow.to_pylist():
-            if row["texts"] is None:
-                (states if row["part"] >= 0 else masks).append((row["part"], row["answer"]))
-                continue
-            batch = Batch.of(row)
-            own = Local(batch, _state([x for _, x in states]))
-            mask = np.concatenate([unpack(x) for _, x in masks]) if masks else np.zeros(0, U)
-            states, masks = [], []
-            gone = own.later.copy()
-            if len(mask):
-                inner = np.arange(int(own.size.sum())) - np.repeat(np.cumsum(own.size) - own.size, own.size)
-                at = inner + np.repeat(own.asked, own.size)
-                gone[at] |= (np.repeat(mask, own.size) >> inner.astype(U)) & U(1) > 0
-            first, end = removed_spans(batch, np.sort(own.start[gone]))
-            text = np.searchsorted(batch.offsets, first, "right") - 1
-            n = len(batch.ids)
-            lost = np.bincount(text, end - first, n).astype(np.int64)
-            spans = np.bincount(text, minlength=n).astype(np.int64)
-            cut = np.searchsorted(text, np.arange(n + 1))
-            kept = []
-            for i in range(n):
-                digest, at = hashlib.sha256(), int(batch.offsets[i])
-                for a, b in zip(first[cut[i] : cut[i + 1]].tolist(), end[cut[i] : cut[i + 1]].tolist(), strict=True):
-                    digest.update(batch.data[at:a])
-                    at = b
-                digest.update(batch.data[at : batch.offsets[i + 1]])
-                kept.append(digest.hexdigest())
-            yield pa.record_batch([pa.array(batch.ids, pa.int64()), pa.array(np.diff(batch.offsets)), pa.array(lost), pa.array(spans), pa.array(kept)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+    for row in rows_of(batches):
+        if row["texts"] is None:
+            (states if row["part"] >= 0 else masks).append((row["part"], row["answer"]))
+            continue
+        batch = Batch.of(row)
+        own = Local(batch, _state([x for _, x in states]))
+        mask = np.concatenate([unpack(x) for _, x in masks]) if masks else np.zeros(0, U)
+        states, masks = [], []
+        gone = own.later.copy()
+        if len(mask):
+            inner = np.arange(int(own.size.sum())) - np.repeat(np.cumsum(own.size) - own.size, own.size)
+            at = inner + np.repeat(own.asked, own.size)
+            gone[at] |= (np.repeat(mask, own.size) >> inner.astype(U)) & U(1) > 0
+        first, end = removed_spans(batch, np.sort(own.start[gone]))
+        text = np.searchsorted(batch.offsets, first, "right") - 1
+        n = len(batch.ids)
+        lost = np.bincount(text, end - first, n).astype(np.int64)
+        spans = np.bincount(text, minlength=n).astype(np.int64)
+        cut = np.searchsorted(text, np.arange(n + 1))
+        kept = []
+        for i in range(n):
+            digest, at = hashlib.sha256(), int(batch.offsets[i])
+            for a, b in zip(first[cut[i] : cut[i + 1]].tolist(), end[cut[i] : cut[i + 1]].tolist(), strict=True):
+                digest.update(batch.data[at:a])
+                at = b
+            digest.update(batch.data[at : batch.offsets[i + 1]])
+            kept.append(digest.hexdigest())
+        yield pa.record_batch([pa.array(batch.ids, pa.int64()), pa.array(np.diff(batch.offsets)), pa.array(lost), pa.array(spans), pa.array(kept)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batch: int = BATCH) -> DataFrame:
@@ -272,7 +288,7 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     arrow_limits(spark)
     batches = corpus_batches(docs, id_col, text_col, batch)
-    partitions, _ = partitions_for(batches)
+    partitions = partitions_for(batches, 4)
     requests = batches.mapInArrow(_requests(partitions), REQUESTS)
     states = saved(requests.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_repeated, ANSWERS), "states", {"compression": "none"})
     released(spark)
