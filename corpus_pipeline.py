@@ -19,10 +19,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest doc_id; one of them if that id is repeated."""
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_sha256").alias("k_sha")).distinct()
+    name = lambda sha: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), sha)
+    kept = exact_dedup.exact_duplicates(docs).where("kept").select(name(F.col("text_sha256")).alias("k_name")).distinct()
     sha = F.sha2(exact_dedup.lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256)
-    joined = docs.withColumn("k_own", sha).join(kept, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("k_own") == F.col("k_sha")))
-    one = joined.withColumn("k_row", F.row_number().over(Window.partitionBy("doc_id", "k_own").orderBy(F.lit(1))))
+    joined = docs.withColumn("k_name", name(sha)).join(kept, "k_name")
+    one = joined.withColumn("k_row", F.row_number().over(Window.partitionBy("k_name").orderBy(F.lit(1))))  # dealt by the join
     return one.where("k_row = 1").select(*docs.columns)
 
 
