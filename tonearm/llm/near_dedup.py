@@ -110,14 +110,14 @@ class _Block:
 
 
 def _outsiders(batches):
-    """Rows sorted by (hub, salt, role): the outsiders of this salt (role 0), then every member of the hub's group."""
+    """Rows sorted by (hub, salt, span, role): the outsiders of this salt (role 0), then the members of this span."""
     at, block = None, _Block()
     for batch in batches:
         out_u, out_v = [], []
-        columns = [batch.column(c).to_pylist() for c in ("hub", "salt", "role", "node", "label", "n", "bits", "novel")]
-        for hub, salt, role, node, label, n, bits, novel in zip(*columns, strict=True):
-            if at != (hub, salt):
-                at, block = (hub, salt), _Block()
+        columns = [batch.column(c).to_pylist() for c in ("hub", "salt", "span", "role", "node", "label", "n", "bits", "novel")]
+        for hub, salt, span, role, node, label, n, bits, novel in zip(*columns, strict=True):
+            if at != (hub, salt, span):
+                at, block = (hub, salt, span), _Block()
             if role == 0:
                 block.add(node, label, n, bits, novel)
             elif block.ready or block.node:
@@ -180,11 +180,12 @@ def _rest(stars: DataFrame, labels: DataFrame) -> DataFrame | None:
     own = saved(own, "grouped")
     outside = own.where("label <> hub_label")
     groups = own.groupBy("hub").agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col("label") != F.col("hub_label")).alias("out")).where("out > 0 and members > 1")
-    groups = saved(groups.select("hub", F.ceil(F.col("out") / BLOCK).cast("int").alias("blocks")), "groups")
+    groups = saved(groups.select("hub", F.ceil(F.col("out") / BLOCK).cast("int").alias("blocks"), F.ceil(F.col("members") / (4 * BLOCK)).cast("int").alias("spans")), "groups")
     if groups.isEmpty():
         return None
     keep = ["node", "label", "n", "bits", "novel"]
-    held = outside.join(groups, "hub").select("hub", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("salt"), F.lit(0).alias("role"), *keep)
-    sent = own.join(groups, "hub").select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(1).alias("role"), *keep)
-    dealt = held.union(sent).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "node")
+    span = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    held = outside.join(groups, "hub").select("hub", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("salt"), F.explode(span("spans")).alias("span"), F.lit(0).alias("role"), *keep)
+    sent = own.join(groups, "hub").select("hub", F.explode(span("blocks")).alias("salt"), F.expr("cast(pmod(xxhash64(node, 1), spans) as int)").alias("span"), F.lit(1).alias("role"), *keep)
+    dealt = held.union(sent).repartition("hub", "salt", "span").sortWithinPartitions("hub", "salt", "span", "role", "node")
     return saved(dealt.mapInArrow(_outsiders, "u long, v long").distinct(), "rest")
