@@ -69,8 +69,10 @@ def both_hashes(text: bytes, cut: int, tail: bytes) -> tuple[np.ndarray, np.ndar
 
 def fingerprints(sets: list[np.ndarray]) -> np.ndarray:
     """A row of COORDINATES bytes for each set; an empty set has bytes of 255."""
-    first = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int64)
-    return (mix(sketch(np.concatenate(sets), first, COORDINATES)) >> U(56)).astype(np.uint8) if first[-1] else np.full((len(sets), COORDINATES), 255, np.uint8)
+    size = np.array([len(x) for x in sets], np.int64)
+    out = (mix(sketch(np.concatenate(sets), np.concatenate(([0], np.cumsum(size))), COORDINATES)) >> U(56)).astype(np.uint8)
+    out[size == 0] = 255
+    return out
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
