@@ -1,4 +1,6 @@
 """Every library query by name, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans import analysis, jobs, library
+from .plans.base import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES", "analysis", "jobs", "library"]
