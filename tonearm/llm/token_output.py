@@ -17,7 +17,7 @@ from .common import arrow_limits, saved
 from .text import SPACE, U, byte_symbols, chunks, mix, rolling, stretch, text_bytes
 
 BLOCK_IDS = 1 << 16
-#: Pieces remembered by a worker, some 200 bytes each; then it starts afresh.
+#: Pieces remembered by a worker, some 200 bytes each. At half of them the older half is dropped, but for what is used again.
 _REMEMBERED = 1_000_000
 _SIGNS = frozenset(".,;:!?")
 _encoders: dict = {}
@@ -77,6 +77,7 @@ class Encoder:
         seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.visible = {b: chr(b) if b in seen else chr(256 + i) for i, b in enumerate(sorted(range(256), key=lambda b: (b in seen, b)))}
         self.known: dict[int, bytes] = {}  # by hash of the piece
+        self.older: dict[int, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -104,9 +105,9 @@ class Encoder:
         """Ids of each text data[at[i]:at[i+1]] as little-endian unsigned 32-bit numbers."""
         if not len(data):
             return [b""] * (len(at) - 1)
-        known = self.known
-        if len(known) > _REMEMBERED:
-            known.clear()
+        if len(self.known) > _REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
         space = SPACE[data]
         begin = np.zeros(len(data) + 1, bool)
         begin[1:-1] = space[1:] & ~space[:-1]
@@ -115,7 +116,13 @@ class Encoder:
         end = np.append(start[1:], len(data))
         names, one, of = np.unique(mix(stretch(rolling(byte_symbols(data)), start, end) + (end - start).astype(U)), return_index=True, return_inverse=True)
         names, raw = names.tolist(), data.tobytes()
-        new = [(name, i) for name, i in zip(names, one.tolist(), strict=True) if name not in known]
+        new = []
+        for name, i in zip(names, one.tolist(), strict=True):
+            if name not in known:
+                if (ids := older.get(name)) is None:
+                    new.append((name, i))
+                else:
+                    known[name] = ids
         for k in range(0, len(new), 4096):
             some = new[k : k + 4096]
             rest = []
