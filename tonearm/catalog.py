@@ -1,6 +1,6 @@
 """Every library query by name, with the SQL that gives the same rows."""
 
-from .plans import analysis, jobs, library
+from .plans import analysis, jobs, library, surface
 from .plans.base import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "analysis", "jobs", "library"]
+__all__ = ["ORACLE", "QUERIES", "analysis", "jobs", "library", "surface"]
