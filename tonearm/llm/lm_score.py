@@ -126,5 +126,6 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     corpus = batches.mapInArrow(_words, "n long").agg(F.sum("n")).first()[0] or 0
     requests = batches.mapInArrow(_requests(partitions), REQUESTS)
     answers = saved(requests.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_totals, ANSWERS), "answers", {"compression": "none"})
+    del requests  # so that its shuffle files can go
     released(spark)
     return answered(batches, answers).mapInArrow(_scores(corpus), SCORES)
