@@ -291,9 +291,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     partitions = partitions_for(batches, 4)
     requests = batches.mapInArrow(_requests(partitions), REQUESTS)
     states = saved(requests.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_repeated, ANSWERS), "states", {"compression": "none"})
+    del requests  # so that its shuffle files can go
     released(spark)
     entries = answered(batches, states).mapInArrow(_entries(partitions), ENTRIES)
     masks = saved(entries.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_ordered, ANSWERS), "masks", {"compression": "none"})
+    del entries
     released(spark)
     both = states.union(masks.select("batch", (F.col("part") - partitions).alias("part"), "answer"))
     return answered(batches, both).mapInArrow(_removed, OUT)
