@@ -88,3 +88,38 @@ def test_paths_stay_inside():
     for bad in ("../secret", "/etc", "", "a//b", "a/./b"):
         with pytest.raises(ValueError):
             inside(bad)
+
+
+def test_color_waveforms():
+    from tonearm.functions import tags as A
+
+    rate = 44100
+    x = np.sin(np.arange(rate) * 2 * np.pi * 100 / rate).astype(np.float32)
+    color, detail = G.color_preview(x, rate), G.detail(x, rate, 1.0)
+    assert color.shape == (1200, 6) and (color[:, 3] > color[:, 4]).mean() > 0.9
+    assert detail.shape == (150, 4) and detail[:140, 0].min() >= 4 and detail[:, 2].max() <= 1
+    assert not G.color_preview(x[:100], rate).any() and not G.detail(np.zeros(0), rate, 0).any() and len(G.detail(np.zeros(0), rate, 0)) == 1
+    late = G.detail(x, rate, 2.0)
+    assert not late[:150].any() and late[150:].any()
+    files = A.tag_files("/Contents/test.mp3", G.beat_grid(128, 0, 1000), G.preview(x), color, detail, 10_000, rate)
+    for name, tags in (("DAT", "PPTH PVBR PQTZ PWAV PWV2 PCOB PCOB"), ("EXT", "PPTH PWV3 PCOB PCOB PCO2 PCO2 PWV5 PWV4"), ("2EX", "PPTH PWV7 PWV6 PWVC")):
+        raw = files[name]
+        assert raw[:4] == b"PMAI" and struct.unpack_from(">II", raw, 4) == (28, len(raw))
+        at, found = 28, []
+        while at < len(raw):
+            found.append(raw[at : at + 4].decode())
+            at += struct.unpack_from(">I", raw, at + 8)[0]
+        assert at == len(raw) and " ".join(found) == tags
+    assert len(A.seek_section(10_000, rate)) == 1620 and len(A.gains()) == 20
+
+
+def test_detail_sections():
+    from tonearm.functions import tags as A
+
+    d = np.array([[5, 3, 7, 20], [1, 1, 1, 1]], np.uint8)
+    mono = A.detail_mono(d)
+    assert struct.unpack_from(">II", mono, 4) == (24, 26) and struct.unpack_from(">II", mono, 12) == (1, 2)
+    assert struct.unpack_from(">H", A.detail_color(d), 24)[0] == 45008
+    assert list(A.detail_bands(d)[24:27]) == [58, 35, 81]
+    plain, extended = A.no_cues(1)
+    assert len(plain) == 24 and len(extended) == 20

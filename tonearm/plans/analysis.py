@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import binary as B
 from ..functions import signal as G
+from ..functions import tags as A
 from ..sources import tables as S
 from .base import query
 
@@ -48,3 +49,20 @@ def content_identity(spark, d):
         return data.map(B.content_hash)
 
     return S.table(spark, d, "documents").select("doc_id", identity(F.col("text").cast("binary")).alias("hash"))
+
+
+@query()
+def tag_files(spark, d):
+    def run(batches):
+        import numpy as np
+
+        for pdf in batches:
+            rows = []
+            for vec, clip in zip(pdf["vec_id"], pdf["embedding"], strict=True):
+                x = np.repeat(np.asarray(clip, np.float32), 40)  # long enough for every waveform
+                seconds = len(x) / RATE
+                files = A.tag_files(f"/Contents/{vec}.wav", G.beat_grid(G.tempo(x, RATE), G.first_beat_ms(x, RATE), seconds * 1000), G.preview(x), G.color_preview(x, RATE), G.detail(x, RATE, seconds), 2 * len(x), len(x))
+                rows += [(vec, name, raw) for name, raw in files.items()]
+            yield pd.DataFrame(rows, columns=["vec_id", "extension", "content"])
+
+    return S.table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, extension string, content binary")
