@@ -123,3 +123,20 @@ def test_detail_sections():
     assert list(A.detail_bands(d)[24:27]) == [58, 35, 81]
     plain, extended = A.no_cues(1)
     assert len(plain) == 24 and len(extended) == 20
+
+
+def test_page_files():
+    from tonearm.functions import pagefile as P
+
+    left = bytearray(2 * 4096)
+    right = bytearray(left)
+    assert P.diff(left, right)["identical"]
+    left[4096 + 0x1B], right[4096 + 0x1B] = 0x34, 0x24
+    assert P.diff(left, right)["runs"] == [(1, 0x1B, 0x1B, "flags")]
+    right[4096 + 0x1D], right[4096 + 0x40], right[5] = 1, 1, 1
+    assert P.diff(left, right)["runs"] == [(0, 5, 5, "fh:page_size"), (1, 0x1B, 0x1D, "flags"), (1, 0x40, 0x40, "heap/row-data")]
+    assert P.diff(bytes(3 * 4096), bytes(2 * 4096))["only_left"] == [2]
+    header = bytearray(4096)
+    struct.pack_into("<III", header, 4, 4096, 0, 9)
+    assert P.check(bytes(header)) == ([], []) and P.check(bytes(header), phantom=False)[0]
+    assert all(P.check(bad)[0] for bad in (b"", bytes(100), bytes(4097), bytes(4096)))
