@@ -140,3 +140,63 @@ def test_page_files():
     struct.pack_into("<III", header, 4, 4096, 0, 9)
     assert P.check(bytes(header)) == ([], []) and P.check(bytes(header), phantom=False)[0]
     assert all(P.check(bad)[0] for bad in (b"", bytes(100), bytes(4097), bytes(4096)))
+
+
+def device_track(n, **more):
+    return {"id": n, "title": f"Track {n}", "artist": "Artist A", "album": "Test Album", "genre": "Electronic", "key": "Am", "file_path": f"Contents/Track {n}.mp3", "analyze_path": f"PIONEER/USBANLZ/P000/{n:08X}/ANLZ0000.DAT", "sample_rate": 44100, "bit_depth": 16, "bitrate": 320, "bpm": 128.0, "duration_secs": 180.0, "file_size": 5_000_000, "year": 2024, "track_number": 1} | more
+
+
+def test_page_writer():
+    from tonearm.functions import pagefile as P
+    from tonearm.functions import pagewriter as W
+
+    tracks = [device_track(n, artist=f"Artist {n % 7}", album="x" * 300 if n % 2 else "", label=None) for n in range(1, 101)]
+    lists = [{"id": 1, "parent_id": 0, "name": "Crates", "is_folder": True, "track_ids": []}, {"id": 2, "parent_id": 1, "name": "Été", "is_folder": False, "track_ids": [1, 2, 1]}]
+    data = W.page_file(tracks, lists)
+    pages = len(data) // 4096
+    assert len(data) % 4096 == 0 and P.check(data) == ([], []) and P.check(data, phantom=False)[0]
+    counts = P.row_counts(data)
+    assert [counts[k] for k in range(20)] == [100, 1, 7, 7, 0, 1, 8, 2, 3, 0, 0, 0, 0, 0, 0, 0, 27, 22, 17, 1]
+    size, kinds, unused, count, sequence = struct.unpack_from("<5I", data, 4)
+    assert (size, kinds, count) == (4096, 20, 100)
+    pointers = [struct.unpack_from("<4I", data, 28 + 16 * k) for k in range(20)]
+    ends = []
+    for kind, spare, first, last in pointers:
+        assert data[first * 4096 + 0x1B] == 0x64 and struct.unpack_from("<I", data, first * 4096 + 4)[0] == first
+        if last > first:
+            assert spare >= pages and struct.unpack_from("<I", data, last * 4096 + 12)[0] == spare
+            ends.append(spare)
+        else:
+            assert spare == first + 1 and not any(data[spare * 4096 : spare * 4096 + 4096])
+        assert struct.unpack_from("<I", data, first * 4096 + 0x2C)[0] == (first + 1 if last > first else 0x03FFFFFF)
+    assert ends == list(range(pages, unused))
+    filled = [p for p in range(1, pages) if data[p * 4096 + 0x1B] in (0x24, 0x34)]
+    assert [struct.unpack_from("<I", data, p * 4096 + 16)[0] for p in filled] == list(range(2, sequence))
+    rows = []
+    for p in range(pointers[0][2] + 1, pointers[0][3] + 1):
+        n = data[p * 4096 + 0x18] & 0x7F
+        rows += [p * 4096 + 0x28 + struct.unpack_from("<H", data, p * 4096 + 4096 - 36 * (i // 16 + 1) + 2 * (15 - i % 16))[0] for i in range(n)]
+    assert [struct.unpack_from("<I", data, at + 72)[0] for at in rows] == list(range(1, 101))
+    at = rows[0]
+    assert struct.unpack_from("<I", data, at + 56)[0] == 12800 and struct.unpack_from("<H", data, at + 80)[0] == 2024
+    title = at + struct.unpack_from("<21H", data, at + 94)[W.TITLE]
+    assert data[title : title + 8] == B.device_string("Track 1")
+
+
+def test_device_rows():
+    from tonearm.functions import pagewriter as W
+
+    assert W.artist_row(3, "Abc") == struct.pack("<HHIBB", 0x60, 0, 3, 3, 10) + B.device_string("Abc")
+    assert W.artist_row(3, "é" * 99)[:12] == struct.pack("<HHIBBH", 0x64, 0, 3, 3, 0, 12)
+    assert W.album_row(2, "Abc", 5)[:22] == struct.pack("<HHIIIIBB", 0x80, 0, 0, 5, 2, 0, 3, 22)
+    assert W.album_row(2, "a" * 200, 5)[:24] == struct.pack("<HHIIIIBBH", 0x84, 0, 0, 5, 2, 0, 3, 0, 24)
+    assert W.column_row(7, 135, "YEAR") == bytes([7, 0, 135, 0, 144, 16, 0, 0, 250, 255, 89, 0, 69, 0, 65, 0, 82, 0, 251, 255])
+    assert len(W.SYNC_ROW) == 40 and [len(r) for r in (W.PAIR_ROWS, W.MAPPING_ROWS, W.COLUMN_NAMES)] == [22, 17, 27]
+    with pytest.raises(ValueError):
+        W.page_file([device_track(1, comment="c" * 4000)])
+
+
+def test_rows_fill_a_page_to_the_last_group():
+    small = B.packed_pages([b"x" * 8] * 1000)
+    assert len(small[0]) == (4096 - 0x28 - 36 * (len(small[0]) // 16 + 1)) // 8 and sum(map(len, small)) == 1000
+    assert [r for page in small for _, r in page] == [b"x" * 8] * 1000

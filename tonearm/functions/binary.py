@@ -75,18 +75,21 @@ def seek_offsets(size: int) -> list[int]:
 
 
 def packed_pages(rows: list[bytes]) -> list[list[tuple[int, bytes]]]:
-    """Greedy packing of rows, each padded to four bytes, into pages: (offset in the heap, row) by page. The heap grows from
-    the header, the row index from the page's end, a group of bytes for every 16 rows."""
+    """Greedy packing of rows into pages: (offset in the heap, row) by page. The heap grows from the header, the row index
+    from the page's end, by a group of bytes ahead of every 16 rows. Rows are padded to four bytes where that fits."""
     pages: list[list[tuple[int, bytes]]] = []
+    fits = lambda end, n: HEADER + end + ((n + 1) // GROUP_ROWS + 1) * GROUP_BYTES <= PAGE
     used, here = 0, []
     for row in rows:
-        padded = row + b"\0" * (-len(row) % 4)
-        groups = len(here) // GROUP_ROWS + 1
-        if here and HEADER + used + len(padded) + groups * GROUP_BYTES > PAGE:
+        if here and not fits(used + len(row), len(here)):
             pages.append(here)
             used, here = 0, []
-        here.append((used, padded))
-        used += len(padded)
+        if not fits(used + len(row), len(here)):
+            raise ValueError(f"a row of {len(row)} bytes is longer than a page")
+        padding = -(used + len(row)) % 4
+        padding = padding if fits(used + len(row) + padding, len(here) + 1) else 0
+        here.append((used, row + b"\0" * padding))
+        used += len(here[-1][1])
     return [*pages, here] if here else pages
 
 

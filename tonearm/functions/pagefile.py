@@ -5,12 +5,14 @@ from bisect import bisect_right
 
 import numpy as np
 
-from .binary import PAGE
+from .binary import HEADER, PAGE
 
 #: First byte and name of the fields of the file header and of a page header; fixed values of the format.
 FILE_FIELDS = ((0x00, "fh:zero"), (0x04, "fh:page_size"), (0x08, "fh:num_tables"), (0x0C, "fh:next_unused_page"), (0x10, "fh:unknown"), (0x14, "fh:sequence"), (0x18, "fh:gap"), (0x1C, "fh:table_pointers"))
 PAGE_FIELDS = ((0x00, "zero"), (0x04, "page_index"), (0x08, "page_type"), (0x0C, "next_page"), (0x10, "sequence"), (0x14, "unknown"), (0x18, "packed_counts"), (0x1B, "flags"), (0x1C, "free_size"), (0x1E, "used_size"), (0x20, "page_hdr_tail"), (0x28, "heap/row-data"))
 MERGED, TABLES = 3, 20
+#: Flags of empty, data and index pages; fixed values of the format.
+FLAGS = (0x00, 0x24, 0x34, 0x64)
 
 
 def field(page: int, offset: int) -> str:
@@ -33,7 +35,7 @@ def diff(left: bytes, right: bytes) -> dict:
 
 def check(data: bytes, phantom: bool = True) -> tuple[list[str], list[str]]:
     """(errors, warnings) of a file's shape and header. With `phantom`, pages that the header counts past the end are those
-    set aside for growth and no error."""
+    set aside for growth and no error. Empty pages carry no number."""
     if len(data) < PAGE:
         return [f"{len(data)} bytes are less than a page"], []
     if len(data) % PAGE:
@@ -46,4 +48,28 @@ def check(data: bytes, phantom: bool = True) -> tuple[list[str], list[str]]:
         kind, _, first, last = struct.unpack_from("<4I", data, 28 + 16 * i)
         if max(first, last) >= len(data) // PAGE:
             errors.append(f"table {kind} points to page {max(first, last)}")
-    return errors, [f"{tables} tables"] if tables > TABLES else []
+    warnings = [f"{tables} tables"] if tables > TABLES else []
+    for page in range(1, len(data) // PAGE):
+        number, flags, used = struct.unpack_from("<I19xB2xH", data, page * PAGE + 4)
+        if flags not in FLAGS:
+            warnings.append(f"page {page}: flags {flags:#04x}")
+        elif used > PAGE - HEADER:
+            warnings.append(f"page {page}: {used} bytes used")
+        elif flags and number != page:
+            warnings.append(f"page {page}: numbered {number}")
+    return errors, warnings
+
+
+def row_counts(data: bytes) -> dict[int, int]:
+    """Rows of each kind of table, by its chain from the index page on; a chain ends past the file or at a page seen before."""
+    counts = {}
+    for i in range(min(struct.unpack_from("<I", data, 8)[0], (PAGE - 28) // 16)):
+        kind, _, page, last = struct.unpack_from("<4I", data, 28 + 16 * i)
+        counts[kind], seen = 0, {page}
+        page = page + 1 if last > page else PAGE * len(data)
+        while page < len(data) // PAGE and page not in seen:
+            seen.add(page)
+            following, packed = struct.unpack_from("<I8xI", data, page * PAGE + 12)
+            counts[kind] += packed & 0x7FF
+            page = following
+    return counts
