@@ -27,3 +27,18 @@ def test_query(spark, db, name):
     assert sorted(df.columns) == sorted(want.columns)
     at = [want.columns.index(c) for c in df.columns]
     assert sorted(map(repr, rows)) == sorted(repr(tuple(r[i] for i in at)) for r in want.fetchall())
+
+
+def test_page_files_by_key(spark):
+    from tonearm.functions.pagewriter import page_file
+    from tonearm.operators.device import page_files
+
+    fixed = {"analyze_path": "/a", "sample_rate": 44100, "bit_depth": 16, "bitrate": 320, "bpm": 120.5, "duration_secs": 61.0, "file_size": 9}
+    tracks = [{"device": dev, "id": i, "title": f"t{i}", "artist": f"a{i % 2}" if i % 3 else None, "file_path": f"x/{i}.mp3", **fixed} for dev in ("p", "q") for i in (3, 1, 2)]
+    lists = [{"device": "q", "id": 1, "parent_id": 0, "name": "all", "is_folder": False, "track_ids": [2, 3]}]
+    schema = "device string, id int, title string, artist string, file_path string, analyze_path string, sample_rate int, bit_depth int, bitrate int, bpm double, duration_secs double, file_size long"
+    own = spark.createDataFrame([tuple(t.values()) for t in tracks], schema)
+    more = spark.createDataFrame([tuple(x.values()) for x in lists], "device string, id int, parent_id int, name string, is_folder boolean, track_ids array<int>")
+    got = {r.device: bytes(r.content) for r in page_files(own, more, "device").collect()}
+    by_id = sorted((t for t in tracks if t["device"] == "p"), key=lambda t: t["id"])
+    assert got == {"p": page_file(by_id), "q": page_file(by_id, lists)}
