@@ -227,6 +227,11 @@ def names_and_escapes(spark, d):
     return S.table(spark, d, "pages").select("page_id", T.safe_name(F.col("url")).alias("safe"), T.xml_escape(F.substring("html", 1, 200)).alias("escaped"))
 
 
+@query("select page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&apos;') as escaped from pages")
+def escaped_pages(spark, d):
+    return S.table(spark, d, "pages").select("page_id", T.xml_escape(F.col("html")).alias("escaped"))
+
+
 @query("""select p_partkey as id, concat(case when p_size % 2 = 1 then [8, 3, 10, 5, 12, 7, 2, 9, 4, 11, 6, 1][p_partkey % 12 + 1] else [5, 12, 7, 2, 9, 4, 11, 6, 1, 8, 3, 10][p_partkey % 12 + 1] end, case when p_size % 2 = 1 then 'B' else 'A' end) as camelot,
   cast([1, 8, 3, 10, 5, 12, 7, 2, 9, 4, 11, 6][p_partkey % 12 + 1] + case when p_size % 2 = 1 then 12 else 0 end as int) as key_id from part""")
 def keys(spark, d):
