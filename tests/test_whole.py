@@ -14,3 +14,12 @@ def test_escaped_pages_hold_the_whole_text(spark):
     assert max(map(len, html.values())) > 200 and set(got) == set(html)
     for k, t in html.items():
         assert not set(got[k]) & set("<>\"'") and unescape(got[k]) == t
+
+
+def test_enqueue_meets_every_active_job(spark):
+    jobs = S.jobs(spark, DIR).select("kind", "dedup_key", "status").collect()
+    active = {(r.kind, r.dedup_key) for r in jobs if r.status in ("pending", "running")}
+    known = {(r.kind, r.dedup_key) for r in jobs}
+    got = [(r.kind, r.dedup_key) for r in QUERIES["enqueue_all"](spark, DIR).collect()]
+    assert {k for k, _ in active} == {0, 1} and len(got) == len(set(got)) and not active & set(got)
+    assert set(got) == known - active | {(k, f"new:{v}") for k, v in known}

@@ -45,6 +45,13 @@ def enqueue(spark, d):
     return Q.enqueue(S.jobs(spark, d).where("id % 50 = 0"), S.jobs(spark, d).select("kind", "dedup_key")).select("kind", "dedup_key")
 
 
+@query("select kind, dedup_key from (select kind, dedup_key from jobs union select kind, concat('new:', dedup_key) from jobs) k where not exists (select 1 from jobs j where j.kind = k.kind and j.dedup_key = k.dedup_key and j.status in ('pending', 'running'))")
+def enqueue_all(spark, d):
+    keys = S.jobs(spark, d).select("kind", "dedup_key")
+    fresh = keys.withColumn("dedup_key", F.concat(F.lit("new:"), "dedup_key"))
+    return Q.enqueue(S.jobs(spark, d), keys.union(fresh)).select("kind", "dedup_key")
+
+
 @query("select id, case when id % 3 = 0 then 'succeeded' when attempts >= max_attempts then 'dead' else 'failed' end as status from jobs where status = 'running'")
 def settle(spark, d):
     return Q.settled(S.jobs(spark, d), F.col("id") % 3 == 0).select("id", "status")
