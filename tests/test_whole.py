@@ -23,3 +23,24 @@ def test_enqueue_meets_every_active_job(spark):
     got = [(r.kind, r.dedup_key) for r in QUERIES["enqueue_all"](spark, DIR).collect()]
     assert {k for k, _ in active} == {0, 1} and len(got) == len(set(got)) and not active & set(got)
     assert set(got) == known - active | {(k, f"new:{v}") for k, v in known}
+
+
+def test_tracks_of_all_playlists_resolve(spark):
+    owner = {r.playlist_id: r.user_id for r in S.playlists(spark, DIR).collect()}
+    members = {(r.playlist_id, r.track_id) for r in S.members(spark, DIR).collect()}
+    tracks = {r.track_id: r.hash for r in S.tracks(spark, DIR).collect()}
+    own = {(r.user_id, r.track_id) for r in S.user_tracks(spark, DIR).collect()}
+    got = [tuple(r) for r in QUERIES["resolve_tracks_all"](spark, DIR).collect()]
+    assert any(p % 3 for p, *_ in got)
+    assert sorted(got) == sorted((p, t, tracks[t]) for p, t in members if p in owner and t in tracks and (owner[p], t) in own)
+    got = [tuple(r) for r in QUERIES["resolve_any_owner_all"](spark, DIR).collect()]
+    assert max(u for u, *_ in got) >= 20
+    assert sorted(got) == sorted({(owner[p], t, tracks[t]) for p, t in members if p in owner and t in tracks})
+
+
+def test_page_of_the_whole_listing(spark):
+    tracks = {r.track_id: r.title for r in S.tracks(spark, DIR).collect()}
+    rows = sorted(S.user_tracks(spark, DIR).collect(), key=lambda r: (-r.added_at.toordinal(), r.user_id, r.track_id))
+    got = [tuple(r) for r in QUERIES["library_page_all"](spark, DIR).collect()]
+    assert any(u >= 50 for u, *_ in got)
+    assert got == [(r.user_id, r.track_id, tracks[r.track_id]) for r in rows if r.track_id in tracks][20:120]

@@ -31,6 +31,11 @@ def library_page(spark, d):
     return R.page(_listing(spark, d).where(f"user_id < {USERS}"), [F.desc("added_at"), "user_id", "track_id"], 100, 20).select("user_id", "track_id", "title")
 
 
+@query("select user_id, track_id, title from user_tracks join tracks using (track_id) order by added_at desc, user_id, track_id limit 100 offset 20")
+def library_page_all(spark, d):
+    return R.page(_listing(spark, d), [F.desc("added_at"), "user_id", "track_id"], 100, 20).select("user_id", "track_id", "title")
+
+
 @query("select track_id, hash, title, artist from tracks where track_id = 7")
 def track_by_key(spark, d):
     return S.tracks(spark, d).where("track_id = 7")
@@ -68,6 +73,17 @@ def resolve_any_owner(spark, d):
     return S.members(spark, d).join(S.playlists(spark, d).where("user_id < 20").select("playlist_id"), "playlist_id").join(S.tracks(spark, d), "track_id").select("track_id", "hash").distinct()
 
 
+@query("select m.playlist_id, t.track_id, t.hash from members m join playlists p using (playlist_id) join tracks t on t.track_id = m.track_id join user_tracks u on u.user_id = p.user_id and u.track_id = m.track_id")
+def resolve_tracks_all(spark, d):
+    own = S.members(spark, d).join(S.playlists(spark, d).select("playlist_id", "user_id"), "playlist_id")
+    return own.join(S.user_tracks(spark, d).select("user_id", "track_id"), ["user_id", "track_id"], "left_semi").join(S.tracks(spark, d), "track_id").select("playlist_id", "track_id", "hash")
+
+
+@query("select distinct p.user_id, t.track_id, t.hash from members m join playlists p using (playlist_id) join tracks t on t.track_id = m.track_id")
+def resolve_any_owner_all(spark, d):
+    return S.members(spark, d).join(S.playlists(spark, d).select("playlist_id", "user_id"), "playlist_id").join(S.tracks(spark, d), "track_id").select("user_id", "track_id", "hash").distinct()
+
+
 @query("select doc_id, source from documents where doc_id in (select doc_id from labels)")
 def analysed(spark, d):
     return R.present(S.table(spark, d, "documents"), S.artifacts(spark, d), "doc_id").select("doc_id", "source")
