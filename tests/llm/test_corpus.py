@@ -198,6 +198,16 @@ def test_toxicity_without_labels(spark, toxic):
     assert toxicity.toxicity_scores(frame(spark, []), toxic[1]).count() == 0
 
 
+def test_toxicity_learns_from_more_than_a_thousand_of_a_class(spark):
+    r = random.Random(6)
+    texts = [" ".join(r.choice(("vile", "foul") if i % 2 else ("kind", "calm")) for _ in range(3)) + f" w{i}" for i in range(3300)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3300)], "doc_id long, toxic int")
+    learnable = collections.Counter(i % 2 for i in range(3300) if zlib.crc32(str(i).encode()) % 3 != 1)
+    model = toxicity.fit(frame(spark, list(enumerate(texts))), labels)
+    assert 1000 < min(learnable.values()) and max(learnable.values()) <= 2000
+    assert collections.Counter(model.index.toxic.tolist()) == learnable
+
+
 def test_block_max_index_is_exact():
     r = np.random.RandomState(2)
     space = toxicity.Space(np.arange(200, dtype=np.uint64))
