@@ -28,9 +28,15 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component; rows without an id can't be named as one and stay."""
-    dropped = near_dedup.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest doc_id of each component, and of several with that id the one of least digest; rows
+    without an id can't be named as one and stay."""
+    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    found = near_dedup.near_duplicates(docs.withColumn("k_row", sha), row_col="k_row").where("doc_id is not null")
+    named = found.where("kept and component is not null")
+    first = named.groupBy("component").agg(F.min("row").alias("k_first"))
+    dropped = found.where("not kept").select("doc_id", "row").union(named.join(first, "component").where("row <> k_first").select("doc_id", "row"))
+    dropped = dropped.distinct().withColumnRenamed("row", "k_row")
+    return docs.withColumn("k_row", sha).join(dropped, ["doc_id", "k_row"], "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

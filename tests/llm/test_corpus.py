@@ -410,6 +410,19 @@ def test_pipeline(spark, tmp_path):
     assert collections.Counter(r.doc_id for r in out.collect()) == copies
 
 
+def test_near_copies_with_repeated_ids(spark, tmp_path):
+    import corpus_pipeline as p
+
+    near = lambda w, *more: " ".join([f"{w}{k}" for k in range(60)] + list(more))
+    rows = [(1, near("a")), (7, near("a", "end")), (7, near("b")), (9, near("c")), (9, near("c", "end")), (9, near("d")), (None, near("a", "x")), (8, ""), (5, near("d", "end"))]
+    docs = frame(spark, rows)
+    out = p.drop_near_copies(spark, docs, str(tmp_path))
+    kept = collections.Counter((r.doc_id, r.text) for r in out.collect())
+    one = min(rows[3:5], key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())
+    assert out.columns == docs.columns
+    assert kept == collections.Counter([rows[0], rows[2], one, rows[6], rows[7], rows[8]])
+
+
 def test_windows_that_many_batches_hold(spark):
     passage = "".join(random.Random(9).choice("abcdef ") for _ in range(260))
     rows = [(i, f"{i:03d}" * 20 + passage + f"{i * 7:04d}" * 20) for i in range(90)]

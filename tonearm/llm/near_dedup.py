@@ -35,13 +35,14 @@ def _classes(items: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _sketches(batches):
     for batch in batches:
+        own = ["row"] if "row" in batch.schema.names else []
         data, at = text_bytes(batch.column("text"))
         for a, b in chunks(at):
             items, first = shingle_sets(data[at[a] : at[b]], at[a : b + 1] - at[a], WIDTH)
             keys = band_keys(sketch(items, first, COORDINATES), BAND)
             size = np.diff(first)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(size > 0, keys.shape[1], 0)))), pa.int32()), pa.array(keys[size > 0].reshape(-1).view(np.int64)))
-            yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(size, pa.int64()), pa.array(_classes(items, first).view(np.int64)), bands], ["doc_id", "n_shingles", "cls", "bands"])
+            yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(size, pa.int64()), pa.array(_classes(items, first).view(np.int64)), bands, *(batch.column(c).slice(a, b - a) for c in own)], ["doc_id", "n_shingles", "cls", "bands", *own])
 
 
 def linked(inter, one, other):
@@ -129,18 +130,22 @@ def _outsiders(batches):
         yield pa.record_batch([pa.array(out_u, pa.int64()), pa.array(out_v, pa.int64())], ["u", "v"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself
     included), kept (doc_id = component_id), and n_links (verified links with its hubs; 0 for copies of a class).
 
     A text without words, null included, has n_shingles 0 and is linked with nothing. Rows that share a doc_id are documents
     of their own. A row with a null doc_id has n_shingles, and its class's component if another row has an id there;
     otherwise component_id is null; it isn't kept. Columns of other names are ignored. An empty table gives no rows.
-    Links come from sketches: at similarity 0.75 one is missed with a chance of 5e-6; those found are exact."""
+    Links come from sketches: at similarity 0.75 one is missed with a chance of 5e-6; those found are exact.
+
+    With `row_col`, a string column that tells rows of one doc_id apart, that column comes out as row, and component, the
+    name of the component (null for a text without words), which components of one smallest doc_id do not share."""
     spark = docs.sparkSession
     arrow_limits(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = saved(narrow.mapInArrow(_sketches, "doc_id long, n_shingles long, cls long, bands array<long>"), "sketches")
+    named_rows = narrow if row_col is None else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(row_col).alias("row"))
+    rows = saved(named_rows.mapInArrow(_sketches, "doc_id long, n_shingles long, cls long, bands array<long>" + ", row string" * bool(row_col)), "sketches")
     first = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     first = saved(first, "classes")
     # one row of each class keeps its bands; a doc_id that is repeated within a class is dropped by the distinct below
@@ -165,10 +170,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     classes = first.join(labels, first.cls == labels.node, "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
     lowest = saved(classes.groupBy("label").agg(F.min("doc_id").alias("component_id")), "lowest")
-    named = saved(classes.join(lowest, "label").join(degree, degree.node == classes.cls, "left").select("cls", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    full = rows.select("doc_id", "n_shingles", "cls").join(named, "cls", "left")
+    named = saved(classes.join(lowest, "label").join(degree, degree.node == classes.cls, "left").select("cls", "label", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    full = rows.drop("bands").join(named, "cls", "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return full.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return full.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *([] if row_col is None else ["row", F.col("label").alias("component")]))
 
 
 def _rest(stars: DataFrame, labels: DataFrame) -> DataFrame | None:
