@@ -208,23 +208,70 @@ def test_toxicity_learns_from_more_than_a_thousand_of_a_class(spark):
     assert collections.Counter(model.index.toxic.tolist()) == learnable
 
 
-def test_block_max_index_is_exact():
-    r = np.random.RandomState(2)
-    space = toxicity.Space(np.arange(200, dtype=np.uint64))
-    space.idf = r.rand(200) + 0.5
-    bag = lambda: (np.sort(r.choice(200, r.randint(1, 12), False)).astype(np.uint64), None)
-    bags = [(h, r.randint(1, 5, len(h)).astype(float)) for h, _ in (bag() for _ in range(500))]
-    index = toxicity.BlockMaxIndex(space, bags, np.arange(500), r.randint(0, 2, 500))
-    dense = np.zeros((500, 200))
-    for place, dims, w in index.rows:
-        dense[place, dims] = w
-    for _ in range(50):
-        dims = np.sort(r.choice(200, 6, False))
-        w = r.rand(6)
-        score = dense[:, dims] @ w
-        at, got = index.nearest(dims, w)
-        want = np.sort(score)[::-1][:11]
-        assert np.allclose(got, want[want > 0]) and np.allclose(score[at], got)
+@pytest.mark.parametrize("examples,k", [(700, 100), (500, 30), (40, 400), (65, 64)])
+def test_block_max_index_is_exact(examples, k):
+    r = np.random.RandomState(examples)
+    space = toxicity.Space(np.arange(200, dtype=np.uint64), r.rand(200) + 0.5)
+    chance = 1 / np.arange(1, 201)
+    bag = lambda: (h := np.flatnonzero(r.rand(200) < chance).astype(np.uint64), r.randint(1, 5, len(h)).astype(float))
+    bags = [bag() for _ in range(examples)]
+    index = toxicity.BlockMaxIndex(space, bags, np.arange(examples), r.randint(0, 2, examples))
+    assert 0 < len(index.dense) < 200 and sorted(index.names) == list(range(examples))
+    dense = np.zeros((examples, 200))
+    for i, name in enumerate(index.names):
+        h, n = bags[name]
+        dense[i, h.astype(int)] = (1 + np.log(n)) * space.idf[h.astype(int)]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-300)[:, None]
+    asked = [bag() for _ in range(300)]
+    text, dim, n = space.bag_counts(asked)
+    at, got = index.nearest(text, dim, space.weights(text, dim, n, 300), 300, k)
+    for i, (h, n) in enumerate(asked):
+        w = (1 + np.log(n)) * space.idf[h.astype(int)]
+        cosine = np.round(dense[:, h.astype(int)] @ (w / max(np.linalg.norm(w), 1e-300)), 10)
+        best = np.lexsort((np.arange(examples), -cosine))[: min(k, examples)]
+        assert np.allclose(got[i], cosine[best], atol=1e-9) and (at[i] == best).mean() > 0.9
+
+
+def test_toxicity_scores_by_brute_force(spark, toxic):
+    docs, labels, truth = toxic
+    rows = {r.doc_id: r for r in toxicity.toxicity_scores(docs, labels).collect()}
+    bag = lambda t: collections.Counter(re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").translate(LOWER)))
+    texts = {r.doc_id: bag(r.text) for r in docs.select("doc_id", "text").collect()}
+    total = len(texts)
+    learnable = sorted(i for i in truth if zlib.crc32(str(i).encode()) % 3 != 1)
+    frequency = collections.Counter(w for b in texts.values() for w in b)
+    having = collections.Counter(w for i in learnable for w in texts[i])
+    space = {w for w in having if having[w] > 1 and frequency[w] >= max(1, toxicity.FLOOR * total)}
+
+    def vector(b, power):
+        v = {w: (1 + math.log(n)) * math.log((1 + total) / frequency[w]) ** power for w, n in b.items() if w in space}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / size for w, x in v.items()}
+
+    def voted(v, examples):
+        near = sorted(((round(sum(x * e.get(w, 0.0) for w, x in v.items()), 10), truth[i]) for i, e in examples.items()), reverse=True)
+        out = []
+        for k in toxicity.RADII:
+            cut = near[:k]
+            out.append(sum(c * (2 * y - 1) for c, y in cut) / (sum(c for c, _ in cut) + 0.1))
+        return out
+
+    hashed = lambda b: np.sort(text.word_hashes(np.frombuffer(" ".join(b).encode(), np.uint8), np.array([0, len(" ".join(b).encode())]), text.SIGNS)[0])
+    fold = {i: zlib.crc32(hashed(texts[i]).tobytes()) % toxicity.FOLDS for i in learnable}
+    y, found = np.array([truth[i] for i in learnable]), []
+    for power in toxicity.POWERS:
+        own = {i: vector(texts[i], power) for i in learnable}
+        x = np.array([voted(own[i], {j: own[j] for j in learnable if fold[j] != fold[i]}) for i in learnable])
+        beta = toxicity.calibrated(x, y, np.ones(len(y)))
+        p = 1 / (1 + np.exp(-(x @ beta[:-1] + beta[-1])))
+        found.append((-np.log(np.where(y == 1, p, 1 - p)).sum(), power, beta, own))
+    _, power, beta, own = min(found, key=lambda f: f[:2])
+    for i, b in texts.items():
+        v = vector(b, power)
+        want = 1 / (1 + math.exp(-(np.dot(voted(v, own), beta[:-1]) + beta[-1])))
+        assert math.isclose(rows[i].score, want, abs_tol=2e-3), i
+        best = max((round(sum(x * e.get(w, 0.0) for w, x in v.items()), 10) for e in own.values()))
+        assert (rows[i].evidence_cosines[0] if rows[i].evidence_cosines else 0.0) == pytest.approx(best, abs=1e-9)
 
 
 def test_feistel_is_a_permutation():

@@ -15,6 +15,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes outside the words of a bag: ASCII signs as well as white space.
+SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -84,10 +86,10 @@ def byte_symbols(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word (a run of bytes other than space and 9 to 13) and the number of words before each text,
-    n + 1 values."""
-    solid = ~SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word (a run of bytes other than those of `between`, space and 9 to 13 by default) and the number
+    of words before each text, n + 1 values."""
+    solid = ~between[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     before = np.empty(len(data), bool)
@@ -101,9 +103,9 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     return start, end, np.searchsorted(start, offsets).astype(np.int64)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words, A-Z lower-cased, and the number of words before each text."""
-    start, end, first = words(data, offsets)
+    start, end, first = words(data, offsets, between)
     prefix = rolling(_BYTE[LOWER[data]])
     return mix(stretch(prefix, start, end) + (end - start).astype(U)), first
 

@@ -9,15 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_limits
-from .text import U, chunks, text_bytes, word_hashes
+from .text import SIGNS, U, chunks, text_bytes, word_hashes
 
 #: The bound of the sample that is learnt from: examples of a class, and bytes of the longest text that may be one.
 EXAMPLES, EXAMPLE_BYTES = 2000, 1 << 16
-#: A word is a dimension if the log-likelihood ratio of its examples by class is at least a level. The level is chosen among
-#: these on folds of the examples that are left out in turn: the one whose marks cost least, a false mark weighing THRESHOLD
-#: and a missed one the rest, as that threshold implies; then the one of least logarithmic loss.
-LEVELS, FOLDS = (8.0, 12.0, 16.0, 24.0, 32.0, 48.0, 64.0), 10
-NEIGHBOURS, BLOCK, WAVE = 11, 64, 8
+#: A word is a dimension if two examples, whatever their labels, and at least this share of all documents have it. So the
+#: space has no more dimensions at any size of the corpus.
+FLOOR = 0.002
+#: Powers of the inverse document frequency, and votes of so many nearest examples. The power is chosen on folds of the
+#: examples, each scored by the others: the one of least logarithmic loss.
+POWERS, RADII, FOLDS = (1.0, 1.5, 2.0), (25, 50, 100, 200, 400), 10
+#: Examples of a block; the commonest dimensions, so many at most, are dense rows if this share of the examples has them;
+#: texts scored at once.
+BLOCK, ROWS, DENSE, TEXTS = 64, 1024, 0.05, 128
+EVIDENCE = 11
 THRESHOLD = 0.7
 
 
@@ -31,35 +36,16 @@ def _bags(batches):
     for batch in batches:
         data, at = text_bytes(batch.column("text"))
         for a, b in chunks(at):
-            hashes, first = word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a])
+            hashes, first = word_hashes(data[at[a] : at[b]], at[a : b + 1] - at[a], SIGNS)
             bags = [np.unique(hashes[x:y], return_counts=True) for x, y in zip(first[:-1], first[1:], strict=True)]
             yield pa.record_batch([batch.column("doc_id").slice(a, b - a), batch.column("toxic").slice(a, b - a), pa.array([h.tobytes() for h, _ in bags], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in bags], pa.binary())], ["doc_id", "toxic", "words", "counts"])
 
 
 class Space:
-    """The dimensions: sorted word hashes, and their inverse document frequencies once counted."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-        self.idf = np.ones(len(words))
-
-    @staticmethod
-    def ratios(bags: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The words of the examples, sorted, and the log-likelihood ratio of each."""
-        words, at = np.unique(np.concatenate([h for h, _ in bags] or [np.zeros(0, U)]), return_inverse=True)
-        label = np.repeat(toxic, [len(h) for h, _ in bags])
-        n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-        on = np.bincount(at, label, len(words))
-        off = np.bincount(at, 1 - label, len(words))
-        share = (on + off) / (n0 + n1)
-        parts = [(on, share * n1), (off, share * n0), (n1 - on, (1 - share) * n1), (n0 - off, (1 - share) * n0)]
-        return words, 2 * sum(seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)) for seen, expected in parts)
-
-    def part(self, words: np.ndarray) -> "Space":
-        """The space of some of the words."""
-        out = Space(words)
-        out.idf = self.idf[self.find(words)]
-        return out
+    """The dimensions: sorted word hashes and their inverse document frequencies."""
+
+    def __init__(self, words: np.ndarray, idf: np.ndarray):
+        self.words, self.idf = words, idf
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Dimension of each word, -1 for words outside the space."""
@@ -70,12 +56,19 @@ class Space:
 
     def counts(self, data: np.ndarray, offsets: np.ndarray):
         """(text, dimension, count) of the words in the space, sorted by text."""
-        hashes, first = word_hashes(data, offsets)
+        hashes, first = word_hashes(data, offsets, SIGNS)
         dims = self.find(hashes)
         text = np.repeat(np.arange(len(first) - 1), np.diff(first))[dims >= 0]
         key, n = np.unique(text * max(1, len(self.words)) + dims[dims >= 0], return_counts=True)
         return key // max(1, len(self.words)), key % max(1, len(self.words)), n
 
+    def bag_counts(self, bags: list[tuple[np.ndarray, np.ndarray]]):
+        """The same from bags of (word hashes, counts)."""
+        found = [self.find(h) for h, _ in bags]
+        text = np.repeat(np.arange(len(bags)), [int((d >= 0).sum()) for d in found])
+        join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
+        return text, join([d[d >= 0] for d in found], np.int64), join([n[d >= 0] for d, (_, n) in zip(found, bags, strict=True)], float)
+
     def weights(self, text: np.ndarray, dim: np.ndarray, n: np.ndarray, texts: int) -> np.ndarray:
         """(1 + ln tf) idf, each text scaled to length one."""
         w = (1 + np.log(n)) * self.idf[dim]
@@ -84,108 +77,144 @@ class Space:
 
 
 class BlockMaxIndex:
-    """Postings of the examples by dimension, cut into blocks of BLOCK examples, with each block's largest weight. Examples
-    are ordered by their heaviest dimension, so that a block holds like ones and its bounds are tight."""
-
-    def __init__(self, space: Space, bags, names: np.ndarray, toxic: np.ndarray):
-        self.space = space
-        rows = [(space.find(h), n) for h, n in bags]
-        text = np.concatenate([np.full(int((d >= 0).sum()), i) for i, (d, _) in enumerate(rows)] or [np.zeros(0, int)]).astype(np.int64)
-        dim = np.concatenate([d[d >= 0] for d, _ in rows] or [np.zeros(0, int)]).astype(np.int64)
-        n = np.concatenate([c[d >= 0] for d, c in rows] or [np.ones(0)])
-        w = space.weights(text, dim, n, len(rows))
-        heaviest = np.full(len(rows), -1)
-        order = np.argsort(w, kind="stable")
-        heaviest[text[order]] = dim[order]
-        place = np.lexsort((names, heaviest))
-        rank = np.empty(len(rows), np.int64)
-        rank[place] = np.arange(len(rows))
-        self.names, self.toxic = names[place], toxic[place]
-        self.blocks = max(1, -(-len(rows) // BLOCK))
+    """The examples by dimension, cut into blocks of BLOCK, with each block's largest weights. Examples are ordered by their
+    commonest dimensions, so that a block holds like ones and its bounds are tight; then by their words, never by a name.
+    Dimensions that many examples have are rows of a matrix, the others lists of postings."""
+
+    def __init__(self, space: Space, bags: list[tuple[np.ndarray, np.ndarray]], names: np.ndarray, toxic: np.ndarray):
+        self.space, n = space, len(bags)
+        text, dim, count = space.bag_counts(bags)
+        w = space.weights(text, dim, count, n)
+        words = np.array([zlib.crc32(h.tobytes()) for h, _ in bags], np.int64)
+        order = np.lexsort((dim, space.idf[dim], text))
+        start = np.searchsorted(text, np.arange(n + 1))
+        common = [np.where(start[:-1] + k < start[1:], dim[order[np.minimum(start[:-1] + k, max(len(dim) - 1, 0))]] if len(dim) else -1, -1) for k in range(3)]
+        place = np.lexsort((words, *common[::-1]))
+        rank = np.empty(n, np.int64)
+        rank[place] = np.arange(n)
+        self.order, self.names, self.toxic, self.examples = place, names[place], toxic[place], n
+        self.blocks = max(1, -(-n // BLOCK))
+        self.width = self.blocks * BLOCK
         text = rank[text]
-        order = np.lexsort((text, dim))
-        self.text, self.weight = text[order], w[order]
-        cell = dim[order] * self.blocks + self.text // BLOCK
-        self.start = np.searchsorted(cell, np.arange(len(space.words) * self.blocks + 1)).reshape(-1)
-        self.most = np.zeros(len(space.words) * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(len(space.words), self.blocks)
-        self.rows = [(rank[i], *self._row(space, d, c)) for i, (d, c) in enumerate(rows)]
-
-    @staticmethod
-    def _row(space, d, c):
-        dims, n = d[d >= 0], c[d >= 0]
-        return dims, space.weights(np.zeros(len(dims), np.int64), dims, n, 1)
-
-    def nearest(self, dims: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of highest cosine above 0, ties by place. Blocks come in order of their bound until no bound
-        exceeds the k-th best; `but` is left out."""
-        if not len(dims):
-            return np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.most[dims]
-        order = np.argsort(-bound, kind="stable")
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for i in range(0, self.blocks, WAVE):
-            some = order[i : i + WAVE]
-            if bound[some[0]] <= 0 or (len(best) == k and bound[some[0]] < best[-1] - 1e-12):
-                break
-            cells = (dims[:, None] * self.blocks + some).reshape(-1)
-            start, size = self.start[cells], self.start[cells + 1] - self.start[cells]
-            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
-            who, own = np.unique(self.text[at], return_inverse=True)
-            score = np.bincount(own, self.weight[at] * np.repeat(np.repeat(w, len(some)), size), len(who))
-            keep = who != but
-            best_at, best = np.concatenate((best_at, who[keep])), np.concatenate((best, score[keep]))
-            top = np.lexsort((best_at, -best))[:k]
-            best_at, best = best_at[top], best[top]
-        return best_at, best
-
-    def vote(self, at: np.ndarray, similarity: np.ndarray) -> float:
-        """Share of the similarity that toxic neighbours have, between -1 and 1; 0 without any neighbour."""
-        total = similarity.sum()
-        return float(((2 * self.toxic[at] - 1) * similarity).sum() / (total + 0.1)) if len(at) else 0.0
-
-
-def calibrated(votes: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of the logistic curve through (vote, label), by weighted Newton steps with a slight ridge."""
-    x = np.stack((votes, np.ones(len(votes))), 1)
-    beta = np.zeros(2)
+        has = np.bincount(dim, minlength=len(space.words))
+        self.row = np.full(len(space.words), -1)
+        frequent = np.sort(np.argsort(-has, kind="stable")[: min(ROWS, int((has >= max(DENSE * n, 1)).sum()))])
+        self.row[frequent] = np.arange(len(frequent))
+        on = self.row[dim] >= 0 if len(dim) else np.zeros(0, bool)
+        self.dense = np.zeros((len(frequent), self.width))
+        self.dense[self.row[dim[on]], text[on]] = w[on]
+        self.most = self.dense.reshape(len(frequent), self.blocks, BLOCK).max(2)
+        order = np.lexsort((text[~on], dim[~on]))
+        self.text, self.weight = text[~on][order], w[~on][order]
+        self.start = np.searchsorted(dim[~on][order], np.arange(len(space.words) + 1))
+
+    def _rare(self, text, dim, w, texts: int) -> np.ndarray:
+        """The part of the cosines that comes from lists of postings: a row for each text."""
+        start, size = self.start[dim], self.start[dim + 1] - self.start[dim]
+        at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
+        cell = np.repeat(text, size) * self.width + self.text[at]
+        return np.bincount(cell, self.weight[at] * np.repeat(w, size), texts * self.width).astype(float).reshape(texts, self.width)
+
+    def cosines(self, text: np.ndarray, dim: np.ndarray, w: np.ndarray, texts: int, k: int | None) -> np.ndarray:
+        """Cosine of each text with each example, -1 in blocks that can't hold one of its `k` nearest: the blocks of highest
+        bound that hold `k` examples come first, then those whose bound reaches the k-th best so far. Without `k` all."""
+        row = self.row[dim]
+        own = np.zeros((texts, len(self.dense)))
+        own[text[row >= 0], row[row >= 0]] = w[row >= 0]
+        out = self._rare(text[row < 0], dim[row < 0], w[row < 0], texts)
+        if k is None or k >= self.examples:
+            out += own @ self.dense
+            out[:, self.examples :] = -1
+            return out
+        bound = own @ self.most + out.reshape(texts, self.blocks, BLOCK).max(2)
+        done = np.zeros((texts, self.blocks), bool)
+        first = min(self.blocks, -(-k // BLOCK) + 1)
+        some = np.zeros_like(done)
+        np.put_along_axis(some, np.argpartition(-bound, first - 1, axis=1)[:, :first], True, 1)
+        for _ in range(2):
+            for b in np.flatnonzero(some.any(0)):
+                who = np.flatnonzero(some[:, b])
+                part = slice(b * BLOCK, (b + 1) * BLOCK)
+                out[who, part] += (own if len(who) == texts else own[who]) @ self.dense[:, part]
+            done |= some
+            seen = np.where(np.repeat(done, BLOCK, 1), out, -1.0)
+            seen[:, self.examples :] = -1
+            some = ~done & (bound >= np.partition(seen, -k, axis=1)[:, -k][:, None] - 1e-9)
+        return seen
+
+    def nearest(self, text: np.ndarray, dim: np.ndarray, w: np.ndarray, texts: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The `k` examples of highest cosine for each text, or all if they are fewer, ties by place: places and cosines, best
+        first."""
+        k = min(k, self.examples)
+        at, best = [np.zeros((0, k), np.int64)], [np.zeros((0, k))]
+        cut = np.searchsorted(text, np.arange(0, texts + TEXTS, TEXTS))
+        for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            n = min(TEXTS, texts - i * TEXTS)
+            got = ordered(self.cosines(text[a:b] - i * TEXTS, dim[a:b], w[a:b], n, k)[:, : self.examples], k)
+            at.append(got[0])
+            best.append(got[1])
+        return np.concatenate(at), np.concatenate(best)
+
+
+def ordered(cosines: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the `k` largest of each row, best first, ties by place. Values count to ten digits, so that the
+    order of summation doesn't decide."""
+    value = np.round(cosines, 10)
+    key = np.arange(value.shape[1]) * 1e-15 - value
+    at = np.argpartition(key, k - 1, axis=1)[:, :k] if k < value.shape[1] else np.broadcast_to(np.arange(value.shape[1]), value.shape)
+    at = np.take_along_axis(at, np.argsort(np.take_along_axis(key, at, 1), axis=1, kind="stable"), 1)
+    return at, np.maximum(np.take_along_axis(value, at, 1), 0.0)
+
+
+def votes(toxic: np.ndarray, at: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+    """For each of RADII: the share of the nearest examples' cosines that toxic ones have, between -1 and 1; 0 without any."""
+    total, signed = np.cumsum(cosine, 1), np.cumsum(cosine * (2 * toxic[at] - 1), 1)
+    out = np.zeros((len(at), len(RADII)))
+    if at.shape[1]:
+        for i, k in enumerate(RADII):
+            last = min(k, at.shape[1]) - 1
+            out[:, i] = signed[:, last] / (total[:, last] + 0.1)
+    return out
+
+
+def calibrated(x: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Slopes and offset of the logistic curve through (votes, label), by weighted Newton steps with a slight ridge."""
+    x = np.hstack((x, np.ones((len(x), 1))))
+    beta = np.zeros(x.shape[1])
     weight = weight / max(weight.mean(), 1e-12) if len(weight) else weight
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        p = chance(x, beta)
         gradient = x.T @ (weight * (toxic - p)) - 0.05 * beta
-        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(len(beta))
         step = np.linalg.solve(hessian, gradient)
         beta += step
         if np.abs(step).max() < 1e-9:
             break
-    return float(max(beta[0], 0.0)), float(beta[1])
+    return beta
 
 
-class Model:
-    def __init__(self, index: BlockMaxIndex, slope: float, offset: float):
-        self.index, self.slope, self.offset = index, slope, offset
+def chance(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
 
-    def score(self, vote: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.slope * vote + self.offset, -30, 30))))
 
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """Score, nearest examples and their cosines for each text."""
+class Model:
+    def __init__(self, index: BlockMaxIndex, beta: np.ndarray):
+        self.index, self.beta = index, beta
+
+    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Score of each text, and places and cosines of its nearest examples."""
         texts = len(offsets) - 1
-        text, dim, n = self.index.space.counts(data, offsets)
-        w = self.index.space.weights(text, dim, n, texts)
-        cut = np.searchsorted(text, np.arange(texts + 1))
-        out = []
-        for x, y in zip(cut[:-1], cut[1:], strict=True):
-            near, similarity = self.index.nearest(dim[x:y], w[x:y])
-            out.append((self.score(self.index.vote(near, similarity)), near, similarity))
-        return out
+        space = self.index.space
+        text, dim, n = space.counts(data, offsets)
+        at, cosine = self.index.nearest(text, dim, space.weights(text, dim, n, texts), texts, max(RADII))
+        found = votes(self.index.toxic, at, cosine)
+        return chance(np.hstack((found, np.ones((texts, 1)))), self.beta), at, cosine
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from at most EXAMPLES labelled rows of each class outside the held-out fold, taken by hash of their id; the
-    document frequencies come from all of `docs`. The level of the words and the curve come from votes on folds of the examples,
-    each cast by the examples outside the fold alone, words chosen anew. The driver holds the sample's words and the counts of its dimensions."""
+    document frequencies come from all of `docs`. The power and the curve come from votes on folds of the examples, each cast
+    by the examples outside the fold alone. The driver holds the sample's words and their counts."""
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     known = known.withColumn("toxic", (F.col("toxic") > 0).cast("int"))
@@ -198,42 +227,50 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         chosen = some if chosen is None else chosen.union(some)
     picked = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, toxic int")
     rows = docs.join(F.broadcast(picked), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= EXAMPLE_BYTES).select("doc_id", "toxic", "text").mapInArrow(_bags, "doc_id long, toxic int, words binary, counts binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.words)))
+    rows.sort(key=lambda r: (bytes(r.words), bytes(r.counts), -r.toxic, r.doc_id))
     rows = list({(bytes(r.words), bytes(r.counts)): r for r in reversed(rows)}.values())[::-1]  # copies tell nothing new
     bags = [(np.frombuffer(bytes(r.words), U), np.frombuffer(bytes(r.counts), np.int32).astype(float)) for r in rows]
     names, toxic = np.array([r.doc_id for r in rows], np.int64), np.array([r.toxic for r in rows], np.int64)
-    fold = np.array([zlib.crc32(bytes(r.words)) % FOLDS for r in rows], np.int64)
-    outside = [np.flatnonzero(fold != f) for f in range(FOLDS)]
-    ratios = [Space.ratios([bags[i] for i in some], toxic[some]) for some in outside] + [Space.ratios(bags, toxic)]
-    wide = Space(np.unique(np.concatenate([words[ratio >= min(LEVELS)] for words, ratio in ratios])))
-    total, frequency = document_frequencies(docs, wide)
-    wide.idf = 1 + np.log((1 + total) / (1 + frequency))
-    index_at = lambda level, k, some: BlockMaxIndex(wide.part(ratios[k][0][ratios[k][1] >= level]), [bags[i] for i in some], names[some], toxic[some])
+    words, having = np.unique(np.concatenate([h for h, _ in bags] or [np.zeros(0, U)]), return_counts=True)
+    words = words[having > 1]
+    total, frequency = document_frequencies(docs, words)
+    common = frequency >= max(1.0, FLOOR * total)
+    words, idf = words[common], np.log((1 + total) / frequency[common])
     taken = np.bincount(toxic, minlength=2)
     weight = np.array([population.get(int(c), 0) / max(1, taken[c]) for c in toxic])
     found = []
-    for level in LEVELS:
-        votes = np.zeros(len(rows))
-        for f, some in enumerate(outside):
-            index = index_at(level, f, some)
-            for i in np.flatnonzero(fold == f):
-                votes[i] = index.vote(*index.nearest(*index._row(index.space, index.space.find(bags[i][0]), bags[i][1])))
-        slope, offset = calibrated(votes, toxic, weight)
-        p = 1 / (1 + np.exp(-np.clip(slope * votes + offset, -30, 30)))
-        mark = p >= THRESHOLD
-        cost = float(weight @ np.where(mark & (toxic == 0), THRESHOLD, np.where(~mark & (toxic == 1), 1 - THRESHOLD, 0.0)))
-        loss = float(-(weight @ np.log(np.where(toxic == 1, p, 1 - p))))
-        found.append((cost, loss, -level, slope, offset))
-    _, _, level, slope, offset = min(found)
-    return Model(index_at(-level, FOLDS, np.arange(len(rows))), slope, offset)
-
-
-def document_frequencies(docs: DataFrame, space: Space) -> tuple[int, np.ndarray]:
-    """Number of documents, and of those with each dimension, over all of `docs`."""
-    words = docs.sparkSession.sparkContext.broadcast(space.words)
+    for power in POWERS:
+        index = BlockMaxIndex(Space(words, idf**power), bags, names, toxic)
+        x = _fold_votes(index, bags)
+        beta = calibrated(x, toxic, weight)
+        p = chance(np.hstack((x, np.ones((len(x), 1)))), beta)
+        found.append((float(-(weight @ np.log(np.where(toxic == 1, p, 1 - p)))), power, beta, index))
+    _, _, beta, index = min(found, key=lambda f: f[:2])
+    return Model(index, beta)
+
+
+def _fold_votes(index: BlockMaxIndex, bags) -> np.ndarray:
+    """Votes on each example by the examples of other folds."""
+    fold = np.array([zlib.crc32(h.tobytes()) % FOLDS for h, _ in bags], np.int64)
+    by_place = fold[index.order]
+    text, dim, n = index.space.bag_counts(bags)
+    w = index.space.weights(text, dim, n, len(bags))
+    out = [np.zeros((0, len(RADII)))]
+    cut = np.searchsorted(text, np.arange(0, len(bags) + TEXTS, TEXTS))
+    for i, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+        own = fold[i * TEXTS : (i + 1) * TEXTS]
+        got = index.cosines(text[a:b] - i * TEXTS, dim[a:b], w[a:b], len(own), None)[:, : index.examples]
+        got[own[:, None] == by_place[None, :]] = -1
+        out.append(votes(index.toxic, *ordered(got, min(max(RADII), index.examples))))
+    return np.concatenate(out)
+
+
+def document_frequencies(docs: DataFrame, words: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of documents, and of those with each of the sorted words, over all of `docs`."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def counted(batches):
-        own = Space(words.value)
+        own = Space(sent.value, np.zeros(0))
         seen, n = np.zeros(len(own.words), np.int64), 0
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
@@ -244,15 +281,11 @@ def document_frequencies(docs: DataFrame, space: Space) -> tuple[int, np.ndarray
         some = np.flatnonzero(seen)
         yield pa.record_batch([pa.array(np.concatenate(([-1], some))), pa.array(np.concatenate(([n], seen[some])))], ["dim", "n"])
 
-    rows = docs.select("text").mapInArrow(counted, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect()
-    found = np.zeros(len(space.words))
-    total = 0
-    for r in rows:
-        if r.dim < 0:
-            total = r.n
-        else:
-            found[r.dim] = r.n
-    return total, found
+    rows = docs.select("text").mapInArrow(counted, "dim long, n long").groupBy("dim").agg(F.sum("n").alias("n")).toArrow()
+    dim, n = rows["dim"].to_numpy(), rows["n"].to_numpy()
+    found = np.zeros(len(words))
+    found[dim[dim >= 0]] = n[dim >= 0]
+    return int(n[dim < 0].sum()), found
 
 
 def score_column(docs: DataFrame, labels: DataFrame):
@@ -268,17 +301,17 @@ def score_column(docs: DataFrame, labels: DataFrame):
         data, at = text_bytes(text)
         out = [np.zeros(0)]
         for a, b in chunks(at):
-            out.append(np.array([s for s, _, _ in model.value.scores(data[at[a] : at[b]], at[a : b + 1] - at[a])]))
+            out.append(model.value.scores(data[at[a] : at[b]], at[a : b + 1] - at[a])[0])
         return pa.array(np.concatenate(out), pa.float64())
 
     return score
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of `docs`: doc_id, held_out, score, predicted, and the evidence: ids and cosines of the nearest
-    examples, nearest first. A score depends on the text alone: equal texts have equal scores. A text without any dimension,
-    an empty or null one included, has no neighbour and gets the score of a vote of 0. Without labels of both classes the
-    curve is flat. A null id is not held out. Other columns are ignored; an empty table gives no rows."""
+    """One row for each row of `docs`: doc_id, held_out, score, predicted, and the evidence: ids and cosines of the EVIDENCE
+    nearest examples, nearest first. A score depends on the text alone: equal texts have equal scores. A text without any
+    dimension, an empty or null one included, gets the score of votes of 0 and no evidence. Without labels the curve is flat.
+    A null id is not held out. Other columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
     arrow_limits(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -289,9 +322,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
             for a, b in chunks(at):
-                got = own.scores(data[at[a] : at[b]], at[a : b + 1] - at[a])
-                scores, ids, cosines = [g[0] for g in got], [own.index.names[g[1]].tolist() for g in got], [g[2].tolist() for g in got]
-                yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["doc_id", "score", "evidence_ids", "evidence_cosines"])
+                scores, near, cosine = own.scores(data[at[a] : at[b]], at[a : b + 1] - at[a])
+                near, cosine = near[:, :EVIDENCE], cosine[:, :EVIDENCE]
+                some = cosine > 0
+                cut = pa.array(np.concatenate(([0], np.cumsum(some.sum(1)))), pa.int32())
+                ids, values = own.index.names[near[some]], cosine[some]
+                yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(scores, pa.float64()), pa.ListArray.from_arrays(cut, pa.array(ids, pa.int64())), pa.ListArray.from_arrays(cut, pa.array(values, pa.float64()))], ["doc_id", "score", "evidence_ids", "evidence_cosines"])
 
     out = narrow.mapInArrow(scored, "doc_id long, score double, evidence_ids array<long>, evidence_cosines array<double>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence_ids", "evidence_cosines")
