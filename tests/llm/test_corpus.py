@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,7 +58,12 @@ def docs(spark, rows):
     return frame(spark, rows).repartition(3)
 
 
+def scored(d):
+    return toxicity.toxicity_scores(d, d.sparkSession.createDataFrame([(7, 1), (8, 0), (None, 1)], "doc_id long, toxic int"))
+
+
 ALL = {
+    "op3": scored,
     "op1": lambda d: near_dedup.near_duplicates(d),
     "op2": lambda d: exact_dedup.exact_duplicates(d),
     "op4": lambda d: sharding.shard_documents(d),
@@ -153,11 +159,13 @@ def test_exact_duplicates(rows, docs):
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exact_dedup.exact_duplicates(docs).collect()} == want
 
 
-def test_exact_duplicates_by_names(spark, rows, docs):
-    t = exact_dedup.lower_ascii(F.coalesce("text", F.lit("")))
-    source = docs.select("doc_id", t.alias("t"))
-    plain = {tuple(r) for r in exact_dedup.exact_duplicates(docs).collect()}
-    assert {tuple(r) for r in exact_dedup._by_names(source, None, None, None).collect()} == plain
+def test_exact_duplicates_with_clashing_fingerprints(spark, rows):
+    rows = rows + [(None, "Same text"), (None, "other"), (2000, "abc"), (2001, "abd"), (2002, "abe"), (2003, "ABC")]
+    docs = frame(spark, rows)
+    plain = exact_dedup.exact_duplicates(docs).collect()
+    same_length = exact_dedup.exact_duplicates(docs, prints=lambda c: F.length(c).cast("long"))
+    assert collections.Counter(map(tuple, same_length.collect())) == collections.Counter(map(tuple, plain))
+    assert {r.doc_id: r.keep_id for r in plain if r.doc_id and r.doc_id >= 2000} == {2000: 2003, 2001: 2001, 2002: 2002, 2003: 2003}
 
 
 def test_chunks_cover_texts_and_lower_is_ascii_only(docs, rows):
@@ -350,18 +358,37 @@ def test_mixing(rows, docs):
     assert {(r.doc_id, r.taken) for r in mixing.mix_documents(docs.repartition(5)).collect()} == {(r.doc_id, r.taken) for r in out}
 
 
-def test_token_files(rows, docs):
+def thue_morse(n):
+    """A word over a and b; it and its complement have equal polynomial hashes for every odd base modulo 2**64."""
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def test_token_files(spark, rows):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
+    r = random.Random(11)
+    parts = ["a", " ", "  ", "\n", "\t", "'s", "12", "é", "日", "\u3000", "\xa0", "\x1c", "<|endoftext|>", "<|endo", ".", " word"]
+    one = thue_morse(1024)
+    more = ["".join(r.choice(parts) for _ in range(r.randint(0, 25))) for _ in range(300)]
+    more += ["a <|endoftext|> b", one, one.translate(str.maketrans("ab", "ba")), f" {one} " + one.translate(str.maketrans("ab", "ba")), " ".join(f"w{k % 5000}" for k in range(400_000)), "y" * 70_000]
+    rows = rows + [(5000 + k, t) for k, t in enumerate(more)]
+    assert max(len(t or "") for _, t in rows) > 2 << 20
     start, want = 0, []
-    for i, t in sorted(rows):
+    for i, t in sorted(rows, key=lambda x: x[0]):
         ids = np.array([*library.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    assert sorted(tuple(r) for r in token_output.token_digests(docs, path).collect()) == want
+    assert sorted(tuple(r) for r in token_output.token_digests(frame(spark, rows).repartition(3), path).collect()) == want
+
+
+def test_a_tokenizer_that_cuts_otherwise():
+    encoder = token_output.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.length[:] = 1  # lengths that never fit: pieces go alone
+    data, at = text.text_bytes(pa.array(["some words here", None, "and more words"]))
+    ids, n = encoder.encode(data, at)
+    assert n.tolist() == [3, 0, 3] and encoder.tokenizer.decode(ids.tolist()) == "some words hereand more words"
 
 
 def test_packing():
@@ -422,8 +449,6 @@ def test_sentencepiece(spark, rows, docs):
 
 
 def test_words_and_shingles(rows):
-    import pyarrow as pa
-
     data, at = text.text_bytes(pa.array([t for _, t in rows]))
     items, first = text.shingle_sets(data, at)
     assert np.diff(first).tolist() == [len(shingle_set(t)) for _, t in rows]
@@ -457,17 +482,205 @@ def test_pipeline(spark, tmp_path):
     assert collections.Counter(r.doc_id for r in out.collect()) == copies
 
 
-def test_near_copies_with_repeated_ids(spark, tmp_path):
+def near(w, *more):
+    return " ".join([f"{w}{k}" for k in range(60)] + list(more))
+
+
+def test_near_copies_with_repeated_and_null_ids(spark, tmp_path):
     import corpus_pipeline as p
 
-    near = lambda w, *more: " ".join([f"{w}{k}" for k in range(60)] + list(more))
-    rows = [(1, near("a")), (7, near("a", "end")), (7, near("b")), (9, near("c")), (9, near("c", "end")), (9, near("d")), (None, near("a", "x")), (8, ""), (5, near("d", "end"))]
+    rows = [(1, near("a")), (7, near("a", "end")), (7, near("b")), (9, near("c")), (9, near("c", "end")), (9, near("d")), (None, near("a", "x")), (None, near("e")), (None, near("e")), (8, ""), (5, near("d", "end"))]
     docs = frame(spark, rows)
     out = p.drop_near_copies(spark, docs, str(tmp_path))
     kept = collections.Counter((r.doc_id, r.text) for r in out.collect())
-    one = min(rows[3:5], key=lambda r: hashlib.sha256(r[1].encode()).hexdigest())
     assert out.columns == docs.columns
-    assert kept == collections.Counter([rows[0], rows[2], one, rows[6], rows[7], rows[8]])
+    assert kept in [collections.Counter([rows[0], rows[2], c, rows[7], rows[9], rows[10]]) for c in rows[3:5]]
+    assert kept == collections.Counter((r.doc_id, r.text) for r in p.drop_near_copies(spark, docs.repartition(5), str(tmp_path)).collect())
+
+
+def test_null_ids_link_documents(spark):
+    words = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(words)), (None, " ".join(words[10:] + ["x1", "x2"])), (2, " ".join(words[20:] + [f"x{k}" for k in range(1, 11)])), (None, near("z"))]
+    out = near_dedup.near_duplicates(frame(spark, rows)).collect()
+    assert 100 * len(shingle_set(rows[0][1]) & shingle_set(rows[2][1])) < 75 * len(shingle_set(rows[0][1]) | shingle_set(rows[2][1]))
+    assert collections.Counter((r.doc_id, r.component_id, r.kept) for r in out) == collections.Counter([(1, 1, True), (None, 1, False), (2, 1, False), (None, None, False)])
+
+
+def test_words_with_equal_polynomial_hashes_are_different(spark):
+    one = thue_morse(1024)
+    rows = [(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one)]
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, rows)).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_bands_find_sets_at_the_threshold():
+    r = np.random.RandomState(7)
+    for size in (4, 12, 60, 300):
+        pairs, missed = 600, 0
+        for _ in range(pairs):
+            inter = int(np.ceil(0.75 * size / 0.875)) if size > 4 else 4
+            items = r.randint(0, 1 << 62, 2 * size).astype(np.uint64)
+            extra = max(0, int(inter / 0.75) - inter)
+            a, b = np.sort(items[: inter + extra // 2]), np.sort(np.concatenate((items[:inter], items[inter + extra // 2 : inter + extra])))
+            both = np.concatenate((a, b))
+            keys = sketch.band_keys(sketch.sketch(both, np.array([0, len(a), len(both)]), near_dedup.COORDINATES), near_dedup.BAND)
+            missed += not (keys[0] == keys[1]).any()
+        assert missed <= 1
+
+
+@pytest.mark.parametrize("stage", ["drop_toxic", "drop_exact_copies", "drop_near_copies", "mix_sources", "encode"])
+def test_pipeline_stages_with_odd_rows(spark, tmp_path, stage):
+    import corpus_pipeline as p
+
+    names = ["doc_id", "text", "lang", "source", "n_chars", "row_number", "copies", "Copies_", "k_name", "m_copies", "row", "x", "component"]
+    schema = ", ".join(f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names)
+    rows = [(i, t, "en", None, 1, *"abcdefgh") for i, t in [(None, None), (None, "one two three four five six"), (None, "one two three four five six"), (3, ""), (3, "one two three four five SIX"), (3, near("q")), (3, near("q")), (4, near("q", "end"))]]
+    spark.createDataFrame([(4, 1), (None, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, empty = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    call = getattr(p, stage)
+    out, none = call(spark, docs, str(tmp_path)), call(spark, empty, str(tmp_path))
+    assert none.count() == 0 and none.columns == out.columns
+    if stage != "encode":
+        assert out.columns == names
+    got = collections.Counter((r.doc_id, r.text) for r in out.collect()) if stage != "encode" else None
+    if stage == "drop_toxic":
+        assert got == collections.Counter((r[0], r[1]) for r in rows)
+    if stage == "drop_exact_copies":
+        assert got == collections.Counter([(3, ""), (3, rows[4][1]), (3, near("q")), (4, near("q", "end"))])
+    if stage == "drop_near_copies":
+        assert got == collections.Counter([(None, None), (3, ""), (3, rows[4][1]), (3, near("q"))])
+    if stage == "mix_sources":
+        assert sum(n * len((t or "").split()) for (_, t), n in got.items()) == pytest.approx(1.5 * sum(len((r[1] or "").split()) for r in rows), abs=32)
+    if stage == "encode":
+        assert out.count() == len(rows)
+
+
+def test_slots_by_brute_force(rows, docs):
+    mask = (1 << 64) - 1
+
+    def mix(x, seed):
+        x = (x + seed * 0xD1342543DE82EF95 + 0x632BE59BD9B4E019) & mask
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & mask
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & mask
+        return x ^ x >> 31
+
+    n, half = len(rows), 1
+    while 1 << 2 * half < n:
+        half += 1
+
+    def walked(x):
+        while True:
+            left, right = x >> half, x & ((1 << half) - 1)
+            for k in range(sharding.ROUNDS):
+                left, right = right, left ^ (mix(right, 64 + k) & ((1 << half) - 1))
+            x = left << half | right
+            if x < n:
+                return x
+
+    want = {i: (walked(k) % 24, walked(k) // 24) for k, (i, _) in enumerate(sorted(rows, key=lambda r: r[0]))}
+    assert {r.doc_id: (r.shard, r.slot) for r in sharding.shard_documents(docs).collect()} == want
+    at = sharding.row_at(np.array([s for s, _ in want.values()]), np.array([s for _, s in want.values()]), n, 24, 1)
+    assert at.tolist() == list(range(n))
+
+
+def test_written_shards(spark, rows, docs, tmp_path):
+    placed = sharding.shard_documents(docs)
+    sharding.write_shards(docs, placed, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards").select("doc_id", "text", F.col("shard").cast("int"), "slot")
+    at = {r.doc_id: (r.shard, r.slot) for r in placed.collect()}
+    assert sorted((r.doc_id, r.text, (r.shard, r.slot)) for r in back.fillna("").collect()) == sorted((i, t or "", at[i]) for i, t in rows)
+
+
+def test_buckets_by_id_and_hash():
+    bounds = [(3, 5), (7, -9), (7, 0), (7, 4), (9, 1)]
+    rows = [(a, h) for a in (1, 3, 5, 7, 9, 11) for h in (-20, -9, 0, 3, 4, 5, 6)]
+    got = lz_fingerprint._bucket(np.array([a for a, _ in rows]), np.array([h for _, h in rows]), bounds)
+    assert got.tolist() == [sum(b <= r for b in bounds) for r in rows]
+
+
+def lz78(data):
+    known, start = set(), 0
+    for k in range(1, len(data) + 1):
+        if data[start:k] not in known:
+            known.add(data[start:k])
+            start = k
+    return known
+
+
+def test_likeness_by_brute_force(rows, docs):
+    out = {r.doc_id: r for r in lz_fingerprint.fingerprint_documents(docs).collect()}
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a or b else 1.0
+    off, sets = [], {}
+    for k, (i, t) in enumerate(rows):
+        t, following = t or "", rows[(k + 1) % len(rows)][1] or ""
+        n = len(t) // 4
+        own, edited, after = (lz78(x.encode()) for x in (t, t[: len(t) - n] + following[:n], following))
+        off += [out[i].near_edited - jaccard(own, edited), out[i].near_next - jaccard(own, after)]
+        sets.setdefault(out[i].fingerprint, set()).add(frozenset(own))
+    assert max(map(abs, off)) < 0.25 and abs(np.mean(off)) < 0.02
+    assert all(len(s) == 1 for s in sets.values())
+
+
+def test_mix_by_brute_force(rows, docs):
+    out = {r.doc_id: r for r in mixing.mix_documents(docs).collect()}
+    hashes = docs.select("doc_id", F.xxhash64(F.lit(1), "doc_id", F.xxhash64("text")).alias("h"), mixing.quality(F.col("text")).alias("q")).collect()
+    key = {r.doc_id: -math.log((((r.h & ((1 << 64) - 1)) >> 11) + 0.5) / (1 << 53)) / max(r.q, 1e-9) for r in hashes}
+    for source in {r.source for r in out.values()}:
+        own = sorted((r for r in out.values() if r.source == source), key=lambda r: key[r.doc_id])
+        total, target, so_far = sum(r.size for r in own), own[0].target, 0
+        epochs = math.floor(target / total) if total else 1
+        for r in own:
+            more = epochs < 2 and target > epochs * total and so_far + r.size / 2 <= target - epochs * total
+            assert (r.copies, r.taken) == (epochs + more, (epochs + more) * r.size)
+            so_far += r.size
+
+
+def test_targets_of_many_sources(spark):
+    r = random.Random(3)
+    sizes = {f"s{k:03d}": r.choice([0, 1, 5, 50, 1000, 100000]) for k in range(200)}
+    got = {x.source: x.target for x in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sorted(sizes))}
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        level = (low + high) / 2
+        spent = sum(min(2 * n, weight[s] * level) for s, n in sizes.items())
+        low, high = (level, high) if spent < 1.5 * sum(sizes.values()) else (low, level)
+    assert all(math.isclose(got[s], min(2 * n, weight[s] * low), rel_tol=1e-6, abs_tol=1e-6) for s, n in sizes.items())
+
+
+def test_windows_whose_hashes_collide(spark, rows, monkeypatch):
+    data = "".join(random.Random(2).choice("ab") for _ in range(900)).encode()
+    data = np.frombuffer(data + data[:300], np.uint8)
+    start = np.arange(len(data) - 99)
+    seen, want = set(), []
+    for s in start:
+        w = data[s : s + 100].tobytes()
+        want.append(w in seen)
+        seen.add(w)
+    for weak in (start.astype(np.uint64) % 3, np.zeros(len(start), np.uint64)):
+        # a hash that is a function of the window
+        weak = np.array([weak[0] if weak.max() == 0 else data[s + 50] % 3 for s in start], np.uint64)
+        assert window_dedup.later(weak, window_dedup.words_at(data), start).tolist() == want
+    second = window_dedup.second_hash(window_dedup.words_at(data), start)
+    assert window_dedup.later(np.zeros(len(start), np.uint64), None, second).tolist() == want
+
+
+def test_texts_over_every_chunk_size(spark):
+    """Texts longer than a chunk, a batch and a group: copies, near copies and repeated passages among them."""
+    r = random.Random(21)
+    base = " ".join(f"v{r.randrange(30000)}" for _ in range(400_000))
+    assert len(base) > 2 << 20
+    rows = [(1, base), (2, base[: len(base) // 2]), (3, base.upper()), (4, "short"), (5, base + " tail words")]
+    docs = frame(spark, rows).repartition(2)
+    exact = {x.doc_id: x.keep_id for x in exact_dedup.exact_duplicates(docs).collect()}
+    assert exact == {1: 3, 2: 2, 3: 3, 4: 4, 5: 5}
+    assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 1, 4: 4, 5: 1}
+    gone = {x.doc_id: (x.n_bytes, x.n_removed) for x in window_dedup.repeated_windows(docs).collect()}
+    lengths = {i: len(t) for i, t in rows}
+    assert {i: n for i, (n, _) in gone.items()} == lengths and gone[2][1] == lengths[2] and gone[1][1] == 0 and lengths[1] <= gone[5][1] < lengths[5]
+    words = {x.doc_id: x.n_words for x in lm_score.lm_scores(docs).collect()}
+    assert words == {i: len(t.split()) for i, t in rows}
+    prints = {x.doc_id: x.n_chars for x in lz_fingerprint.fingerprint_documents(docs).collect()}
+    assert prints == lengths and sum(x.taken for x in mixing.mix_documents(docs).collect()) > 0
 
 
 def test_windows_that_many_batches_hold(spark):

@@ -95,10 +95,18 @@ def corpus_batches(docs: DataFrame, id_col: str, text_col: str, size: int = BATC
     return saved(narrow.mapInArrow(_batched(size), TABLE), "batches", {"parquet.block.size": str(8 << 20), "compression": "none"})
 
 
-def partitions_for(batches: DataFrame, each: int = 2, most: int = 1 << 14) -> int:
-    """Hash partitions, a power of two: about one for `each` batches."""
-    n = max(1, -(-batches.select("batch").count() // each))
-    return min(most, 1 << max(0, (n - 1).bit_length()))
+#: Bytes of text behind one task of an exchange, and the most tasks that one shuffle is dealt to.
+TASK, TASKS = 8 << 20, 100_000
+
+
+class Sizes:
+    """How an exchange over saved batches is dealt: `parts`, a power of two, are ranges of keys, about one for `each` batches
+    at any size, and one is held at a time; `tasks` take the parts, in proportion to the bytes of text."""
+
+    def __init__(self, batches: DataFrame, each: int = 2):
+        n, size = batches.agg(F.count("batch"), F.sum("n_bytes")).first()
+        self.parts = 1 << max(0, (max(1, -(-n // each)) - 1).bit_length())
+        self.tasks = max(8, min(TASKS, -(-(size or 0) // TASK)))
 
 
 def rows_of(batches):
@@ -108,12 +116,13 @@ def rows_of(batches):
             yield {name: batch.column(k)[i].as_py() for k, name in enumerate(batch.schema.names)}
 
 
-def parts_of(keys: np.ndarray, partitions: int) -> np.ndarray:
-    """Where each partition's slice of sorted keys begins, partitions + 1 values: a partition holds a range of keys."""
-    bits = partitions.bit_length() - 1
-    if not bits:
-        return np.array([0, len(keys)])
-    return np.append(np.searchsorted(keys >> U(64 - bits), np.arange(partitions).astype(U)), len(keys))
+def parts_of(keys: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, first, end) of each slice of sorted keys that isn't empty: a part holds a range of keys."""
+    if not len(keys):
+        return []
+    own = (keys >> U(65 - parts.bit_length())).astype(np.int64) if parts > 1 else np.zeros(len(keys), np.int64)
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    return list(zip(own[first].tolist(), first.tolist(), [*first[1:].tolist(), len(keys)], strict=True))
 
 
 def grouped(batches, key: str):
@@ -129,10 +138,15 @@ def grouped(batches, key: str):
         yield value, rows
 
 
-def answered(batches: DataFrame, answers: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, tasks: int) -> DataFrame:
+    """Rows with a part, those of a part together in one task."""
+    return rows.repartition(tasks, "part").sortWithinPartitions("part")
+
+
+def answered(batches: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
     """Rows for a stage that takes each batch with its answers: sorted by batch and part; the batch itself has the highest
     part and so comes after its answers."""
     last = F.lit((1 << 31) - 1)
     own = batches.select("batch", last.alias("part"), F.lit(None).cast("binary").alias("answer"), "ids", "offsets", "hashes", "texts")
     sent = answers.select("batch", "part", "answer", *[F.lit(None).cast(t).alias(c) for c, t in (("ids", "array<long>"), ("offsets", "binary"), ("hashes", "binary"), ("texts", "binary"))])
-    return own.union(sent).repartition("batch").sortWithinPartitions("batch", "part")
+    return own.union(sent).repartition(tasks, "batch").sortWithinPartitions("batch", "part")

@@ -16,24 +16,50 @@ def arrow_limits(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share, from spark.checkpoint.dir or the context's checkpoint folder. A local
+    session that names none gets a temporary one; a cluster's must name one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isDefined():
             return context.getCheckpointDir().get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="tonearm-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+def work_dir(spark: SparkSession) -> str:
+    """Where this application's intermediate tables lie."""
+    return f"{shared_dir(spark)}/tonearm/{spark.sparkContext.applicationId}"
+
+
 def saved(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Writes `df` as a Parquet table in the shared folder and reads it back: lineage ends there and a lost executor costs
     only the tasks it ran."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tonearm/{name}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tonearm_path = path
+    return out
+
+
+def _removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes saved tables that nothing reads any more."""
+    for table in tables:
+        _removed(table.sparkSession, table._tonearm_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application: to be called once results are written."""
+    _removed(spark, work_dir(spark))
 
 
 def released(spark: SparkSession) -> None:
@@ -44,13 +70,30 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def parts_for(df: DataFrame, size, each: int = 64 << 20) -> int:
+    """Partitions for rows of `size` bytes (a column): the session's number, or more so that none holds over about `each`."""
+    total = df.agg(F.sum(size)).first()[0] or 0
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // each))
+
+
 def ranked(df: DataFrame, order: list, partitions: int | None = None, name: str = "ranked") -> tuple[DataFrame, DataFrame]:
     """Global order without a single-task window. Returns (rows, parts): `rows` is `df` range-partitioned by `order` and saved,
     with columns `_part` (its place in the order) and `_place` (0-based place in the part); rows that tie on every order
-    column are interchangeable. `parts` has `_part` and `_rows`, one row for each partition."""
-    spark = df.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    column are interchangeable. `parts` has `_part` and `_rows`, one row for each partition. `df` is computed once: it is
+    saved before its ranges are sampled."""
+    first = saved(df, f"{name}-rows")
+    n = partitions or parts_for(first, F.lit(64))
+    dealt = first.repartitionByRange(n, *order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id()
     rows = saved(dealt.withColumn("_mono", place).withColumns({"_part": F.shiftright("_mono", 33).cast("int"), "_place": F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_mono"), name)
+    dropped(first)
     return rows, rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+
+
+def numbered(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """The rows of `ranked` with `_at`, their 0-based place in the whole order."""
+    before, starts = 0, []
+    for part, n in sorted((r._part, r._rows) for r in parts.collect()):  # a row for each partition
+        starts.append((part, before))
+        before += n
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _before long")), "_part").withColumn("_at", F.col("_before") + F.col("_place")).drop("_before")

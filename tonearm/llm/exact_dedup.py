@@ -19,41 +19,39 @@ UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased and nothing else. `lower` does just that where no other upper-case letter stands."""
-    plain = (F.octet_length(text) == F.length(text)) | ~text.rlike(r"[^\x00-\x7F&&[\p{IsUppercase}\p{Lt}]]")
+    plain = (F.octet_length(text) == F.length(text)) | ~text.rlike(r"[\p{IsUppercase}\p{Lt}&&[^\x00-\x7F]]")
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, UPPER, LOWERED))
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunk_print(chunk: Column) -> Column:
+    """The fingerprint of a chunk."""
+    return F.xxhash64(chunk, F.octet_length(chunk))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None, prints=chunk_print) -> DataFrame:
     """One row for each row of `docs`: doc_id, keep_id (largest doc_id of the rows with an equal text), group_size, kept,
-    text_sha256 (lower-case hex of the lower-cased text).
+    text_sha256 (lower-case hex of the lower-cased text); with `row_col` that column too, as row.
 
     A null text is an empty one. A null id is smaller than any other: such rows have kept true where no row of their group
     has an id. Repeated rows count in group_size; all rows that hold the largest doc_id of a group are kept. Other columns
     are ignored. An empty table gives no rows."""
     text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
-    prints = F.transform(F.regexp_extract_all(F.col("t"), F.lit(CHUNKS), F.lit(0)), lambda c: F.xxhash64(c, F.octet_length(c)))
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"))
-    rows = saved(source.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.octet_length("t").cast("long").alias("n_bytes"), prints.alias("recipe")), "recipes")
+    own = [] if row_col is None else ["row"]
+    recipe = F.transform(F.regexp_extract_all(F.col("t"), F.lit(CHUNKS), F.lit(0)), prints)
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("t"), *([] if row_col is None else [F.col(row_col).alias("row")]))
+    rows = saved(source.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.xxhash64("t").alias("print"), F.octet_length("t").cast("long").alias("n_bytes"), recipe.alias("recipe"), *own), "recipes")
     many = saved(rows.groupBy("recipe", "n_bytes").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).where("n > 1").select(F.col("recipe").alias("r"), F.col("n_bytes").alias("b"), "n", "top"), "shared")
     # chunks of texts whose recipe is shared, each distinct (fingerprint, content) once
-    shared = rows.join(many, (rows.recipe == many.r) & (rows.n_bytes == many.b), "left_semi").select("doc_id").distinct()
-    contents = source.join(saved(shared, "movers"), "doc_id", "left_semi").select(F.explode(F.regexp_extract_all("t", F.lit(CHUNKS), F.lit(0))).alias("chunk"))
-    named = contents.groupBy(F.xxhash64("chunk", F.octet_length("chunk")).alias("print"), "chunk").count().select("print", F.sha2("chunk", 256).alias("digest"))
+    shared = rows.join(many, (rows.recipe == many.r) & (rows.n_bytes == many.b), "left_semi").select("print").distinct()
+    contents = source.withColumn("print", F.xxhash64("t")).join(saved(shared, "movers"), "print", "left_semi").select(F.explode(F.regexp_extract_all("t", F.lit(CHUNKS), F.lit(0))).alias("chunk"))
+    named = contents.groupBy(prints(F.col("chunk")).alias("print"), "chunk").count().select("print", F.sha2("chunk", 256).alias("digest"))
     clashes = saved(named.groupBy("print").agg(F.countDistinct("digest").alias("n")).where("n > 1").select("print"), "clashes")
-    groups = many.select("r", "b", "n", F.col("top").alias("keep_id"))
-    joined = rows.join(groups, (rows.recipe == groups.r) & (rows.n_bytes == groups.b), "left")
-    if clashes.isEmpty():
-        sure = joined.select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
-        return sure.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
-    # some fingerprint stands for different chunks: name chunks by fingerprint and rank of content, and compare lists of names
-    return _by_names(source, rows, named, clashes)
-
-
-def _by_names(source: DataFrame, rows: DataFrame, named: DataFrame, clashes: DataFrame) -> DataFrame:
-    """The same result where a fingerprint stands for more than one chunk. The recipes that hold such a fingerprint are
-    written anew with (fingerprint, digest) names; SHA-256 of the chunk tells its contents apart."""
-    names = F.transform(F.regexp_extract_all(F.col("t"), F.lit(CHUNKS), F.lit(0)), lambda c: F.concat_ws(":", F.xxhash64(c, F.octet_length(c)).cast("string"), F.sha2(c, 256)))
-    lists = saved(source.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.sha2(F.concat_ws(",", names), 256).alias("list"), F.octet_length("t").alias("n_bytes")), "lists")
-    groups = saved(lists.groupBy("list", "n_bytes").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("keep_id")).where("n > 1").withColumnsRenamed({"list": "l", "n_bytes": "b"}), "named")
-    out = lists.join(groups, (lists["list"] == groups.l) & (lists.n_bytes == groups.b), "left").select("doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
-    return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
+    if not clashes.isEmpty():
+        # some fingerprint stands for different chunks: write recipes anew with (fingerprint, digest) names; SHA-256 of the
+        # chunk tells its contents apart
+        names = F.transform(F.regexp_extract_all(F.col("t"), F.lit(CHUNKS), F.lit(0)), lambda c: F.concat_ws(":", prints(c).cast("string"), F.sha2(c, 256)))
+        rows = saved(source.select("doc_id", F.sha2("t", 256).alias("text_sha256"), F.sha2(F.concat_ws(",", names), 256).alias("recipe"), F.octet_length("t").cast("long").alias("n_bytes"), *own), "lists")
+        many = saved(rows.groupBy("recipe", "n_bytes").agg(F.count(F.lit(1)).alias("n"), F.max("doc_id").alias("top")).where("n > 1").select(F.col("recipe").alias("r"), F.col("n_bytes").alias("b"), "n", "top"), "named")
+    joined = rows.join(many, (rows.recipe == many.r) & (rows.n_bytes == many.b), "left")
+    sure = joined.select("doc_id", F.coalesce("top", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), "text_sha256", *own)
+    return sure.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256", *own)

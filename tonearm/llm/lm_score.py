@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import Batch, answered, corpus_batches, grouped, pack, pack_sorted, partitions_for, parts_of, rows_of, unpack, unpack_sorted
+from .batches import Batch, Sizes, answered, corpus_batches, dealt, grouped, pack, pack_sorted, parts_of, rows_of, unpack, unpack_sorted
 from .common import arrow_limits, released, saved
 from .text import U, chunks, mix, word_hashes
 
@@ -46,9 +46,8 @@ def _requests(partitions: int):
             words, pairs, first = ngrams(Batch.of(row))
             at = _inside(first)
             keys, counts = np.unique(np.concatenate((words, pairs[at - 1])), return_counts=True)
-            cut = parts_of(keys, partitions)
-            some = [p for p in range(partitions) if cut[p + 1] > cut[p]]
-            yield pa.record_batch([pa.array(some, pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([pack_sorted(keys[cut[p] : cut[p + 1]]) for p in some], pa.binary()), pa.array([pack(counts[cut[p] : cut[p + 1]].astype(U)) for p in some], pa.binary())], ["part", "batch", "keys", "counts"])
+            some = parts_of(keys, partitions)
+            yield pa.record_batch([pa.array([p for p, _, _ in some], pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([pack_sorted(keys[x:y]) for _, x, y in some], pa.binary()), pa.array([pack(counts[x:y].astype(U)) for _, x, y in some], pa.binary())], ["part", "batch", "keys", "counts"])
 
     return run
 
@@ -122,10 +121,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     spark = docs.sparkSession
     arrow_limits(spark)
     batches = corpus_batches(docs, id_col, text_col)
-    partitions = partitions_for(batches)
+    sizes = Sizes(batches)
     corpus = batches.mapInArrow(_words, "n long").agg(F.sum("n")).first()[0] or 0
-    requests = batches.mapInArrow(_requests(partitions), REQUESTS)
-    answers = saved(requests.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_totals, ANSWERS), "answers", {"compression": "none"})
+    requests = batches.mapInArrow(_requests(sizes.parts), REQUESTS)
+    answers = saved(dealt(requests, sizes.tasks).mapInArrow(_totals, ANSWERS), "answers", {"compression": "none"})
     del requests  # so that its shuffle files can go
     released(spark)
-    return answered(batches, answers).mapInArrow(_scores(corpus), SCORES)
+    return answered(batches, answers, sizes.tasks).mapInArrow(_scores(corpus), SCORES)

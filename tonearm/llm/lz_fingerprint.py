@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits
+from .common import arrow_limits, dropped, parts_for, ranked, saved
 from .sketch import sketch
 from .text import U, byte_symbols, mix, rolling, stretch
 
@@ -142,31 +142,43 @@ def _compared(batches):
         yield out
 
 
+def _bucket(at: np.ndarray, h: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """How many of the sorted bounds are not above each (at, h)."""
+    first, second = (np.array([b[k] for b in bounds], np.int64) for k in (0, 1))
+    low, high = np.searchsorted(first, at, "left"), np.searchsorted(first, at, "right")
+    for x, y in set(zip(low[high > low].tolist(), high[high > low].tolist(), strict=True)):  # ids that are bounds themselves
+        own = np.flatnonzero((low == x) & (high == y))
+        low[own] += np.searchsorted(second[x:y], h[own], "right")
+    return low
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`, with the columns of OUT. Documents are ordered by id, null ids first and rows of one
-    id by text; after the last comes the first, so a lone document is its own next. A null text is empty; an empty text has
-    a fingerprint of bytes of 255. An empty table gives no rows. Other columns are ignored.
+    id by a hash of the text, then by text; after the last comes the first, so a lone document is its own next. A null text
+    is empty; an empty text has a fingerprint of bytes of 255. An empty table gives no rows. Other columns are ignored.
 
-    Texts move once: each goes to the bucket of its id, and the first of a bucket also to the end of the bucket before."""
+    Texts move once: each goes to the bucket of its id and hash, so that rows without an id spread, and the first of a bucket
+    also to the end of the bucket before. Buckets are in proportion to the bytes of the texts."""
     spark = docs.sparkSession
     arrow_limits(spark)
     lowest = -(1 << 63)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("at"))
-    n = 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("at", F.array(*[F.lit((i + 1) / n) for i in range(n - 1)]), 10000)).first()[0]
-    bounds = np.unique(np.array(cuts if cuts else [], np.int64))
-
-    @F.pandas_udf("int")
-    def bucket_of(at: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, at.to_numpy(), "right").astype(np.int32))
-
-    dealt = rows.withColumn("bucket", bucket_of("at"))
-    firsts = sorted((r.bucket, r.at) for r in dealt.groupBy("bucket").agg(F.min("at").alias("at")).collect())  # a row for each bucket
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("at"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
+    narrow = saved(rows.select("at", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")), "places")
+    n = min(100_000, parts_for(narrow, F.col("n"), 8 << 20))
+    placed, _ = ranked(narrow, [F.col("at"), F.col("h")], n, "buckets")
+    dropped(narrow)
+    firsts = sorted(tuple(r.first) for r in placed.groupBy("_part").agg(F.min(F.struct("at", "h")).alias("first")).collect())  # a row for each bucket
+    dropped(placed)
     if not firsts:
         return spark.createDataFrame([], OUT)
-    before = {at: firsts[i - 1][0] for i, (_, at) in enumerate(firsts)}
-    also = spark.createDataFrame([(int(at), int(b)) for at, b in before.items()], "at long, tail_bucket int")
-    tails = dealt.drop("bucket").join(F.broadcast(also), "at").select("doc_id", "text", "at", F.col("tail_bucket").alias("bucket"), F.lit(True).alias("tail"))
-    both = dealt.select("doc_id", "text", "at", "bucket", F.lit(False).alias("tail")).unionByName(tails)
-    laid = both.repartition("bucket").sortWithinPartitions("bucket", "tail", "at", F.col("text").asc_nulls_first())
+
+    @F.pandas_udf("int")
+    def bucket_of(at: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series(_bucket(at.to_numpy(), h.to_numpy(), firsts[1:]).astype(np.int32))
+
+    dealt = rows.withColumn("bucket", bucket_of("at", "h"))
+    also = spark.createDataFrame([(*first, (i - 1) % len(firsts)) for i, first in enumerate(firsts)], "at long, h long, tail_bucket int")
+    tails = dealt.drop("bucket").join(F.broadcast(also), ["at", "h"]).select("doc_id", "text", "at", "h", F.col("tail_bucket").alias("bucket"), F.lit(True).alias("tail"))
+    both = dealt.select("doc_id", "text", "at", "h", "bucket", F.lit(False).alias("tail")).unionByName(tails)
+    laid = both.repartition(n, "bucket").sortWithinPartitions("bucket", "tail", "at", "h", F.col("text").asc_nulls_first())
     return laid.select("bucket", "tail", "doc_id", "text").mapInArrow(_compared, OUT)

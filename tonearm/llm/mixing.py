@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, saved
+from .common import numbered, ranked, saved
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights by a source's place, repeated; the share of all words that the mix has; and how often a document is taken at most.
@@ -23,37 +23,33 @@ def quality(text: Column) -> Column:
 def targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: int = EPOCHS) -> DataFrame:
     """`sizes` has source and source_size, a row for each source. Adds target: share of all words by weight, at most `most`
     times the source's words; what that cuts off is shared again by weight among the sources below it. Weights go round by
-    place, sources in code point order and null last. The driver sees sums only, so sources may be many."""
-    spark = sizes.sparkSession
-    rows, parts = ranked(sizes, [F.col("source").asc_nulls_last()], partitions=min(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), name="sources")
-    counts = sorted((r._part, r._rows) for r in parts.collect())
-    before, starts = 0, []
-    for part, n in counts:
-        starts.append((part, before))
-        before += n
-    place = rows.join(F.broadcast(spark.createDataFrame(starts, "_part int, _before long")), "_part")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), ((F.col("_before") + F.col("_place")) % len(weights) + 1).cast("int"))
-    weighed = saved(place.select("source", "source_size", weight.alias("weight")), "weights")
-    total = weighed.agg(F.sum("source_size")).first()[0] or 0
-    budget, level = share * total, 0.0
-    while True:  # each round caps a source more, or is the last
-        full = F.col("source_size") * float(most) < F.col("weight") * level
-        capped, open_weight = weighed.agg(F.sum(F.when(full, F.col("source_size") * most).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
-        if not open_weight or (now := max(0.0, budget - capped) / open_weight) <= level * (1 + 1e-12):
-            break
-        level = now
-    return weighed.withColumn("target", F.least(F.col("source_size") * float(most), F.col("weight") * F.lit(level)))
+    place, sources in code point order and null last. Sources are sorted once by the level at which they are full; sums over
+    the fuller ones give the level at which the budget is spent. The driver sees sums only, so sources may be many."""
+    at = numbered(*ranked(sizes, [F.col("source").asc_nulls_last()], name="sources"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("_at") % len(weights) + 1).cast("int"))
+    weighed = at.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * float(most)).alias("full"))
+    rows, _ = ranked(weighed.withColumn("level", F.col("full") / F.col("weight")), ["level", F.col("source").asc_nulls_last()], name="levels")
+    earlier = lambda by, *parts: Window.partitionBy(*parts).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part").agg(*[F.sum(c).alias(f"p_{c}") for c in ("full", "weight", "source_size")])
+    sums = saved(parts.select("_part", *[F.coalesce(F.sum(f"p_{c}").over(earlier("_part")), F.lit(0.0)).alias(f"b_{c}") for c in ("full", "weight")], "p_weight", "p_source_size"), "level-sums")  # a row for each partition
+    total = sums.agg(F.sum("p_source_size"), F.sum("p_weight")).first()
+    budget, all_weight = share * (total[0] or 0), total[1] or 0.0
+    before = lambda c: F.col(f"b_{c}") + F.coalesce(F.sum(c).over(earlier("_place", "_part")), F.lit(0.0))
+    tried = rows.join(F.broadcast(sums), "_part").select("level", ((F.lit(budget) - before("full")) / (F.lit(all_weight) - before("weight"))).alias("spent"))
+    level = tried.where(F.col("spent") <= F.col("level") * (1 + 1e-12)).agg(F.max("spent")).first()[0]
+    least = F.col("full") if level is None else F.least("full", F.col("weight") * F.lit(max(0.0, level)))
+    return rows.select("source", "source_size", "weight", least.alias("target"))
 
 
 def mixed(rows: DataFrame, seed: int = 1, weights: tuple = WEIGHTS, share: float = SHARE, most: int = EPOCHS) -> DataFrame:
     """`rows` has doc_id, source, size (words) and quality. Adds source_size, target, copies and taken (copies times size).
 
     Every document is taken for each complete epoch in its source's target; of the rest, documents come in order of their
-    key, -ln(u) / quality with u from a hash of the id, while the words so far and half of the next document fit. So a
+    key, -ln(u) / quality with u from a hash of the id and, if `rows` has it, of the column print, while the words so far and half of the next document fit. So a
     source misses its target by half a document at most. A null source is a source. Equal keys are ordered by id, size and
     the rest of the row. Columns of these names are replaced; an empty table stays empty."""
     rows = rows.drop("source_size", "target", "copies", "taken", "_key")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[c for c in ("doc_id", "print") if c in rows.columns]), 11) + F.lit(0.5)) / F.lit(float(1 << 53))
     keyed = rows.withColumn("_key", -F.log(u) / F.greatest(F.col("quality"), F.lit(1e-9)))
     at, parts = ranked(keyed, [F.col("source").asc_nulls_last(), F.col("_key"), F.col("doc_id"), F.col("size")], name="mix-rows")
     sums = saved(at.groupBy("_part", "source").agg(F.sum("size").alias("part_size")), "mix-sums")
@@ -73,8 +69,9 @@ def mixed(rows: DataFrame, seed: int = 1, weights: tuple = WEIGHTS, share: float
     return joined.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("_part", "_place", "_key", "so_far", "before", "o_part", "o_source")
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each row of `docs`: doc_id, size, source_size, target, taken, source and copies. A null text has size 0.
-    Only ids, sources and numbers move."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), quality(F.col(text_col)).alias("quality"))
-    return mixed(rows).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """One row for each row of `docs`: doc_id, size, source_size, target, taken, source and copies; with `row_col` that column
+    too, as row. A null text has size 0. Texts are read once; only ids, sources and numbers move."""
+    own = [] if row_col is None else [F.col(row_col).alias("row")]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), quality(F.col(text_col)).alias("quality"), F.xxhash64(text_col).alias("print"), *own)
+    return mixed(rows).select("doc_id", "size", "source_size", "target", "taken", "source", "copies", *["row" for _ in own])

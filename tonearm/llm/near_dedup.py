@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, released, saved
+from .common import arrow_limits, dropped, released, saved
 from .components import components
 from .sketch import band_keys, sketch
 from .text import U, chunks, mix, shingle_sets, text_bytes
@@ -21,16 +21,17 @@ WIDTH, COORDINATES, BAND, PERCENT = 5, 128, 4, 75
 BLOCK = 256
 
 
-def _classes(items: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each set, 0 for the empty one."""
+def _classes(items: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit name of each set, 0 for the empty one."""
     size = np.diff(first)
-    name = np.zeros(len(size), U)
+    names = np.zeros((2, len(size)), U)
     some = size > 0
     if some.any():
-        at = first[:-1][some]
-        total = np.add.reduceat(mix(items, 901), at) + mix(np.bitwise_xor.reduceat(mix(items, 902), at), 903)
-        name[some] = mix(total + size[some].astype(U)) | U(1)
-    return name
+        at, n = first[:-1][some], size[some].astype(U)
+        for half, seed in enumerate((901, 911)):
+            total = np.add.reduceat(mix(items, seed), at) + mix(np.bitwise_xor.reduceat(mix(items, seed + 1), at), seed + 2)
+            names[half, some] = mix(total + n, seed + 3)
+    return names[0].view(np.int64), names[1].view(np.int64)
 
 
 def _sketches(batches):
@@ -42,7 +43,8 @@ def _sketches(batches):
             keys = band_keys(sketch(items, first, COORDINATES), BAND)
             size = np.diff(first)
             bands = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(size > 0, keys.shape[1], 0)))), pa.int32()), pa.array(keys[size > 0].reshape(-1).view(np.int64)))
-            yield pa.record_batch([batch.column("doc_id").slice(a, b - a), pa.array(size, pa.int64()), pa.array(_classes(items, first).view(np.int64)), bands, *(batch.column(c).slice(a, b - a) for c in own)], ["doc_id", "n_shingles", "cls", "bands", *own])
+            cls, more = _classes(items, first)
+            yield pa.record_batch([*(batch.column(c).slice(a, b - a) for c in ("doc_id", "print")), pa.array(size, pa.int64()), pa.array(cls), pa.array(more), bands, *(batch.column(c).slice(a, b - a) for c in own)], ["doc_id", "print", "n_shingles", "cls", "cls2", "bands", *own])
 
 
 def linked(inter, one, other):
@@ -52,17 +54,17 @@ def linked(inter, one, other):
 
 def _stars(batches):
     """Rows sorted by (hub, salt, role): each hub's text, then the members of this salt. A row whose text isn't the class
-    it should be (a repeated doc_id) is passed over."""
+    it should be is passed over."""
     hub, own = None, np.zeros(0, U)
     for batch in batches:
         data, at = text_bytes(batch.column("text"))
-        hubs, role, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hub", "role", "node"))
+        hubs, role, node, cls = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("hub", "role", "node", "cls"))
         out: list[tuple] = []
         for a, b in chunks(at):
             items, first = shingle_sets(data[at[a] : at[b]], at[a : b + 1] - at[a], WIDTH)
-            names = _classes(items, first).view(np.int64)
+            names = _classes(items, first)[0]
             for i in range(a, b):
-                if names[i - a] != node[i]:
+                if names[i - a] != cls[i]:
                     continue
                 got = items[first[i - a] : first[i - a + 1]]
                 if role[i] == 0:
@@ -135,43 +137,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     included), kept (doc_id = component_id), and n_links (verified links with its hubs; 0 for copies of a class).
 
     A text without words, null included, has n_shingles 0 and is linked with nothing. Rows that share a doc_id are documents
-    of their own. A row with a null doc_id has n_shingles, and its class's component if another row has an id there;
-    otherwise component_id is null; it isn't kept. Columns of other names are ignored. An empty table gives no rows.
-    Links come from sketches: at similarity 0.75 one is missed with a chance of 5e-6; those found are exact.
+    of their own. A row with a null doc_id links like any other; its component_id is the smallest id that it reaches, null
+    where it reaches none, and it isn't kept. Columns of other names are ignored. An empty table gives no rows.
+    Links come from sketches: at similarity 0.75 one is missed with a chance of 5e-6. Texts are one class if a 128-bit name
+    of their sets is equal; links are counted on whole sets of 64-bit shingle hashes.
 
-    With `row_col`, a string column that tells rows of one doc_id apart, that column comes out as row, and component, the
-    name of the component (null for a text without words), which components of one smallest doc_id do not share."""
+    With `row_col`, a column that tells rows apart, that column comes out as row, and component, the name of the component
+    (null for a text without words), which components without an id or of one smallest doc_id do not share."""
     spark = docs.sparkSession
     arrow_limits(spark)
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    named_rows = narrow if row_col is None else docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(row_col).alias("row"))
-    rows = saved(named_rows.mapInArrow(_sketches, "doc_id long, n_shingles long, cls long, bands array<long>" + ", row string" * bool(row_col)), "sketches")
-    first = rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    first = saved(first, "classes")
-    # one row of each class keeps its bands; a doc_id that is repeated within a class is dropped by the distinct below
-    banded = rows.where("n_shingles > 0").join(first, ["cls", "doc_id"]).select("doc_id", "cls", F.explode("bands").alias("key"))
-    hubs = banded.groupBy("key").agg(F.min(F.struct("doc_id", "cls")).alias("hub"), F.max(F.struct("doc_id", "cls")).alias("last")).where("hub <> last").select("key", F.col("hub.doc_id").alias("hub_doc"), F.col("hub.cls").alias("hub"))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).alias("text"), *([] if row_col is None else [F.col(row_col).alias("row")]))
+    more = "" if row_col is None else f", row {dict(narrow.dtypes)['row']}"
+    rows = saved(narrow.mapInArrow(_sketches, "doc_id long, print long, n_shingles long, cls long, cls2 long, bands array<long>" + more), "sketches")
+    narrow = narrow.select("doc_id", "print", "text")
+    # a class is one node, numbered anew, with the id and print of one of its rows
+    one = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "print")).alias("one")
+    classes = rows.where("n_shingles > 0").groupBy("cls", "cls2").agg(one, F.min("doc_id").alias("low"))
+    classes = saved(classes.select("cls", "cls2", F.monotonically_increasing_id().alias("node"), F.col("one.doc_id").alias("of_id"), F.col("one.print").alias("of_print"), "low"), "classes")
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("print") == F.col("of_print"))
+    banded = rows.where("n_shingles > 0").join(classes, ["cls", "cls2"]).where(same).select("node", F.explode("bands").alias("key"))
+    hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last").select("key", "hub")
     hubs = saved(hubs, "hubs")
-    pairs = banded.join(hubs, "key").where("cls <> hub").select("hub", "hub_doc", F.col("cls").alias("node"), F.col("doc_id").alias("node_doc")).distinct()
-    pairs = saved(pairs, "pairs")
+    pairs = saved(banded.join(hubs, "key").where("node <> hub").select("hub", "node").distinct(), "pairs")
+    dropped(hubs)
     released(spark)
-    blocks = saved(pairs.groupBy("hub", "hub_doc").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
-    as_hub = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("node"), F.col("hub_doc").alias("doc_id"))
-    as_member = pairs.join(blocks.select("hub", "blocks"), "hub").select("hub", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("salt"), F.lit(1).alias("role"), "node", F.col("node_doc").alias("doc_id"))
-    dealt = as_hub.union(as_member).join(narrow, "doc_id").select("hub", "salt", "role", "node", "text")
+    blocks = saved(pairs.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")), "blocks")
+    as_hub = blocks.select("hub", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("hub").alias("node"))
+    as_member = pairs.join(blocks, "hub").select("hub", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("salt"), F.lit(1).alias("role"), "node")
+    wanted = as_hub.union(as_member).join(classes.select("node", "cls", "of_id", "of_print"), "node")
+    dealt = wanted.join(narrow, same).select("hub", "salt", "role", "node", "cls", "text")
     stars = saved(dealt.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "role", "node").mapInArrow(_stars, STARS).distinct(), "stars")
+    dropped(blocks, pairs)
     released(spark)
     links = stars.where("link").select(F.col("hub").alias("u"), F.col("node").alias("v"))
     labels = saved(components(links), "labels")
-    more = _rest(stars, labels)
-    if more is not None:
-        links = links.union(more)
+    rest = _rest(stars, labels)
+    if rest is not None:
+        links = links.union(rest)
         labels = saved(components(links), "labels")
     degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    classes = first.join(labels, first.cls == labels.node, "left").select("cls", "doc_id", F.coalesce("label", "cls").alias("label"))
-    lowest = saved(classes.groupBy("label").agg(F.min("doc_id").alias("component_id")), "lowest")
-    named = saved(classes.join(lowest, "label").join(degree, degree.node == classes.cls, "left").select("cls", "label", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
-    full = rows.drop("bands").join(named, "cls", "left")
+    named = classes.join(labels, "node", "left").select("cls", "cls2", "node", "low", F.coalesce("label", "node").alias("label"))
+    lowest = saved(named.groupBy("label").agg(F.min("low").alias("component_id")), "lowest")
+    named = saved(named.join(lowest, "label").join(degree, "node", "left").select("cls", "cls2", "label", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "named")
+    dropped(lowest)
+    full = rows.drop("bands", "print").join(named, ["cls", "cls2"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return full.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(False)).alias("kept"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), *([] if row_col is None else ["row", F.col("label").alias("component")]))
 

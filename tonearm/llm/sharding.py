@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, ranked
+from .common import arrow_limits, numbered, ranked
 from .text import U, mix
 
 ROUNDS = 6
@@ -50,18 +50,15 @@ def sharded(docs: DataFrame, order: list[str], shards: int = 24, seed: int = 1)
     arrow_limits(spark)
     docs = docs.drop("row_number", "shard", "slot")
     rows, parts = ranked(docs, [F.col(c).asc_nulls_first() for c in order], name="shard-rows")
-    sizes = sorted((r._part, r._rows) for r in parts.collect())  # a row for each partition
-    n = sum(k for _, k in sizes)
-    before = np.cumsum([0] + [k for _, k in sizes])[:-1]
-    starts = spark.createDataFrame([(p, int(b)) for (p, _), b in zip(sizes, before, strict=True)], "_part int, _before long")
-    numbered = rows.join(F.broadcast(starts), "_part").withColumn("row_number", F.col("_before") + F.col("_place")).drop("_part", "_place", "_before")
+    n = parts.agg(F.sum("_rows")).first()[0] or 0
+    rows = numbered(rows, parts).withColumnRenamed("_at", "row_number").drop("_part", "_place")
 
     @F.pandas_udf("shard int, slot long")
     def placed(row: pd.Series) -> pd.DataFrame:
         shard, slot = place(row.to_numpy(), n, shards, seed)
         return pd.DataFrame({"shard": shard.astype(np.int32), "slot": slot})
 
-    return numbered.withColumn("_to", placed("row_number")).select(*[numbered[c] for c in numbered.columns], "_to.shard", "_to.slot")
+    return rows.withColumn("_to", placed("row_number")).select(*rows.columns, "_to.shard", "_to.slot")
 
 
 def crc32_of(text: Column) -> Column:
@@ -69,8 +66,9 @@ def crc32_of(text: Column) -> Column:
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Writes the texts: a folder for each shard, rows by slot. `placed` has the id, shard and slot."""
-    joined = docs.join(placed.select(id_col, "shard", "slot"), id_col)
+    """Writes the rows of `docs`, whose ids tell them apart: a folder for each shard, rows by slot. `placed` has the id, shard
+    and slot; columns of these names in `docs` give way."""
+    joined = docs.drop("shard", "slot").join(placed.select(id_col, "shard", "slot"), id_col)
     joined.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 

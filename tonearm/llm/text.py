@@ -1,8 +1,12 @@
 """Vectorised kernels over the bytes of a batch of texts."""
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
+#: Words of more bytes are hashed one by one.
+LONG = 64
 #: Bytes of text handled by one kernel call; each takes some ten arrays of eight bytes a byte.
 CHUNK = 1 << 21
 
@@ -17,6 +21,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes outside the words of a bag: ASCII signs as well as white space.
 SIGNS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_LEAD = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -104,10 +109,23 @@ def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) ->
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words, A-Z lower-cased, and the number of words before each text."""
+    """64-bit hashes of the words, A-Z lower-cased, and the number of words before each text. Each step scrambles eight bytes
+    into all that came before, so no pattern of bytes makes words collide; words over LONG bytes are hashed singly."""
     start, end, first = words(data, offsets, between)
-    prefix = rolling(_BYTE[LOWER[data]])
-    return mix(stretch(prefix, start, end) + (end - start).astype(U)), first
+    size = end - start
+    raw = LOWER[data].tobytes() + bytes(LONG)
+    word = np.ndarray((len(data) + LONG - 7,), "<u8", raw, strides=(1,))
+    out, live = mix(size.astype(U), 5), np.arange(len(size))
+    for k in range(0, LONG, 8):
+        if k >= 24:  # few words are longer
+            live = live[size[live] > k]
+        if not len(live):
+            break
+        part = word[start[live] + k] & _LEAD[np.clip(size[live] - k, 0, 8)]
+        out[live] = np.where(size[live] > k, mix(out[live] ^ part, 6), out[live])
+    for i in np.flatnonzero(size > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]], digest_size=8).digest(), "little")
+    return out, first
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:

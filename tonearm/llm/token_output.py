@@ -1,25 +1,26 @@
 """Token ids in a fixed-width bit-packed file format, written in id order and read back.
 
-A token file is a Parquet dataset with a row for each block: whole documents, their ids packed with the least bits that hold
-the vocabulary, the lengths of the documents, and the number of ids of the part before the block. These offsets give random
-access; numpy unpacks a block at once. Spark's committer makes the write atomic on any store, and a lost executor's task is
-written again."""
+Texts are encoded where they lie; only ids move. A token file is a Parquet dataset with a row for each block: whole documents,
+their ids packed with the least bits that hold the vocabulary, the lengths of the documents, and the number of ids of the part
+before the block. These offsets give random access; numpy unpacks a block at once. Spark's committer makes the write atomic on
+any store, and a lost executor's task is written again."""
 
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, saved
-from .text import SPACE, U, byte_symbols, chunks, mix, rolling, stretch, text_bytes
+from .common import arrow_limits, parts_for, saved
+from .text import SPACE, U, chunks, mix, text_bytes
 
 BLOCK_IDS = 1 << 16
 #: Pieces remembered by a worker, some 200 bytes each. At half of them the older half is dropped, but for what is used again.
 _REMEMBERED = 1_000_000
-_SIGNS = frozenset(".,;:!?")
+#: Bytes of a piece that is told from others by comparison of three words; longer ones are compared singly.
+_SHORT = 24
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
 _encoders: dict = {}
 
 
@@ -63,21 +64,22 @@ def odd_space(data: np.ndarray) -> np.ndarray:
 
 class Encoder:
     """The library's ids for whole texts. Byte-level BPE cuts a text before white space that follows other text, whatever
-    stands on either side; so each distinct piece between such places is encoded by the library once in a worker's memory.
-    A text with odd white space goes to the library whole; `whole` is that plain path."""
+    stands on either side; so the library encodes each distinct piece between such places once in a worker's memory, new ones
+    many to a call. Pieces are told apart by their bytes. A text with odd white space or a special token's string goes to the
+    library whole; `whole` is that plain path."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size()
-        self.model = self.tokenizer.model
-        # byte-level BPE writes bytes as visible characters: those that are visible as they are, the rest from 256 on
-        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        self.visible = {b: chr(b) if b in seen else chr(256 + i) for i, b in enumerate(sorted(range(256), key=lambda b: (b in seen, b)))}
-        self.known: dict[int, bytes] = {}  # by hash of the piece
-        self.older: dict[int, bytes] = {}
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # byte-level BPE writes each byte as one character, so the length of a token is that of its name
+        self.length = np.zeros(self.vocabulary, np.int64)
+        for name, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.length[i] = len(name)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -85,99 +87,153 @@ class Encoder:
             _encoders[path] = cls(path)
         return _encoders[path]
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, piece: str) -> bytes | None:
-        """Ids of a space, Latin letters and perhaps one sign: the pre-tokenizer makes one token of the letters and one of
-        the sign, and the library's model is asked at once. None for other pieces."""
-        last = ""
-        if piece[-1:] in _SIGNS:
-            piece, last = piece[:-1], piece[-1]
-        if not piece[1:].isalpha() or (piece[0] != " " and not piece[0].isalpha()) or max(piece) >= "\u0250":
-            return None
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.visible))]
-        if last:
-            ids += [t.id for t in self.model.tokenize(last)]
-        return array("I", ids).tobytes()
-
-    def encode(self, data: np.ndarray, at: np.ndarray) -> list[bytes]:
-        """Ids of each text data[at[i]:at[i+1]] as little-endian unsigned 32-bit numbers."""
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Encodes pieces that aren't known. Pieces that begin with white space and end otherwise follow one another in one
+        text, cut again where the lengths of their tokens say so; others go alone."""
+        joined, alone = [], []
+        for p in pieces:
+            (joined if SPACE[p[0]] and not SPACE[p[-1]] else alone).append(p)
+        for k in range(0, len(joined), 2048):
+            some = joined[k : k + 2048]
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            end = np.cumsum(self.length[ids])
+            wanted = np.cumsum([len(p) for p in some])
+            cut = np.searchsorted(end, wanted)
+            if len(end) and (end[np.minimum(cut, len(end) - 1)] == wanted).all():
+                raw, cut = ids.tobytes(), (4 * cut + 4).tolist()
+                self.known.update(zip(some, [raw[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)], strict=True))
+            else:  # a tokenizer that doesn't cut so
+                alone += some
+        for k in range(0, len(alone), 2048):
+            some = alone[k : k + 2048]
+            for p, got in zip(some, self.tokenizer.encode_batch_fast([p.decode() for p in some], add_special_tokens=False), strict=True):
+                self.known[p] = np.array(got.ids, "<u4").tobytes()
+
+    def _by_pieces(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(data):
-            return [b""] * (len(at) - 1)
+            return np.zeros(0, "<u4"), np.zeros(len(at) - 1, np.int64)
         if len(self.known) > _REMEMBERED // 2:
             self.known, self.older = {}, self.known
-        known, older = self.known, self.older
         space = SPACE[data]
         begin = np.zeros(len(data) + 1, bool)
         begin[1:-1] = space[1:] & ~space[:-1]
         begin[at] = True
         start = np.flatnonzero(begin[:-1])
-        end = np.append(start[1:], len(data))
-        names, one, of = np.unique(mix(stretch(rolling(byte_symbols(data)), start, end) + (end - start).astype(U)), return_index=True, return_inverse=True)
-        names, raw = names.tolist(), data.tobytes()
+        size = np.diff(np.append(start, len(data)))
+        raw = data.tobytes() + bytes(_SHORT)
+        word = np.ndarray((len(data) + _SHORT - 7,), "<u8", raw, strides=(1,))
+        parts = [word[start + 8 * k] & _MASK[np.clip(size - 8 * k, 0, 8)] for k in range(_SHORT // 8)]
+        key = size.astype(U)
+        for part in parts:
+            key = mix(key ^ part)
+        _, one, of = np.unique(key, return_index=True, return_inverse=True)
+        same = (size <= _SHORT) & (size == size[one][of])
+        for part in parts:
+            same &= part == part[one][of]
+        pieces = [raw[a:b] for a, b in zip(start[one].tolist(), (start + size)[one].tolist(), strict=True)]
+        if not same.all():  # long pieces, or two of one key
+            place = {p: i for i, p in enumerate(pieces)}
+            for i in np.flatnonzero(~same).tolist():
+                p = raw[start[i] : start[i] + size[i]]
+                of[i] = place.setdefault(p, len(place))
+                if of[i] == len(pieces):
+                    pieces.append(p)
+        known, older = self.known, self.older
         new = []
-        for name, i in zip(names, one.tolist(), strict=True):
-            if name not in known:
-                if (ids := older.get(name)) is None:
-                    new.append((name, i))
-                else:
-                    known[name] = ids
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            rest = []
-            for name, i in some:
-                piece = raw[start[i] : end[i]].decode()
-                if (ids := self._word(piece)) is None:
-                    rest.append((name, piece))
+        for p in pieces:
+            if p not in known:
+                if (ids := older.get(p)) is None:
+                    new.append(p)
                 else:
-                    known[name] = ids
-            for (name, _), got in zip(rest, self.tokenizer.encode_batch_fast([p for _, p in rest], add_special_tokens=False), strict=True):
-                known[name] = array("I", got.ids).tobytes()
-        held = list(map(known.__getitem__, names))
-        size = np.fromiter(map(len, held), np.int64, len(held)) // 4
-        flat, offset = np.frombuffer(b"".join(held), "<u4"), np.cumsum(size) - size
-        n = size[of]
+                    known[p] = ids
+        self._learn(new)
+        held = list(map(known.__getitem__, pieces))
+        ids = np.fromiter(map(len, held), np.int64, len(held)) // 4
+        flat, offset, n = np.frombuffer(b"".join(held), "<u4"), np.cumsum(ids) - ids, ids[of]
         done = np.concatenate(([0], np.cumsum(n)))
-        ids = flat[np.arange(int(done[-1])) - np.repeat(done[:-1] - offset[of], n)].tobytes()
-        cut = (4 * done[np.searchsorted(start, at)]).tolist()
-        out = [ids[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        for i in np.unique(np.searchsorted(at, odd_space(data), "right") - 1):
-            out[i] = self.whole(raw[at[i] : at[i + 1]].decode())
-        return out
+        return flat[np.arange(int(done[-1])) - np.repeat(done[:-1] - offset[of], n)], np.diff(done[np.searchsorted(start, at)])
+
+    def odd(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Texts that can't be encoded by pieces."""
+        places = [odd_space(data)]
+        raw = data.tobytes()
+        for token in self.added:
+            found = raw.find(token)
+            while found >= 0:
+                places.append(np.array([found]))
+                found = raw.find(token, found + 1)
+        return np.unique(np.searchsorted(at, np.concatenate(places), "right") - 1)
+
+    def encode(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts data[at[i]:at[i+1]], one after another, and how many each has."""
+        odd = self.odd(data, at)
+        if not len(odd):
+            return self._by_pieces(data, at)
+        size = np.diff(at)
+        plain = np.ones(len(size), bool)
+        plain[odd] = False
+        ids, n = self._by_pieces(data[np.repeat(plain, size)], np.concatenate(([0], np.cumsum(np.where(plain, size, 0)))))
+        cut = np.concatenate(([0], np.cumsum(n)))
+        out, last = [], 0
+        for i in odd.tolist():
+            whole = self.whole(data[at[i] : at[i + 1]].tobytes().decode())
+            out += [ids[cut[last] : cut[i]], whole]
+            n[i], last = len(whole), i
+        return np.concatenate([*out, ids[cut[last] :]]), n
 
 
 BLOCKS = "part int, block int, first long, n_ids long, doc_ids array<long>, lengths array<int>, packed binary"
 
 
-def _written(path: str, end_id: int, bits: int):
-    def blocks(batches):
+def _encoded(path: str, end_id: int, bits: int):
+    wide = np.dtype("<u2" if bits <= 16 else "<u4")
+
+    def run(batches):
         import os
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        encoder = Encoder.of(path)
+        for batch in batches:
+            data, at = text_bytes(batch.column("text"))
+            for x, y in chunks(at):
+                ids, n = encoder.encode(data[at[x] : at[y]], at[x : y + 1] - at[x])
+                cut = np.concatenate(([0], np.cumsum(n + 1)))
+                out = np.full(int(cut[-1]), end_id, wide)
+                own = np.ones(len(out), bool)
+                own[cut[1:] - 1] = False
+                out[own] = ids
+                packed = pa.BinaryArray.from_buffers(pa.binary(), y - x, [None, pa.py_buffer((cut * wide.itemsize).astype(np.int32)), pa.py_buffer(out.tobytes())])
+                yield pa.record_batch([batch.column("doc_id").slice(x, y - x), pa.array(n + 1), packed], ["doc_id", "n", "ids"])
+
+    return run
+
+
+def _written(bits: int):
+    wide = np.dtype("<u2" if bits <= 16 else "<u4")
+
+    def blocks(batches):
         from pyspark import TaskContext
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encoder, part, block, first = Encoder.of(path), TaskContext.get().partitionId(), 0, 0
+        part, block, first = TaskContext.get().partitionId(), 0, 0
         names, lengths, held, n = [], [], [], 0
-        end = np.array([end_id], "<u4").tobytes()
 
         def closed():
-            packed = pack(np.frombuffer(b"".join(held), "<u4"), bits)
+            packed = pack(np.frombuffer(b"".join(held), wide), bits)
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([packed], pa.binary())], ["part", "block", "first", "n_ids", "doc_ids", "lengths", "packed"])
 
         for batch in batches:
-            data, at = text_bytes(batch.column("text"))
-            ids = batch.column("doc_id").to_pylist()
-            for x, y in chunks(at):
-                for name, got in zip(ids[x:y], encoder.encode(data[at[x] : at[y]], at[x : y + 1] - at[x]), strict=True):
-                    names.append(name)
-                    held += [got, end]
-                    lengths.append(len(got) // 4 + 1)
-                    n += lengths[-1]
-                    if n >= BLOCK_IDS:
-                        yield closed()
-                        first += n
-                        names, lengths, held, n, block = [], [], [], 0, block + 1
+            for name, size, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids")), strict=True):
+                names.append(name)
+                lengths.append(size)
+                held.append(ids)
+                n += size
+                if n >= BLOCK_IDS:
+                    yield closed()
+                    first += n
+                    names, lengths, held, n, block = [], [], [], 0, block + 1
         if names:
             yield closed()
 
@@ -186,15 +242,18 @@ def _written(path: str, end_id: int, bits: int):
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None) -> tuple[DataFrame, int]:
     """Encodes every whole text (null: empty) with the tokenizer file at `path`, appends `end_id`, and writes blocks in
-    ascending id order, null ids first; rows that share an id are ordered by text. Returns the written dataset and the bits
-    of an id. Part p holds ids before those of part p + 1, and blocks of a part follow one another."""
-    spark = docs.sparkSession
-    arrow_limits(spark)
+    ascending id order, null ids first; rows that share an id are ordered by a hash of their ids, then by the ids. Returns the
+    written dataset and the bits of an id. Part p holds ids before those of part p + 1, and blocks of a part follow one
+    another. Texts are read once; a null or repeated id's rows spread over parts by that hash."""
+    arrow_limits(docs.sparkSession)
     bits = width(Encoder.of(path).vocabulary)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    dealt = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    return saved(dealt.mapInArrow(_written(path, end_id, bits), BLOCKS), "token-blocks"), bits
+    ids = rows.mapInArrow(_encoded(path, end_id, bits), "doc_id long, n long, ids binary").withColumn("h", F.xxhash64("ids"))
+    ids = saved(ids, "token-ids")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
+    n = partitions or parts_for(ids, F.col("n") * 4)
+    dealt = ids.repartitionByRange(n, *order).sortWithinPartitions(*order, "ids").drop("h")
+    return saved(dealt.mapInArrow(_written(bits), BLOCKS), "token-blocks"), bits
 
 
 def read_tokens(blocks: DataFrame, bits: int) -> DataFrame:

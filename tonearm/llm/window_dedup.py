@@ -1,11 +1,13 @@
-"""Removal of repeated byte windows by a depth-limited radix order of suffixes.
+"""Removal of repeated byte windows by a depth-limited radix order of windows.
 
-Two suffixes matter to each other only through their first WINDOW bytes, so they are ordered no deeper, most significant
-digit first, and groups of one drop out after each pass. The first digit of a window is the least of its K-byte hashes:
-equal windows have equal digits, neighbouring windows mostly share theirs, and so one pass over all suffixes costs a few keys
-a hundred bytes. Windows whose digit occurs once in the corpus are settled. The others are ordered by all their bytes: within
-the batch first, and between batches for runs that are first in theirs. Equal groups are exactly the repeated windows; all
-but the first of a group go. A digit that many batches hold is split: its windows are dealt by all their bytes."""
+Two suffixes matter to each other only through their first WINDOW bytes, so they are grouped no deeper, digit by digit, and
+groups of one drop out after each. The first digit of a window is the least of its K-byte hashes: equal windows have equal
+digits, neighbouring windows mostly share theirs, and so one pass over all suffixes costs a few keys a hundred bytes, where
+the first eight bytes of each suffix would cost eight times the text. Windows whose digit occurs once in the corpus are
+settled. Of the others a hash of all their bytes is the next digit, and then, in the groups that it leaves, the bytes
+themselves, eight at a time: within the batch first, and between batches for runs that are first in theirs. Equal groups are
+exactly the repeated windows; all but the first of a group go. A digit that many batches hold is split: its windows are dealt
+one by one and named by 128 bits of two hashes, as their bytes would take a hundred times as much."""
 
 import hashlib
 
@@ -14,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import Batch, answered, corpus_batches, expand, grouped, pack, pack_sorted, partitions_for, parts_of, rows_of, squeeze, unpack, unpack_sorted
+from .batches import Batch, Sizes, answered, corpus_batches, dealt, expand, grouped, pack, pack_sorted, parts_of, rows_of, squeeze, unpack, unpack_sorted
 from .common import arrow_limits, released, saved
 from .text import U, byte_symbols, chunks, mix, rolling, stretch
 
@@ -102,11 +104,54 @@ class Windows:
         return start, run, mix(out, 77)
 
 
-def later(hashes: np.ndarray) -> np.ndarray:
-    """Whether an equal value stands before each."""
-    order = np.argsort(hashes, kind="stable")
-    same = np.zeros(len(hashes), bool)
-    same[order[1:]] = hashes[order[1:]] == hashes[order[:-1]]
+#: A window as big-endian digits of eight bytes, most significant first; the last overlaps.
+DIGITS = [*range(0, WINDOW - 8, 8), WINDOW - 8]
+
+
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", np.ascontiguousarray(data), strides=(1,))
+
+
+def second_hash(words: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Another 64-bit hash of the windows, made digit by digit: with the first it names a window whose bytes don't travel."""
+    out = np.full(len(start), WINDOW, U)
+    for k in DIGITS:
+        out = mix(out ^ words[start + k], 78)
+    return out
+
+
+def later(first: np.ndarray, words: np.ndarray | None, start: np.ndarray) -> np.ndarray:
+    """Whether an equal window stands before each. The hash is the first radix digit: its groups of one drop out. The others
+    are compared with the first of their group in every digit of their bytes; where one differs, the group is ordered by
+    passes over the digits, most significant first, and groups of one drop out after each. Where `words` is None, `start` is
+    a second hash and the last digit."""
+    same = np.zeros(len(first), bool)
+    order = np.argsort(first, kind="stable")
+    new = np.append(True, first[order[1:]] != first[order[:-1]])[: len(first)]
+    group = np.cumsum(new) - 1
+    lead = order[np.flatnonzero(new)][group] if len(first) else order
+    rest = np.flatnonzero(~new)
+    one, other = order[rest], lead[rest]
+    equal = np.ones(len(rest), bool)
+    for k in DIGITS if words is not None else (0,):
+        equal &= words[start[one] + k] == words[start[other] + k] if words is not None else start[one] == start[other]
+    same[one] = True
+    if not equal.all():
+        split = np.unique(group[rest[~equal]])
+        at = np.sort(order[np.isin(group, split)])  # in order of place; groups are told by the hash
+        same[at] = False
+        live, name = at, np.unique(first[at], return_inverse=True)[1]
+        for k in DIGITS if words is not None else (0,):
+            digit = words[start[live] + k].byteswap() if words is not None else start[live]
+            by = np.lexsort((live, digit, name))
+            cut = np.append(True, (name[by][1:] != name[by][:-1]) | (digit[by][1:] != digit[by][:-1]))
+            name = np.empty(len(live), np.int64)
+            name[by] = np.cumsum(cut) - 1
+            many = np.bincount(name)[name] > 1
+            live, name = live[many], name[many]
+        by = np.lexsort((live, name))
+        same[live[by][1:][name[by][1:] == name[by][:-1]]] = True
     return same
 
 
@@ -114,9 +159,8 @@ def _requests(partitions: int):
     def run(batches):
         for row in rows_of(batches):
             keys = np.unique(Windows(Batch.of(row)).digit)
-            cut = parts_of(keys, partitions)
-            some = [p for p in range(partitions) if cut[p + 1] > cut[p]]
-            yield pa.record_batch([pa.array(some, pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([pack_sorted(keys[cut[p] : cut[p + 1]]) for p in some], pa.binary())], ["part", "batch", "keys"])
+            some = parts_of(keys, partitions)
+            yield pa.record_batch([pa.array([p for p, _, _ in some], pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array([pack_sorted(keys[x:y]) for _, x, y in some], pa.binary())], ["part", "batch", "keys"])
 
     return run
 
@@ -141,7 +185,8 @@ class Local:
         state = state if len(state) else np.zeros(len(keys), np.uint8)
         runs = np.flatnonzero((state[of] > 0) | (count[of] > 1) | w.inner) if len(of) else np.zeros(0, np.int64)
         self.start, run, self.hash = w.hashes(runs)
-        self.later = later(self.hash)
+        words = words_at(batch.data)
+        self.later = later(self.hash, words, self.start)
         ask = ~self.later & (state[of[runs[run]]] > 0) if len(run) else np.zeros(0, bool)
         hot = state[of[runs[run]]] == 2 if len(run) else np.zeros(0, bool)
         # windows of a run travel together from the first to the last asked one; those of a hot digit one by one
@@ -154,6 +199,8 @@ class Local:
         # by digit, so that a partition's entries are a slice; then by place
         order = np.lexsort((self.start[self.asked], self.digit)) if len(self.asked) else np.zeros(0, np.int64)
         self.asked, self.size, self.digit, self.single = self.asked[order], self.size[order], self.digit[order], self.single[order]
+        self.second = np.zeros(len(self.asked), U)
+        self.second[self.single] = second_hash(words, self.start[self.asked[self.single]])
 
     def entry_texts(self, a: int, b: int) -> bytes:
         """The bytes under the runs among entries a to b; single windows go by their hash alone."""
@@ -184,16 +231,15 @@ def _entries(partitions: int):
             start = own.start[own.asked]
             text = np.searchsorted(batch.offsets, start, "right") - 1
             ids = np.array([LOWEST if x is None else x for x in batch.ids], np.int64)
-            cut = parts_of(own.digit, partitions)
-            some = [p for p in range(partitions) if cut[p + 1] > cut[p]]
+            some = parts_of(own.digit, partitions)
             runs, order, texts, singles = [], [], [], []
-            for p in some:
-                a, b = cut[p], cut[p + 1]
-                runs.append(pack(np.where(own.single[a:b], 0, own.size[a:b]).astype(U)))
-                singles.append(pack_sorted(own.digit[a:b][own.single[a:b]]))
+            for _, a, b in some:
+                one = own.single[a:b]
+                runs.append(pack(np.where(one, 0, own.size[a:b]).astype(U)))
+                singles.append(pack(np.concatenate((own.digit[a:b][one], own.second[a:b][one]))))
                 order.append(pack(np.concatenate((ids[text[a:b]].view(U), batch.hashes[text[a:b]], (start[a:b] - batch.offsets[text[a:b]]).astype(U)))))
                 texts.append(squeeze(own.entry_texts(a, b)))
-            yield pa.record_batch([pa.array(some, pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array(runs, pa.binary()), pa.array(order, pa.binary()), pa.array(texts, pa.binary()), pa.array(singles, pa.binary())], ["part", "batch", "runs", "order", "texts", "singles"])
+            yield pa.record_batch([pa.array([p for p, _, _ in some], pa.int32()), pa.array([row["batch"]] * len(some), pa.int64()), pa.array(runs, pa.binary()), pa.array(order, pa.binary()), pa.array(texts, pa.binary()), pa.array(singles, pa.binary())], ["part", "batch", "runs", "order", "texts", "singles"])
 
     return run
 
@@ -216,22 +262,24 @@ def _ordered(batches):
         source = np.repeat(np.arange(len(rows)), [len(x) for x in sizes])
         size = np.concatenate(sizes)
         keys = np.concatenate([unpack(r["order"]).reshape(3, -1) for r in rows], 1)
-        single = size == 0
-        n = np.maximum(size, 1)
-        hashes = np.empty(int(n.sum()), U)
-        alone = np.repeat(single, n)
-        hashes[alone] = np.concatenate([unpack_sorted(r["singles"]) for r in rows])
-        hashes[~alone] = np.concatenate([_run_hashes(x[x > 0], np.frombuffer(expand(r["texts"]), np.uint8)) for x, r in zip(sizes, rows, strict=True)])
+        singles = np.concatenate([unpack(r["singles"]).reshape(2, -1) for r in rows], 1)
+        data = np.frombuffer(b"".join(expand(r["texts"]) for r in rows), np.uint8)
         names = [r["batch"] for r in rows]
         rows.clear()
-        rank = np.lexsort((source, keys[2], keys[1], keys[0].view(np.int64)))
-        entry = np.repeat(rank, n[rank])
-        first = np.cumsum(n) - n
-        inner = np.arange(len(entry)) - np.repeat(np.cumsum(n[rank]) - n[rank], n[rank])
-        hit = later(hashes[first[entry] + inner])
         mask = np.zeros(len(size), U)
+        rank = np.lexsort((source, keys[2], keys[1], keys[0].view(np.int64)))
+        alone = rank[size[rank] == 0]  # windows of digits that many batches hold: named by two hashes
+        place = np.cumsum(size == 0) - 1
+        mask[alone] = later(singles[0, place[alone]], None, singles[1, place[alone]]).astype(U)
+        runs = rank[size[rank] > 0]
+        begin = np.cumsum(np.where(size > 0, size + WINDOW - 1, 0)) - np.where(size > 0, size + WINDOW - 1, 0)
+        n = size[runs]
+        entry = np.repeat(runs, n)
+        inner = np.arange(len(entry)) - np.repeat(np.cumsum(n) - n, n)
+        own, first = size[size > 0], np.cumsum(size) - size
+        hit = later(_run_hashes(own, data)[first[entry] + inner], words_at(data), begin[entry] + inner)
         np.bitwise_or.at(mask, entry[hit], U(1) << inner[hit].astype(U))
-        cut = np.searchsorted(source, np.arange(source[-1] + 2 if len(source) else 1))
+        cut = np.searchsorted(source, np.arange(len(names) + 1))
         yield pa.record_batch([pa.array(names, pa.int64()), pa.array([part] * len(names), pa.int32()), pa.array([pack(mask[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["batch", "part", "answer"])
 
 
@@ -284,18 +332,19 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     The first window of a group is that of the smallest doc_id (null ids first), rows of one id by the hash of their text,
     rows equal in both by place; within a text by start. A null text is empty; a text shorter than WINDOW loses nothing.
-    Other columns are ignored; an empty table gives no rows. Windows are compared by two 64-bit hashes of their bytes."""
+    Other columns are ignored; an empty table gives no rows. Windows are compared by their bytes, those of a digit that over
+    HOT batches hold by 128 bits."""
     spark = docs.sparkSession
     arrow_limits(spark)
     batches = corpus_batches(docs, id_col, text_col, batch)
-    partitions = partitions_for(batches, 4)
-    requests = batches.mapInArrow(_requests(partitions), REQUESTS)
-    states = saved(requests.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_repeated, ANSWERS), "states", {"compression": "none"})
+    sizes = Sizes(batches, 4)
+    requests = batches.mapInArrow(_requests(sizes.parts), REQUESTS)
+    states = saved(dealt(requests, sizes.tasks).mapInArrow(_repeated, ANSWERS), "states", {"compression": "none"})
     del requests  # so that its shuffle files can go
     released(spark)
-    entries = answered(batches, states).mapInArrow(_entries(partitions), ENTRIES)
-    masks = saved(entries.repartition(partitions, "part").sortWithinPartitions("part").mapInArrow(_ordered, ANSWERS), "masks", {"compression": "none"})
+    entries = answered(batches, states, sizes.tasks).mapInArrow(_entries(sizes.parts), ENTRIES)
+    masks = saved(dealt(entries, sizes.tasks).mapInArrow(_ordered, ANSWERS), "masks", {"compression": "none"})
     del entries
     released(spark)
-    both = states.union(masks.select("batch", (F.col("part") - partitions).alias("part"), "answer"))
-    return answered(batches, both).mapInArrow(_removed, OUT)
+    both = states.union(masks.select("batch", (F.col("part") - sizes.parts).alias("part"), "answer"))
+    return answered(batches, both, sizes.tasks).mapInArrow(_removed, OUT)
