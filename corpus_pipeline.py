@@ -1,54 +1,75 @@
 """The corpus pipeline: toxic documents go, then exact copies, then near copies; sources are mixed to their targets and the
 result is encoded. Each stage works on all that the one before it kept."""
 
-import uuid
-
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.llm import exact_dedup, mixing, near_dedup, sp_codec, toxicity
-from tonearm.llm.common import shared_dir
+from tonearm.llm.common import saved
+
+
+def _fresh(docs: DataFrame, name: str) -> str:
+    """A column name that `docs` doesn't have, whatever the case of its letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """`docs` saved with a number for each row, and the name of that column: rows are told apart by it alone, so null ids,
+    repeated ids and repeated rows are rows like others. Numbers ascend with a hash of the whole row within a partition's
+    range only, so a choice among rows goes by that hash first."""
+    name = _fresh(docs, "row_number")
+    own = F.struct(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"), F.monotonically_increasing_id().alias("number"))
+    return saved(docs.withColumn(name, own), "numbered"), name
+
+
+def _only(docs: DataFrame, number: str, rows: DataFrame) -> DataFrame:
+    """Rows of `docs` whose number is in the column row of `rows`, with the columns they came with but that one."""
+    return docs.join(rows.select(F.col("row").alias(number)), number, "left_semi").drop(number)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored under the threshold, with the model learnt from the labelled ones outside the held-out fold."""
+    """Documents scored under the threshold, with the model learnt from the labelled ones outside the held-out fold. Every row
+    is scored by its own text, whatever its id; a null or empty text has the score of a text without known words. Other
+    columns stay as they are. An empty table stays empty."""
     score = toxicity.score_column(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(score(F.col("text")) < toxicity.THRESHOLD)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id; one of them if that id is repeated."""
-    name = lambda sha: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), sha)
-    kept = exact_dedup.exact_duplicates(docs).where("kept").select(name(F.col("text_sha256")).alias("k_name")).distinct()
-    sha = F.sha2(exact_dedup.lower_ascii(F.coalesce(F.col("text"), F.lit(""))), 256)
-    joined = docs.withColumn("k_name", name(sha)).join(kept, "k_name")
-    one = joined.withColumn("k_row", F.row_number().over(Window.partitionBy("k_name").orderBy(F.lit(1))))  # dealt by the join
-    return one.where("k_row = 1").select(*docs.columns)
+    """Of equal texts (A-Z lower-cased, null as empty) the row with the largest doc_id, a null id being the smallest; of
+    several rows with that id the one whose whole row has the least hash. Other columns stay as they are."""
+    rows, number = _numbered(docs)
+    found = exact_dedup.exact_duplicates(rows, row_col=number).where("kept")
+    return _only(rows, number, found.groupBy("text_sha256").agg(F.min("row").alias("row")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each component, and of several with that id the one of least digest; rows
-    without an id can't be named as one and stay."""
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    found = near_dedup.near_duplicates(docs.withColumn("k_row", sha), row_col="k_row").where("doc_id is not null")
-    named = found.where("kept and component is not null")
-    first = named.groupBy("component").agg(F.min("row").alias("k_first"))
-    dropped = found.where("not kept").select("doc_id", "row").union(named.join(first, "component").where("row <> k_first").select("doc_id", "row"))
-    dropped = dropped.distinct().withColumnRenamed("row", "k_row")
-    return docs.withColumn("k_row", sha).join(dropped, ["doc_id", "k_row"], "left_anti").select(*docs.columns)
+    """Of each component of near copies the row with the smallest doc_id, null ids last; of several rows with that id the one
+    whose whole row has the least hash. Texts without words, null ones included, are in no component and stay."""
+    rows, number = _numbered(docs)
+    found = near_dedup.near_duplicates(rows, row_col=number)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row")).alias("first")
+    kept = found.where("component is not null").groupBy("component").agg(first).select("first.row")
+    return _only(rows, number, kept.union(found.where("component is null").select("row")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    copies = mixing.mix_documents(docs).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("m_copies")).withColumnsRenamed({"doc_id": "m_id", "source": "m_source", "size": "m_size"}).where("m_copies > 0")
-    same = F.col("doc_id").eqNullSafe(F.col("m_id")) & F.col("source").eqNullSafe(F.col("m_source")) & (mixing.n_words(F.col("text")) == F.col("m_size"))
-    joined = docs.join(copies, same)
-    return joined.withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(*docs.columns)
+    """Each row as often as the mix takes it: not at all, once or twice. A null source is a source; null and repeated ids are
+    rows like others; a text without words counts nothing and is taken for each complete epoch."""
+    rows, number = _numbered(docs)
+    copies = mixing.mix_documents(rows, row_col=number).where("copies > 0")
+    times = _fresh(rows, "copies")
+    joined = rows.join(copies.select(F.col("row").alias(number), F.col("copies").alias(times)), number)
+    repeated = joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(f"`{times}`"))))
+    return repeated.drop(number, times)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document of the mix."""
+    """Token ids of each row of the mix: doc_id, n_tokens and ids. A null text has no ids; repeated rows come as often."""
     return sp_codec.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -64,7 +85,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         out = stage(spark, docs, sf_dir)
         if name == STAGES[-1][0]:
             return out
-        path = f"{shared_dir(spark)}/tonearm/pipeline-{name}-{uuid.uuid4().hex}"
-        out.write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = saved(out, f"pipeline-{name}")
     return docs
