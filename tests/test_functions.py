@@ -4,9 +4,13 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tonearm.functions import audio as AU
 from tonearm.functions import binary as B
+from tonearm.functions import identity as I
 from tonearm.functions import signal as G
+from tonearm.functions import tags as A
 from tonearm.sources.tables import inside
 
 
@@ -200,3 +204,89 @@ def test_rows_fill_a_page_to_the_last_group():
     small = B.packed_pages([b"x" * 8] * 1000)
     assert len(small[0]) == (4096 - 0x28 - 36 * (len(small[0]) // 16 + 1)) // 8 and sum(map(len, small)) == 1000
     assert [r for page in small for _, r in page] == [b"x" * 8] * 1000
+
+
+def test_cue_lists():
+    cues = [{"kind": "cue", "time_ms": 1000.9}, {"kind": "loop", "time_ms": 2000, "loop_ms": 500, "slot": 2, "comment": "ab"}]
+    plain = A.cue_list(cues)
+    assert struct.unpack_from(">H", plain, 18)[0] == 2 and len(plain) == 24 + 48 and plain[24:28] == b"PCP\x01"
+    assert struct.unpack_from(">5I", plain, 28) == (20, 0, 0, 1000, 0xFFFFFFFF) and struct.unpack_from(">5I", plain, 52) == (20, 2, 4, 2000, 2500)
+    more = A.extended_cues(cues)
+    assert more[:4] == b"PCO2" and struct.unpack_from(">3IHH", more, 4) == (16, 20 + 62, 1, 0, 1)
+    assert more[20:24] == b"PCP2" and struct.unpack_from(">6I", more, 24) == (58, 2, 2, 2000, 2500, 0)
+    assert more[56:63] == struct.pack(">I", 3) + b"ab\0" and more[63:71] == bytes([9, 0, 0xE0, 0xFF, 0, 0, 0, 0])
+    memory = more[71:]
+    assert struct.unpack_from(">3IHH", memory, 4) == (16, 60, 0, 0, 1) and len(memory) == 20 + 36
+    assert A.extended_cues([]) == b"" and len(A.cue_list([])) == 24
+
+
+def test_wav_round_trip():
+    x = np.sin(np.arange(8000) / 9).astype(np.float32)
+    stereo = np.stack((x, -x / 2), 1).reshape(-1)
+    sound = AU.parse(AU.wav(stereo, 4000, 2, {b"INAM": "t", b"IART": "a", b"ICRD": "2019-01-02", b"ITRK": "7"}))
+    y, seconds = AU.mono(sound)
+    assert seconds == 2.0 and len(y) == 8000 and np.abs(y - (x - x / 2) / 2).max() < 1e-4
+    assert AU.read_tags(sound["tags"]) == {"title": "t", "artist": "a", "album": None, "genre": None, "year": 2019, "track_number": 7}
+    short, seconds = AU.mono(sound, most=1000)
+    assert seconds == 2.0 and len(short) == AU.PACKET and (short == y[: AU.PACKET]).all()
+    assert AU.parse(b"ID3 not this") is None and AU.analysed(b"") is None
+
+
+@pytest.mark.parametrize("bits,pack", [(16, lambda v: struct.pack("<h", int(v * 32768))), (24, lambda v: struct.pack("<i", int(v * 2**31))[1:]), (32, lambda v: struct.pack("<i", int(v * 2**31)))])
+def test_sample_widths(bits, pack):
+    values = [0.5, -0.25, 0.125, -1.0]
+    raw = b"".join(map(pack, values))
+    sound = {"rate": 10, "channels": 1, "bits": bits, "float": False, "known": True, "order": "<", "raw": raw, "tags": {}}
+    assert np.allclose(AU.mono(sound)[0], values, atol=1e-6)
+    big = b"".join(raw[i : i + bits // 8][::-1] for i in range(0, len(raw), bits // 8))
+    assert np.allclose(AU.mono(sound | {"raw": big, "order": ">"})[0], values, atol=1e-6)
+
+
+def test_odd_widths_have_no_samples():
+    sound = {"rate": 10, "channels": 1, "bits": 8, "float": False, "known": True, "order": "<", "raw": bytes(20), "tags": {}}
+    assert len(AU.mono(sound)[0]) == 0 and AU.mono(sound)[1] == 2.0
+
+
+def test_aiff():
+    comm = struct.pack(">HIH", 1, 4, 16) + struct.pack(">HQ", 16383 + 15, 44100 << (63 - 15))
+    ssnd = bytes(8) + struct.pack(">4h", 0, 16384, -16384, 32767)
+    chunk = lambda n, b: n + struct.pack(">I", len(b)) + b + b"\0" * (len(b) & 1)
+    body = b"AIFF" + chunk(b"NAME", b"abc") + chunk(b"COMM", comm) + chunk(b"SSND", ssnd)
+    sound = AU.parse(b"FORM" + struct.pack(">I", len(body)) + body)
+    assert sound["rate"] == 44100 and sound["tags"] == {"title": "abc"} and np.allclose(AU.mono(sound)[0], [0, 0.5, -0.5, 1], atol=1e-4)
+
+
+def test_analysis_composition():
+    rate = 4000
+    beat = np.zeros(rate * 8, np.float32)
+    for k in range(16):
+        beat[k * rate // 2 : k * rate // 2 + 200] = 0.9
+    got = AU.analysed(AU.wav(beat, rate), "file name")
+    assert (got["title"], got["artist"], got["bitrate"], got["bit_depth"]) == ("file name", "Unknown Artist", 64, 16)
+    assert 110 < got["bpm"] < 130 and got["duration_secs"] == 8.0 and len(got["preview"]) == 400 and len(got["detail"]) == 1200
+    assert got["file_hash"] == B.content_hash(AU.wav(beat, rate)) and AU.analysed(AU.wav(beat, rate))["title"] == "Unknown Title"
+    assert (AU.bitrate(None, 16, 44100), AU.bitrate(None, 24, 48000), AU.bitrate(None, 32, 44100), AU.bitrate(16, 16, 44100)) == (1411, 2304, 320, 705)
+
+
+def test_identity_of_a_device(spark):
+    h = 0xCBF29CE484222325
+    for b in [1, 0, 0, 0, 2, 0, 0, 0, *"Add é".encode()]:
+        h = ((h ^ b) * 0x100000001B3) % 2**64
+    data = F.concat(I.id_bytes(F.lit(1)), I.id_bytes(F.lit(2)), I.text_bytes(F.lit("Add é")), I.text_bytes(F.lit("")))
+    row = spark.range(1).select(I.seed(data).alias("s"), I.uuid_of(I.seed(data)).alias("u"), I.library_id(I.seed(data)).alias("l"), I.backup_column(F.lit("ab")).alias("b")).first()
+    turned = ((h << 17 | h >> 47) % 2**64) ^ 0xA5A5A5A5A5A5A5A5
+    assert (row.s % 2**64, row.u, row.l, row.b) == (h, f"{h:016x}{turned:016x}", h & 0x7FFFFFFF, I.backup_json("ab"))
+
+
+def test_sealed_texts(spark):
+    key = F.unhex(F.lit("00" * 32))
+    df = spark.range(1).select(I.sealed(F.lit("cookie"), key).alias("p"))
+    p = bytes(df.first().p)
+    assert len(p) == 12 + 6 + 16
+    changed = spark.createDataFrame([(p,), (p[:-1] + bytes([p[-1] ^ 1]),), (p[:5],)], "p binary")
+    assert [r.t for r in changed.select(I.opened(F.col("p"), key).alias("t")).collect()] == ["cookie", None, None]
+
+
+def test_window_hash_is_the_content_hash():
+    data = lcg(3000)
+    assert B.window_hash(data, len(data)) == B.content_hash(data)

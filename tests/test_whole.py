@@ -1,4 +1,4 @@
-"""Queries over whole tables where an older query of the feature takes a part."""
+"""Features over whole tables, against plain Python."""
 
 from html import unescape
 
@@ -10,37 +10,54 @@ DIR = "/root/testdata/sf0.001"
 
 def test_escaped_pages_hold_the_whole_text(spark):
     html = {r.page_id: r.html for r in S.table(spark, DIR, "pages").collect()}
-    got = {r.page_id: r.escaped for r in QUERIES["escaped_pages"](spark, DIR).collect()}
+    got = {r.page_id: r.escaped for r in QUERIES["names_and_escapes"](spark, DIR).collect()}
     assert max(map(len, html.values())) > 200 and set(got) == set(html)
     for k, t in html.items():
         assert not set(got[k]) & set("<>\"'") and unescape(got[k]) == t
 
 
 def test_enqueue_meets_every_active_job(spark):
-    jobs = S.jobs(spark, DIR).select("kind", "dedup_key", "status").collect()
-    active = {(r.kind, r.dedup_key) for r in jobs if r.status in ("pending", "running")}
+    jobs = S.jobs(spark, DIR).select("id", "kind", "dedup_key", "status", "traceparent").collect()
+    active = {}
+    for r in sorted(jobs, key=lambda r: -r.id):
+        if r.status in ("pending", "running"):
+            active[r.kind, r.dedup_key] = (r.id, r.traceparent)
+    got = {(r.kind, r.dedup_key): r for r in QUERIES["enqueue"](spark, DIR).collect()}
     known = {(r.kind, r.dedup_key) for r in jobs}
-    got = [(r.kind, r.dedup_key) for r in QUERIES["enqueue_all"](spark, DIR).collect()]
-    assert {k for k, _ in active} == {0, 1} and len(got) == len(set(got)) and not active & set(got)
-    assert set(got) == known - active | {(k, f"new:{v}") for k, v in known}
+    assert set(got) == known | {(k, f"new:{v}") for k, v in known}
+    assert {k: (r.job_id, r.traceparent) for k, r in got.items() if not r.fresh} == active
+    fresh = sorted(r.job_id for r in got.values() if r.fresh)
+    assert fresh == list(range(max(r.id for r in jobs) + 1, max(r.id for r in jobs) + 1 + len(fresh)))
 
 
-def test_tracks_of_all_playlists_resolve(spark):
+def test_tracks_resolve_for_their_owner_only(spark):
     owner = {r.playlist_id: r.user_id for r in S.playlists(spark, DIR).collect()}
     members = {(r.playlist_id, r.track_id) for r in S.members(spark, DIR).collect()}
     tracks = {r.track_id: r.hash for r in S.tracks(spark, DIR).collect()}
-    own = {(r.user_id, r.track_id) for r in S.user_tracks(spark, DIR).collect()}
-    got = [tuple(r) for r in QUERIES["resolve_tracks_all"](spark, DIR).collect()]
-    assert any(p % 3 for p, *_ in got)
-    assert sorted(got) == sorted((p, t, tracks[t]) for p, t in members if p in owner and t in tracks and (owner[p], t) in own)
-    got = [tuple(r) for r in QUERIES["resolve_any_owner_all"](spark, DIR).collect()]
-    assert max(u for u, *_ in got) >= 20
+    got = [tuple(r) for r in QUERIES["resolve_tracks"](spark, DIR).collect()]
     assert sorted(got) == sorted({(owner[p], t, tracks[t]) for p, t in members if p in owner and t in tracks})
+    got = [tuple(r) for r in QUERIES["resolve_any_owner"](spark, DIR).collect()]
+    assert sorted(got) == sorted({(t, tracks[t]) for p, t in members if p in owner and t in tracks})
 
 
-def test_page_of_the_whole_listing(spark):
+def test_pages_of_the_whole_listing(spark):
     tracks = {r.track_id: r.title for r in S.tracks(spark, DIR).collect()}
     rows = sorted(S.user_tracks(spark, DIR).collect(), key=lambda r: (-r.added_at.toordinal(), r.user_id, r.track_id))
-    got = [tuple(r) for r in QUERIES["library_page_all"](spark, DIR).collect()]
-    assert any(u >= 50 for u, *_ in got)
+    got = [tuple(r) for r in QUERIES["recent_tracks"](spark, DIR).collect()]
     assert got == [(r.user_id, r.track_id, tracks[r.track_id]) for r in rows if r.track_id in tracks][20:120]
+    of_users = {}
+    for r in rows:
+        of_users.setdefault(r.user_id, []).append(r.track_id)
+    pages = {(r.user_id, r.place): r.track_id for r in QUERIES["library_page"](spark, DIR).collect()}
+    assert pages == {(u, k + 1): t for u, own in of_users.items() for k, t in enumerate(own[20:120])}
+
+
+def test_device_files_agree(spark):
+    """The page file's numbers are the library's: a playlist's entries name the contents of its own user."""
+    contents = {(r.user_id, r.content_id) for r in QUERIES["device_contents"](spark, DIR).collect()}
+    lists = {(r.user_id, r.playlist_id): r.name for r in QUERIES["device_playlists"](spark, DIR).collect()}
+    entries = QUERIES["device_playlist_contents"](spark, DIR).collect()
+    assert all((r.user_id, r.content_id) in contents and (r.user_id, r.playlist_id) in lists for r in entries)
+    for user in {u for u, _ in lists}:
+        names = [lists[u, n] for u, n in sorted(lists) if u == user]
+        assert names == sorted(names)

@@ -14,6 +14,15 @@ def content_hash(data: bytes) -> str:
     return f"{xxhash.xxh3_64_intdigest(data[:SAMPLE_WINDOW] + struct.pack('<Q', len(data))):016x}"
 
 
+def window_hash(head, size: int) -> str:
+    """The same from the first MiB, any buffer, and the length of the whole."""
+    import xxhash
+
+    state = xxhash.xxh3_64(head)
+    state.update(struct.pack("<Q", size))
+    return state.hexdigest()
+
+
 class ContentHasher:
     """The same over chunks of any size."""
 

@@ -5,6 +5,7 @@ import struct
 import numpy as np
 
 from .binary import beat_section, path_section, preview_section, section, seek_offsets, tiny_preview
+from .text import SLOT_COLORS
 
 #: Words of the file header after its length, and of section headers; fixed values of the format.
 FILE_WORDS = (1, 0x10000, 0x10000, 0)
@@ -51,12 +52,51 @@ def no_cues(kind: int) -> tuple[bytes, bytes]:
     return section(b"PCOB", struct.pack(">IHHI", kind, 0, 0, 0xFFFFFFFF), b""), section(b"PCO2", struct.pack(">IHH", kind, 0, 0), b"")
 
 
+#: Numbers of the cue kinds in plain and in extended lists; fixed values of the format.
+PLAIN_KINDS = {"cue": 0, "fade_in": 1, "fade_out": 2, "load": 3, "loop": 4}
+EXTENDED_KINDS = {"cue": 1, "loop": 2, "fade_in": 3, "fade_out": 4, "load": 5}
+NO_TIME = 0xFFFFFFFF
+
+
+def _ends(cue: dict) -> tuple[int, int]:
+    """Start in whole milliseconds and, of a loop, its end."""
+    loop = cue.get("loop_ms") or 0
+    return int(cue["time_ms"]), int(cue["time_ms"] + loop) if loop > 0 else NO_TIME
+
+
+def cue_list(cues: list[dict]) -> bytes:
+    """The plain list of all cues, an entry of 24 bytes each; nothing without cues is `no_cues`."""
+    body = b"".join(b"PCP\x01" + struct.pack(">5I", 20, c.get("slot") or 0, PLAIN_KINDS[c["kind"]], *_ends(c)) for c in cues)
+    return b"PCOB" + struct.pack(">3IHHI", 24, 24 + len(body), 1, 0, len(cues), NO_TIME) + body
+
+
+def extended_cues(cues: list[dict]) -> bytes:
+    """The extended lists, hot cues first, each if it has any: entries with comment and, of hot cues, a colour, by default
+    that of the slot."""
+    out = b""
+    for hot in (True, False):
+        some = [c for c in cues if bool(c.get("slot")) == hot]
+        body = b""
+        for c in some:
+            comment = c.get("comment")
+            note = b"" if comment is None else struct.pack(">I", len(comment.encode()) + 1) + comment.encode() + b"\0"
+            length = (56 if hot else 40) + (0 if comment is None else len(comment.encode()) + 4)
+            slot = c.get("slot") or 0
+            body += b"PCP2" + struct.pack(">6I8x", length - 4, slot, EXTENDED_KINDS[c["kind"]], *_ends(c), 0) + note
+            if hot:
+                body += bytes(c.get("color") or SLOT_COLORS[slot - 1 if 1 <= slot <= len(SLOT_COLORS) else 0]) + bytes(4)
+        if some:
+            sizes = sum((56 if hot else 40) + (0 if c.get("comment") is None else len(c["comment"].encode()) + 4) for c in some)
+            out += b"PCO2" + struct.pack(">3IHH", 16, 20 + sizes, int(hot), 0, len(some)) + body
+    return out
+
+
 def gains() -> bytes:
     return b"PWVC" + struct.pack(">II4H", 14, 20, 0, 100, 100, 100)
 
 
 def tag_files(path: str, beats: list, preview: list, color: np.ndarray, detail: np.ndarray, size: int, samples: int) -> dict[str, bytes]:
-    """The three files of a track without cues, by extension."""
+    """The three files of a track, by extension; their cue lists are empty, as players expect of a fresh export."""
     (hot, hot2), (memory, memory2) = no_cues(1), no_cues(0)
     where = path_section(path)
     return {

@@ -4,8 +4,37 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import pagefile as P
 from ..functions import pagewriter as W
 
+#: Tables of the device library with their columns; fixed values of the format.
+TABLES = {
+    "album": "album_id name artist_id image_id isComplation nameForSearch",
+    "artist": "artist_id name nameForSearch",
+    "category": "category_id menuItem_id sequenceNo isVisible",
+    "color": "color_id name",
+    "content": "content_id title titleForSearch subtitle bpmx100 length trackNo discNo artist_id_artist artist_id_remixer artist_id_originalArtist artist_id_composer artist_id_lyricist album_id genre_id label_id key_id color_id image_id djComment rating releaseYear releaseDate dateCreated dateAdded path fileName fileSize fileType bitrate bitDepth samplingRate isrc djPlayCount isHotCueAutoLoadOn isKuvoDeliverStatusOn kuvoDeliveryComment masterDbId masterContentId analysisDataFilePath analysedBits contentLink hasModified cueUpdateCount analysisDataUpdateCount informationUpdateCount",
+    "cue": "cue_id content_id kind colorTableIndex cueComment isActiveLoop beatLoopNumerator beatLoopDenominator inUsec outUsec in150FramePerSec out150FramePerSec inMpegFrameNumber outMpegFrameNumber inMpegAbs outMpegAbs inDecodingStartFramePosition outDecodingStartFramePosition inFileOffsetInBlock OutFileOffsetInBlock inNumberOfSampleInBlock outNumberOfSampleInBlock",
+    "genre": "genre_id name",
+    "history": "history_id sequenceNo name attribute history_id_parent",
+    "history_content": "history_id content_id sequenceNo",
+    "hotCueBankList": "hotCueBankList_id sequenceNo name image_id attribute hotCueBankList_id_parent",
+    "hotCueBankList_cue": "hotCueBankList_id cue_id sequenceNo",
+    "image": "image_id path",
+    "key": "key_id name",
+    "label": "label_id name",
+    "menuItem": "menuItem_id kind name",
+    "myTag": "myTag_id sequenceNo name attribute myTag_id_parent",
+    "myTag_content": "myTag_id content_id",
+    "playlist": "playlist_id sequenceNo name image_id attribute playlist_id_parent",
+    "playlist_content": "playlist_id content_id sequenceNo",
+    "property": "deviceName dbVersion numberOfContents createdDate backGroundColorType myTagMasterDBID",
+    "recommendedLike": "content_id_1 content_id_2 rating createdDate",
+    "sort": "sort_id menuItem_id sequenceNo isVisible isSelectedAsSubColumn",
+}
+#: Names of the page file's tables by kind.
+KINDS = {W.TRACKS: "tracks", W.GENRES: "genres", W.ARTISTS: "artists", W.ALBUMS: "albums", W.LABELS: "labels", W.KEYS: "keys", W.COLORS: "colors", W.TREE: "tree", W.ENTRIES: "entries", W.ARTWORK: "artwork", W.COLUMNS: "columns", W.PAIRS: "pairs", W.MAPPING: "mapping", W.SYNC: "sync"}
+
 
 def page_files(tracks: DataFrame, playlists: DataFrame, by: str) -> DataFrame:
     """`by`, content: the page file of the tracks and playlists of each key that has tracks, both in order of their id. Columns
@@ -20,3 +49,17 @@ def page_files(tracks: DataFrame, playlists: DataFrame, by: str) -> DataFrame:
                 yield pd.DataFrame({by: [key], "content": [W.page_file(own, more if more is not None else ())]})
 
     return rows(tracks).join(lists, by, "left").mapInPandas(run, f"{by} {dict(tracks.dtypes)[by]}, content binary")
+
+
+def row_counts(files: DataFrame, by: str) -> DataFrame:
+    """`by`, kind, n, errors and warnings: rows of each named table of each page file, and how much its checks find."""
+
+    def run(batches):
+        for pdf in batches:
+            for key, content in zip(pdf[by], pdf["content"], strict=True):
+                data = bytes(content)
+                errors, warnings = P.check(data)
+                counts = P.row_counts(data)
+                yield pd.DataFrame([(key, name, counts.get(kind, 0), len(errors), len(warnings)) for kind, name in KINDS.items()], columns=[by, "kind", "n", "errors", "warnings"])
+
+    return files.mapInPandas(run, f"{by} {dict(files.dtypes)[by]}, kind string, n long, errors int, warnings int")

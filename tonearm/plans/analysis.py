@@ -1,6 +1,8 @@
 """Signal analysis and encoders over the sample arrays."""
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import binary as B
@@ -24,31 +26,114 @@ def track_tempo(spark, d):
     return S.table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, bpm double, first_beat_ms double")
 
 
-@query("select vec_id, cast((b % 4) + 1 as int) as beat, round(b * 60000.0 / 128, 3) as time_ms, 12800 as tempo from (select vec_id, unnest(range(0, 22)) as b from embeddings)")
+_BPM = "(90 + vec_id % 91 * 0.5)"
+_BEATS = f"(select vec_id, cast(b % 4 as int) + 1 as beat, vec_id % 7 * 50 + b * (60000.0 / {_BPM}::double) as ms, cast(round({_BPM} * 100) as int) as tempo from embeddings, (select unnest(range(0, 60)) as b) where vec_id % 7 * 50 + b * (60000.0 / {_BPM}::double) < 10000)"
+
+
+def beats(spark, d):
+    """The grid of each clip, from its own tempo and first beat up to ten seconds."""
+    bpm, first = F.lit(90) + F.col("vec_id") % 91 * F.lit(0.5), (F.col("vec_id") % 7 * 50).cast("double")
+    step = F.lit(60000.0) / bpm
+    last = F.greatest(F.ceil((F.lit(10000) - first) / step).cast("int"), F.lit(1))
+    grid = S.table(spark, d, "embeddings").select("vec_id", bpm.alias("bpm"), first.alias("first"), step.alias("step"), F.explode(F.sequence(F.lit(0), last)).alias("b"))
+    ms = F.col("first") + F.col("b") * F.col("step")
+    return grid.select("vec_id", (F.col("b") % 4 + 1).cast("int").alias("beat"), ms.alias("ms"), F.round(F.col("bpm") * 100).cast("int").alias("tempo")).where("ms < 10000")
+
+
+@query(f"select vec_id, beat, round(ms, 3) as time_ms, tempo from {_BEATS}")
 def beat_grids(spark, d):
-    beats = F.sequence(F.lit(0), F.ceil(F.lit(10000) / (F.lit(60000.0) / 128)).cast("int") - 1)
-    b = F.col("b")
-    return S.table(spark, d, "embeddings").select("vec_id", F.explode(beats).alias("b")).select("vec_id", (b % 4 + 1).cast("int").alias("beat"), F.round(b * 60000.0 / 128, 3).alias("time_ms"), F.lit(12800).alias("tempo"))
+    return beats(spark, d).select("vec_id", "beat", F.round("ms", 3).alias("time_ms"), "tempo")
 
 
-@query()
+@query(f"select vec_id, concat('5051545A00000018', printf('%08X', 24 + 8 * count(*)), '0000000000080000', printf('%08X', count(*)), string_agg(printf('%04X%04X%08X', beat, tempo, cast(floor(ms) as bigint)), '' order by ms)) as section from {_BEATS} group by vec_id")
+def beat_sections(spark, d):
+    """The packed beat section of each clip, as hex: number, tempo and whole milliseconds of each beat."""
+    hexed = lambda c, n: F.lpad(F.hex(c.cast("long")), n, "0")
+    row = F.concat(hexed(F.col("beat"), 4), hexed(F.col("tempo"), 4), hexed(F.floor("ms"), 8))
+    rows = beats(spark, d).groupBy("vec_id").agg(F.sort_array(F.collect_list(F.struct("ms", row.alias("hex")))).alias("e"))
+    n = F.size("e")
+    return rows.select("vec_id", F.concat(F.lit("5051545A00000018"), hexed(24 + 8 * n, 8), F.lit("0000000000080000"), hexed(n, 8), F.array_join(F.transform("e", lambda x: x["hex"]), "")).alias("section"))
+
+
+#: Samples of a clip, each held so many times, that make the 400 segments of a preview.
+HELD = 25
+_SEGMENTS = "(select vec_id, i, sqrt((a * a + b * b + c * c + e * e) / 4) as rms, greatest(abs(a), abs(b), abs(c), abs(e)) as peak from (select vec_id, i, x[4 * i // 25 + 1] as a, x[(4 * i + 1) // 25 + 1] as b, x[(4 * i + 2) // 25 + 1] as c, x[(4 * i + 3) // 25 + 1] as e from (select vec_id, [cast(v as double) for v in embedding] as x from embeddings), (select unnest(range(0, 400)) as i)))"
+
+
+def segments(spark, d):
+    """Loudness and peak of each of the 400 segments of a clip whose samples are held HELD times."""
+    x = lambda k: F.element_at("embedding", F.expr(f"(4 * i + {k}) div {HELD} + 1").cast("int")).cast("double")
+    rows = S.table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(399))).alias("i"))
+    four = rows.select("vec_id", "i", *[x(k).alias(c) for k, c in enumerate("abce")])
+    return four.select("vec_id", F.col("i").cast("long").alias("i"), F.sqrt((F.col("a") * F.col("a") + F.col("b") * F.col("b") + F.col("c") * F.col("c") + F.col("e") * F.col("e")) / 4).alias("rms"), F.greatest(*[F.abs(c) for c in "abce"]).alias("peak"))
+
+
+@query(f"select vec_id, i, round(rms, 9) as rms, round(peak, 9) as peak, round(case when max(rms) over (partition by vec_id) > 0 then rms / max(rms) over (partition by vec_id) else rms end, 9) as envelope from {_SEGMENTS}")
+def segment_levels(spark, d):
+    """Loudness and peak by segment, and loudness against the clip's loudest segment."""
+    top = F.max("rms").over(Window.partitionBy("vec_id"))
+    scaled = F.when(top > 0, F.col("rms") / top).otherwise(F.col("rms"))
+    return segments(spark, d).select("vec_id", "i", F.round("rms", 9).alias("rms"), F.round("peak", 9).alias("peak"), F.round(scaled, 9).alias("envelope"))
+
+
+@query(f"""select vec_id, concat('5057415600000014000001A40000019000010000', string_agg(printf('%02X', (white << 5) | height), '' order by i)) as section from (select vec_id, i, cast(least(greatest(floor(rms / ref * 22), 0), 31) as int) as height,
+  cast(least(greatest(floor(((case when rms > 0.001 then peak / rms else 1 end) - 1) / 2), 0), 5) as int) as white from (select *, greatest(list_sort(list(rms) over (partition by vec_id))[381], 0.000001) as ref from {_SEGMENTS})) group by vec_id""")
 def preview_sections(spark, d):
-    def run(batches):
+    """The preview section of each clip, as hex: 400 columns of whiteness and height, against the 95th percentile by rank."""
+    rows = segments(spark, d)
+    ref = rows.groupBy("vec_id").agg(F.greatest(F.element_at(F.sort_array(F.collect_list("rms")), 381), F.lit(1e-6)).alias("ref"))
+    level = lambda c, most: F.least(F.greatest(F.floor(c), F.lit(0)), F.lit(most)).cast("int")
+    crest = F.when(F.col("rms") > 0.001, F.col("peak") / F.col("rms")).otherwise(1.0)
+    byte = F.shiftleft(level((crest - 1) / 2, 5), 5).bitwiseOR(level(F.col("rms") / F.col("ref") * 22, 31))
+    packed = rows.join(ref, "vec_id").select("vec_id", F.struct("i", F.lpad(F.hex(byte.cast("long")), 2, "0").alias("hex")).alias("e")).groupBy("vec_id").agg(F.sort_array(F.collect_list("e")).alias("e"))
+    return packed.select("vec_id", F.concat(F.lit("5057415600000014000001A40000019000010000"), F.array_join(F.transform("e", lambda x: x["hex"]), "")).alias("section"))
+
+
+@query("""select vec_id, arg_min(lag, -round(power, 9) * 1000 + lag / 1000000.0) as lag, round(max(power), 9) as power from (select a.vec_id, b.i - a.i as lag, avg(a.x * b.x) as power from
+  (select vec_id, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as x from embeddings) a join (select vec_id, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as x from embeddings) b on a.vec_id = b.vec_id and b.i - a.i between 4 and 32 group by 1, 2) group by vec_id""")
+def strongest_lags(spark, d):
+    """The lag of the highest mean autocorrelation, the first of equal ones."""
+    x = S.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.col("x").cast("double").alias("x"))
+    later = x.select("vec_id", F.explode(F.sequence(F.lit(4), F.lit(32))).alias("lag"), "i", F.col("x").alias("y")).withColumn("i", F.col("i") - F.col("lag"))
+    power = x.join(later, ["vec_id", "i"]).groupBy("vec_id", "lag").agg(F.avg(F.col("x") * F.col("y")).alias("power"))
+    best = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc(F.round("power", 9)), "lag"))
+    return power.withColumn("n", best).where("n = 1").select("vec_id", F.col("lag").cast("long").alias("lag"), F.round("power", 9).alias("power"))
+
+
+@query("select vec_id, cast(k as bigint) as frame, round((trunc(x[2 * k + 1] * 32767) / 32768 + trunc(x[2 * k + 2] * 32767) / 32768) / 2, 6) as mono, len(x) / 2 / 1000.0 as seconds from (select vec_id, [cast(greatest(least(v, 1), -1) as double) for v in embedding] as x from embeddings), (select unnest(range(0, 32)) as k)")
+def downmix(spark, d):
+    """Clips as the two channels of a 16-bit file, mixed down to one."""
+    level = lambda c: F.greatest(F.least(c.cast("double"), F.lit(1.0)), F.lit(-1.0)) * 32767
+    at = lambda k: level(F.element_at("embedding", (F.col("frame") * 2 + k).cast("int"))).cast("int") / F.lit(32768.0)
+    rows = S.table(spark, d, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(31).cast("long"))).alias("frame"))
+    return rows.select("vec_id", "frame", F.round((at(1) + at(2)) / 2, 6).alias("mono"), (F.size("embedding") / 2 / 1000.0).alias("seconds"))
+
+
+@query()
+def file_analyses(spark, d):
+    """Each clip written as a WAV file with tags, decoded again and analysed as a whole."""
+    from ..functions import audio as A
+
+    @F.pandas_udf("binary")
+    def as_file(ids: pd.Series, clips: pd.Series) -> pd.Series:
         import numpy as np
 
-        for pdf in batches:
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "section": [B.preview_section(G.preview(np.asarray(x, np.float32), 16)) for x in pdf["embedding"]]})
+        return pd.Series([A.wav(np.repeat(np.asarray(x, np.float32), 400), 8000, 2, {b"INAM": f"clip {i}", b"ICRD": "2021-05-06"}) for i, x in zip(ids, clips, strict=True)])
 
-    return S.table(spark, d, "embeddings").select("vec_id", "embedding").mapInPandas(run, "vec_id long, section binary")
+    files = S.table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.lit("fallback").alias("title"), as_file("vec_id", "embedding").alias("content"))
+    return A.analyses(files)
 
 
 @query()
 def content_identity(spark, d):
-    @F.pandas_udf("string")
-    def identity(data: pd.Series) -> pd.Series:
-        return data.map(B.content_hash)
+    """Identity of each text's bytes. Spark cuts the window and counts the bytes, so that only the window reaches Python."""
+
+    @F.arrow_udf("string")
+    def identity(head: pa.Array, size: pa.Array) -> pa.Array:
+        return pa.array([B.window_hash(h.as_buffer(), n) for h, n in zip(head, size.to_pylist(), strict=True)], pa.string())
 
-    return S.table(spark, d, "documents").select("doc_id", identity(F.col("text").cast("binary")).alias("hash"))
+    raw = F.col("text").cast("binary")
+    return S.table(spark, d, "documents").where("text is not null").select("doc_id", identity(F.substring(raw, 1, B.SAMPLE_WINDOW), F.octet_length("text").cast("long")).alias("hash"))
 
 
 @query()

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import pagewriter as W
+from ..functions import text as T
 from ..operators import device
 from ..sources import tables as S
 from .base import query
@@ -13,10 +14,10 @@ CATEGORIES = (
     (1, 1, 0, 0), (2, 2, 1, 1), (3, 3, 2, 1), (4, 4, 3, 1), (5, 17, 5, 1), (6, 5, 0, 0), (7, 6, 0, 0), (8, 7, 0, 0), (9, 8, 0, 0), (10, 9, 0, 0), (11, 10, 0, 0),
     (12, 11, 4, 1), (15, 13, 0, 0), (17, 24, 9, 1), (18, 20, 7, 1), (19, 14, 0, 0), (20, 15, 0, 0), (21, 16, 0, 0), (22, 19, 6, 1), (23, 18, 0, 0), (26, 27, 8, 1), (27, 22, 10, 1),
 )
-#: (order, menu item, place, shown); fixed values of the format.
+#: (order, menu item, place, shown, shown as a second column); fixed values of the format.
 SORTS = (
-    (0, 25, 1, 1), (1, 26, 2, 1), (2, 2, 3, 1), (3, 3, 4, 1), (4, 5, 5, 1), (5, 6, 6, 1), (6, 1, 0, 0), (7, 21, 0, 0), (8, 14, 0, 0),
-    (9, 8, 0, 0), (10, 9, 0, 0), (11, 10, 0, 0), (12, 11, 7, 1), (13, 15, 0, 0), (15, 13, 0, 0), (16, 23, 0, 0), (17, 22, 0, 0),
+    (0, 25, 1, 1, 0), (1, 26, 2, 1, 0), (2, 2, 3, 1, 0), (3, 3, 4, 1, 0), (4, 5, 5, 1, 0), (5, 6, 6, 1, 0), (6, 1, 0, 0, 0), (7, 21, 0, 0, 0), (8, 14, 0, 0, 0),
+    (9, 8, 0, 0, 0), (10, 9, 0, 0, 0), (11, 10, 0, 0, 0), (12, 11, 7, 1, 0), (13, 15, 0, 0, 0), (15, 13, 0, 0, 0), (16, 23, 0, 0, 0), (17, 22, 0, 0, 0),
 )
 #: Roots of the user's tags from 1 on; fixed values of the format.
 TAG_ROOTS = ("Genre", "Components", "Situation", "Untitled Column")
@@ -30,8 +31,23 @@ def own(*order):
     return Window.partitionBy("user_id").orderBy(*order)
 
 
-def values(rows) -> str:
-    return ", ".join(str(r) for r in rows)
+def numbered(spark, d):
+    """A user's tracks by track id, from 1: the numbers that every file of the device shares."""
+    return owned(spark, d).withColumn("content_id", F.row_number().over(own("track_id")).cast("long"))
+
+
+def listed(spark, d):
+    """A user's playlists by name, those without a name left out."""
+    named = S.playlists(spark, d).where("name <> ''")
+    return named.withColumn("number", F.row_number().over(own("name", "created_at", "playlist_id")).cast("long"))
+
+
+def entries(spark, d):
+    """Members by the numbers of their playlist and track, with their place in the playlist from 1."""
+    place = F.row_number().over(Window.partitionBy("playlist_id").orderBy("content_id")).cast("long")
+    ids = numbered(spark, d).select("user_id", "track_id", "content_id")
+    rows = S.members(spark, d).join(listed(spark, d).select("user_id", "playlist_id", "number"), "playlist_id").join(ids, ["user_id", "track_id"])
+    return rows.select("user_id", "playlist_id", "number", "content_id", place.alias("place"))
 
 
 @query("select user_id, row_number() over (partition by user_id order by min(track_id)) as artist_id, artist as name from user_tracks join tracks using (track_id) group by user_id, artist")
@@ -40,24 +56,37 @@ def device_artists(spark, d):
     return first.select("user_id", F.row_number().over(own("first")).cast("long").alias("artist_id"), F.col("artist").alias("name"))
 
 
-@query("select user_id, row_number() over (partition by user_id order by track_id) as content_id, title, dense_rank() over (partition by user_id order by first) as artist_id, '/Contents/' || artist || '/' || title || '.mp3' as path, 41 as analysed_bits from (select *, min(track_id) over (partition by user_id, artist) as first from user_tracks join tracks using (track_id))")
-def device_contents(spark, d):
-    first = F.min("track_id").over(Window.partitionBy("user_id", "artist"))
-    number = F.row_number().over(own("track_id")).cast("long")
-    path = F.concat(F.lit("/Contents/"), "artist", F.lit("/"), "title", F.lit(".mp3"))
-    return owned(spark, d).withColumn("first", first).select("user_id", number.alias("content_id"), "title", F.dense_rank().over(own("first")).cast("long").alias("artist_id"), path.alias("path"), F.lit(41).alias("analysed_bits"))
+_PART = "p_name as title, p_brand as artist, 80 + p_size + 0.25 as bpm, p_retailprice / 10 as seconds, p_size, p_partkey as track_id from part"
 
 
-@query("select user_id, n as playlist_id, n - 1 as sequence_no, name from (select *, row_number() over (partition by user_id order by created_at, playlist_id) as n from playlists)")
+@query(f"""select user_id, content_id, title, cast(null as varchar) as "titleForSearch", '' as subtitle, cast(round(bpm * 100) as bigint) as bpmx100, cast(round(seconds) as bigint) as length, p_size as "trackNo", 0 as "discNo",
+  dense_rank() over (partition by user_id order by first) as artist_id_artist, 0 as artist_id_lyricist, 0 as key_id, 0 as color_id, '' as "djComment", 0 as rating, 1950 + p_size as "releaseYear", '' as "releaseDate",
+  '2025-01-01' as "dateCreated", '2025-01-01' as "dateAdded", concat('/Contents/', printf('%016x', track_id), '.mp3') as path, concat(printf('%016x', track_id), '.mp3') as "fileName", p_size * 100000 as "fileSize", 1 as "fileType", 320 as bitrate, 16 as "bitDepth", 44100 as "samplingRate",
+  '' as isrc, 0 as "djPlayCount", 1 as "isHotCueAutoLoadOn", 1 as "isKuvoDeliverStatusOn", '' as "kuvoDeliveryComment", content_id as "masterContentId", printf('/PIONEER/USBANLZ/P%03d/%08X/ANLZ0000.DAT', (content_id // 256) % 1000, content_id) as "analysisDataFilePath", 41 as "analysedBits",
+  0 as "contentLink", 0 as "hasModified" from (select *, min(content_id) over (partition by user_id, artist) as first from numbered join (select {_PART}) using (track_id))""")
+def device_contents(spark, d):
+    """Content rows of the device library. Columns that a fresh export leaves null are not carried, but for the first."""
+    part = S.table(spark, d, "part").select(F.col("p_partkey").alias("track_id"), (80 + F.col("p_size") + 0.25).alias("bpm"), (F.col("p_retailprice") / 10).alias("seconds"), "p_size")
+    rows = numbered(spark, d).join(part, "track_id")
+    first = F.min("content_id").over(Window.partitionBy("user_id", "artist"))
+    n, file = F.col("p_size"), F.concat("hash", F.lit(".mp3"))
+    fixed = {"subtitle": "", "discNo": 0, "artist_id_lyricist": 0, "key_id": 0, "color_id": 0, "djComment": "", "rating": 0, "releaseDate": "", "dateCreated": "2025-01-01", "dateAdded": "2025-01-01", "fileType": 1, "bitrate": 320, "bitDepth": 16, "samplingRate": 44100, "isrc": "", "djPlayCount": 0, "isHotCueAutoLoadOn": 1, "isKuvoDeliverStatusOn": 1, "kuvoDeliveryComment": "", "analysedBits": 41, "contentLink": 0, "hasModified": 0}
+    return rows.withColumn("first", first).select(
+        "user_id", "content_id", "title", F.lit(None).cast("string").alias("titleForSearch"), F.round(F.col("bpm") * 100).cast("long").alias("bpmx100"), F.round("seconds").cast("long").alias("length"), n.alias("trackNo"),
+        F.dense_rank().over(own("first")).cast("long").alias("artist_id_artist"), (1950 + n).alias("releaseYear"), F.concat(F.lit("/Contents/"), file).alias("path"), file.alias("fileName"), (n * 100000).alias("fileSize"),
+        F.col("content_id").alias("masterContentId"), F.concat(F.lit("/"), T.tag_file_path(F.col("content_id"))).alias("analysisDataFilePath"), *[F.lit(v).alias(c) for c, v in fixed.items()],
+    )
+
+
+@query("select user_id, row_number() over (partition by user_id order by name, created_at, playlist_id) as playlist_id, row_number() over (partition by user_id order by name, created_at, playlist_id) - 1 as sequence_no, name, 0 as attribute, 0 as parent_id from playlists where name <> ''")
 def device_playlists(spark, d):
-    n = F.row_number().over(own("created_at", "playlist_id")).cast("long")
-    return S.playlists(spark, d).select("user_id", n.alias("playlist_id"), (n - 1).alias("sequence_no"), "name")
+    n = F.col("number")
+    return listed(spark, d).select("user_id", n.alias("playlist_id"), (n - 1).alias("sequence_no"), "name", F.lit(0).alias("attribute"), F.lit(0).alias("parent_id"))
 
 
-@query("select playlist_id, track_id, row_number() over (partition by playlist_id order by track_id) as sequence_no from members")
+@query("select l.user_id, l.number as playlist_id, c.content_id, row_number() over (partition by l.playlist_id order by c.content_id) as sequence_no from listed l join members m using (playlist_id) join numbered c on c.user_id = l.user_id and c.track_id = m.track_id")
 def device_playlist_contents(spark, d):
-    place = F.row_number().over(Window.partitionBy("playlist_id").orderBy("track_id"))
-    return S.members(spark, d).select("playlist_id", "track_id", place.cast("long").alias("sequence_no"))
+    return entries(spark, d).select("user_id", F.col("number").alias("playlist_id"), "content_id", F.col("place").alias("sequence_no"))
 
 
 @query("select user_id, username as device_name, count(track_id) as contents from users left join user_tracks using (user_id) group by 1, 2")
@@ -65,29 +94,69 @@ def device_properties(spark, d):
     return S.users(spark, d).join(S.user_tracks(spark, d), "user_id", "left").groupBy("user_id", F.col("username").alias("device_name")).agg(F.count("track_id").alias("contents"))
 
 
-@query(f"select i as menu_item_id, kind, chr(65530) || name || chr(65531) as name from (values {values((i, *r) for i, r in enumerate(W.COLUMN_NAMES, 1))}) t(i, kind, name)")
+@query("""select i as menu_item_id, kind, chr(65530) || name || chr(65531) as name from (values (1, 128, 'GENRE'), (2, 129, 'ARTIST'), (3, 130, 'ALBUM'), (4, 131, 'TRACK'), (5, 133, 'BPM'), (6, 134, 'RATING'), (7, 135, 'YEAR'), (8, 136, 'REMIXER'), (9, 137, 'LABEL'),
+  (10, 138, 'ORIGINAL ARTIST'), (11, 139, 'KEY'), (12, 141, 'CUE'), (13, 142, 'COLOR'), (14, 146, 'TIME'), (15, 147, 'BITRATE'), (16, 148, 'FILE NAME'), (17, 132, 'PLAYLIST'), (18, 152, 'HOT CUE BANK'),
+  (19, 149, 'HISTORY'), (20, 145, 'SEARCH'), (21, 150, 'COMMENTS'), (22, 140, 'DATE ADDED'), (23, 151, 'DJ PLAY COUNT'), (24, 144, 'FOLDER'), (25, 161, 'DEFAULT'), (26, 162, 'ALPHABET'), (27, 170, 'MATCHING')) t(i, kind, name)""")
 def device_menu(spark, d):
-    return spark.createDataFrame([(i, kind, f"￺{name}￻") for i, (kind, name) in enumerate(W.COLUMN_NAMES, 1)], "menu_item_id int, kind int, name string")
+    return spark.createDataFrame([(i, kind, f"\ufffa{name}\ufffb") for i, (kind, name) in enumerate(W.COLUMN_NAMES, 1)], "menu_item_id int, kind int, name string")
 
 
-@query(f"select * from (values {values(('category', *r) for r in CATEGORIES)}, {values(('sort', *r) for r in SORTS)}) t(list, id, menu_item_id, sequence_no, is_visible)")
+@query("""select 'category' as list, * , null::int as second_column from (values (1, 1, 0, 0), (2, 2, 1, 1), (3, 3, 2, 1), (4, 4, 3, 1), (5, 17, 5, 1), (6, 5, 0, 0), (7, 6, 0, 0), (8, 7, 0, 0), (9, 8, 0, 0), (10, 9, 0, 0), (11, 10, 0, 0), (12, 11, 4, 1), (15, 13, 0, 0), (17, 24, 9, 1),
+  (18, 20, 7, 1), (19, 14, 0, 0), (20, 15, 0, 0), (21, 16, 0, 0), (22, 19, 6, 1), (23, 18, 0, 0), (26, 27, 8, 1), (27, 22, 10, 1)) t(id, menu_item_id, sequence_no, is_visible) union all
+  select 'sort', * from (values (0, 25, 1, 1, 0), (1, 26, 2, 1, 0), (2, 2, 3, 1, 0), (3, 3, 4, 1, 0), (4, 5, 5, 1, 0), (5, 6, 6, 1, 0), (6, 1, 0, 0, 0), (7, 21, 0, 0, 0), (8, 14, 0, 0, 0), (9, 8, 0, 0, 0), (10, 9, 0, 0, 0), (11, 10, 0, 0, 0), (12, 11, 7, 1, 0),
+  (13, 15, 0, 0, 0), (15, 13, 0, 0, 0), (16, 23, 0, 0, 0), (17, 22, 0, 0, 0)) t(id, menu_item_id, sequence_no, is_visible, second_column)""")
 def device_lists(spark, d):
-    return spark.createDataFrame([("category", *r) for r in CATEGORIES] + [("sort", *r) for r in SORTS], "list string, id int, menu_item_id int, sequence_no int, is_visible int")
+    return spark.createDataFrame([("category", *r, None) for r in CATEGORIES] + [("sort", *r) for r in SORTS], "list string, id int, menu_item_id int, sequence_no int, is_visible int, second_column int")
 
 
-@query(f"select * from (values {values((i, i - 1, name, 1, 0) for i, name in enumerate(TAG_ROOTS, 1))}) t(tag_id, sequence_no, name, attribute, parent_id)")
+@query("select * from (values (1, 0, 'Genre', 1, 0), (2, 1, 'Components', 1, 0), (3, 2, 'Situation', 1, 0), (4, 3, 'Untitled Column', 1, 0)) t(tag_id, sequence_no, name, attribute, parent_id)")
 def device_tags(spark, d):
     return spark.createDataFrame([(i, i - 1, name, 1, 0) for i, name in enumerate(TAG_ROOTS, 1)], "tag_id int, sequence_no int, name string, attribute int, parent_id int")
 
 
-@query()
-def device_page_files(spark, d):
-    number = F.row_number().over(own("track_id"))
+@query("""select * from (values ('album', 6), ('artist', 3), ('category', 4), ('color', 2), ('content', 46), ('cue', 22), ('genre', 2), ('history', 5), ('history_content', 3), ('hotCueBankList', 6), ('hotCueBankList_cue', 3), ('image', 2), ('key', 2), ('label', 2), ('menuItem', 3),
+  ('myTag', 5), ('myTag_content', 2), ('playlist', 6), ('playlist_content', 3), ('property', 6), ('recommendedLike', 4), ('sort', 5)) t(name, columns)""")
+def device_tables(spark, d):
+    """The tables of the device library and their widths."""
+    return spark.createDataFrame([(name, len(columns.split())) for name, columns in device.TABLES.items()], "name string, columns int")
+
+
+def page_files(spark, d):
+    """The page file of each user: tracks and playlists under their shared numbers, each playlist in a folder of its own name's
+    first letter."""
     path = F.concat(F.lit("Contents/"), "artist", F.lit("/"), "title", F.lit(".mp3"))
     fixed = {"sample_rate": 44100, "bit_depth": 16, "bitrate": 320, "bpm": 128.0, "duration_secs": 180.0, "file_size": 5_000_000, "analyze_path": "PIONEER/USBANLZ"}
-    numbered = owned(spark, d).withColumn("id", number)
-    tracks = numbered.select("user_id", "id", "title", "artist", path.alias("file_path"), *[F.lit(v).alias(c) for c, v in fixed.items()])
-    rows = S.members(spark, d).join(S.playlists(spark, d), "playlist_id").join(numbered.select("user_id", "track_id", "id"), ["user_id", "track_id"])
-    lists = rows.groupBy("user_id", "playlist_id", "name").agg(F.sort_array(F.collect_list("id")).alias("track_ids"))
-    lists = lists.select("user_id", F.row_number().over(own("playlist_id")).alias("id"), F.lit(0).alias("parent_id"), "name", F.lit(False).alias("is_folder"), "track_ids")
-    return device.page_files(tracks, lists, "user_id").select("user_id", F.octet_length("content").alias("bytes"), F.crc32("content").alias("crc32"))
+    tracks = numbered(spark, d).select("user_id", F.col("content_id").cast("int").alias("id"), "title", "artist", path.alias("file_path"), *[F.lit(v).alias(c) for c, v in fixed.items()])
+    lists = entries(spark, d).groupBy("user_id", "playlist_id", "number").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "content_id"))), lambda e: e["content_id"].cast("int")).alias("track_ids"))
+    all_lists = listed(spark, d).select("user_id", "playlist_id", F.col("number").cast("int").alias("id"), "name").join(lists.drop("number"), ["user_id", "playlist_id"], "left")
+    own_lists = all_lists.select("user_id", "id", F.lit(1000).alias("parent_id"), "name", F.lit(False).alias("is_folder"), F.coalesce("track_ids", F.array().cast("array<int>")).alias("track_ids"))
+    folders = all_lists.select("user_id").distinct().select("user_id", F.lit(1000).alias("id"), F.lit(0).alias("parent_id"), F.lit("Library").alias("name"), F.lit(True).alias("is_folder"), F.array().cast("array<int>").alias("track_ids"))
+    return device.page_files(tracks, own_lists.unionByName(folders), "user_id")
+
+
+@query()
+def device_page_files(spark, d):
+    return page_files(spark, d).select("user_id", F.octet_length("content").alias("bytes"), F.crc32("content").alias("crc32"))
+
+
+@query("""select user_id, kind, n, 0 as errors, 0 as warnings from (select user_id, 'tracks' as kind, count(*) as n from user_tracks group by 1 union all select user_id, 'artists', count(distinct artist) from user_tracks join tracks using (track_id) group by 1
+  union all select user_id, 'tree', count(*) + 1 from playlists where name <> '' group by 1 union all select user_id, 'entries', count(*) from members join playlists using (playlist_id) where name <> '' group by 1
+  union all select user_id, k, c from (select distinct user_id from user_tracks), (values ('colors', 8), ('columns', 27), ('pairs', 22), ('mapping', 17), ('sync', 1), ('genres', 0), ('albums', 0), ('labels', 0), ('keys', 0), ('artwork', 0)) v(k, c)) order by 1, 2""")
+def page_row_counts(spark, d):
+    """Rows of each table by its chain of pages in each user's file, and what the checks of the file find."""
+    return device.row_counts(page_files(spark, d), "user_id")
+
+
+@query("""select user_id, 'artist' as dictionary, artist as name, dense_rank() over (partition by user_id order by min(content_id)) as code from numbered join tracks using (track_id) group by 1, 3 union all
+  select user_id, 'album', concat(artist, '/', p_type), dense_rank() over (partition by user_id order by min(content_id)) from numbered join tracks using (track_id) join part on p_partkey = track_id group by user_id, artist, p_type union all
+  select user_id, 'genre', p_type, dense_rank() over (partition by user_id order by min(content_id)) from numbered join part on p_partkey = track_id group by 1, 3 union all
+  select user_id, 'key', cast(p_size % 12 as varchar), dense_rank() over (partition by user_id order by min(content_id)) from numbered join part on p_partkey = track_id where p_size % 12 > 0 group by 1, 3""")
+def device_dictionaries(spark, d):
+    """Numbers of artists, albums (by name and artist), genres and keys in the order of each user's tracks; a track without a
+    key has none."""
+    part = S.table(spark, d, "part").select(F.col("p_partkey").alias("track_id"), "p_type", F.when(F.col("p_size") % 12 > 0, (F.col("p_size") % 12).cast("string")).alias("key"))
+    rows = numbered(spark, d).join(part, "track_id")
+    names = {"artist": F.col("artist"), "album": F.concat("artist", F.lit("/"), "p_type"), "genre": F.col("p_type"), "key": F.col("key")}
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("dictionary"), v.alias("name")) for k, v in names.items()]))
+    first = rows.select("user_id", "content_id", kinds.alias("x")).select("user_id", "content_id", "x.*").where("name is not null").groupBy("user_id", "dictionary", "name").agg(F.min("content_id").alias("first"))
+    return first.select("user_id", "dictionary", "name", F.dense_rank().over(Window.partitionBy("user_id", "dictionary").orderBy("first")).cast("long").alias("code"))

@@ -19,10 +19,11 @@ def job_counts(spark, d):
     return S.jobs(spark, d).groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("select kind, count(*) as total, count(*) filter (status in ('succeeded', 'dead')) as done, count(*) filter (status = 'pending') as pending, count(*) filter (status = 'running') as running, count(*) filter (status = 'failed') as failed from jobs group by 1")
+@query("select kind, count(*) as total, count(*) filter (status in ('succeeded', 'dead')) as done, count(*) filter (status = 'pending') as pending, count(*) filter (status = 'running') as running, count(*) filter (status = 'succeeded') as succeeded, count(*) filter (status = 'failed') as failed, count(*) filter (status = 'dead') as dead from jobs group by 1")
 def job_totals(spark, d):
     c = lambda *s: F.count_if(F.col("status").isin(*s))
-    return S.jobs(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("total"), c("succeeded", "dead").alias("done"), c("pending").alias("pending"), c("running").alias("running"), c("failed").alias("failed"))
+    each = ("pending", "running", "succeeded", "failed", "dead")
+    return S.jobs(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("total"), c("succeeded", "dead").alias("done"), *[c(s).alias(s) for s in each])
 
 
 @query("select count(*) as n from jobs where status = 'dead' and kind = 0 and dedup_key in ('1', '2', '3', '5', '8')")
@@ -40,21 +41,53 @@ def claim(spark, d):
     return Q.claim(S.jobs(spark, d), _now()).select("id", "kind", "status", "attempts", F.unix_micros(F.col("locked_until").cast("timestamp")).alias("lease_us"))
 
 
-@query("select kind, dedup_key from (select distinct kind, dedup_key from jobs) where (kind, dedup_key) not in (select (kind, dedup_key) from jobs where id % 50 = 0 and status in ('pending', 'running'))")
+def _requests(spark, d):
+    """Every job's key asked for again, and as many keys that are new, each with the trace of its request."""
+    old = S.jobs(spark, d).select((F.col("id") * 2).alias("request_id"), "kind", "dedup_key", F.concat(F.lit("request-"), "id").alias("traceparent"))
+    return old.union(old.select(F.col("request_id") + 1, "kind", F.concat(F.lit("new:"), "dedup_key"), "traceparent"))
+
+
+@query(f"""select kind, dedup_key, coalesce(a.id, (select max(id) from jobs) + row_number() over (partition by a.id is null order by request_id)) as job_id, a.id is null as fresh,
+  coalesce(a.traceparent, concat('request-', request_id // 2)) as traceparent, epoch_us(timestamp '{NOW}') as updated_us
+  from (select kind, dedup_key, min(request_id) as request_id from (select kind, dedup_key, id * 2 as request_id from jobs union all select kind, concat('new:', dedup_key), id * 2 + 1 from jobs) group by 1, 2)
+  left join (select kind, dedup_key, min(id) as id, arg_min(traceparent, id) as traceparent from jobs where status in ('pending', 'running') group by 1, 2) a using (kind, dedup_key)""")
 def enqueue(spark, d):
-    return Q.enqueue(S.jobs(spark, d).where("id % 50 = 0"), S.jobs(spark, d).select("kind", "dedup_key")).select("kind", "dedup_key")
+    got = Q.enqueue(S.jobs(spark, d), _requests(spark, d), _now())
+    return got.select("kind", "dedup_key", "job_id", "fresh", "traceparent", F.unix_micros(F.col("updated_at").cast("timestamp")).alias("updated_us"))
+
 
+_ENDED = f"null::bigint as lease_us, case when status in ('succeeded', 'dead') then epoch_us(timestamp '{NOW}') end as finished_us, epoch_us(timestamp '{NOW}') as updated_us"
 
-@query("select kind, dedup_key from (select kind, dedup_key from jobs union select kind, concat('new:', dedup_key) from jobs) k where not exists (select 1 from jobs j where j.kind = k.kind and j.dedup_key = k.dedup_key and j.status in ('pending', 'running'))")
-def enqueue_all(spark, d):
-    keys = S.jobs(spark, d).select("kind", "dedup_key")
-    fresh = keys.withColumn("dedup_key", F.concat(F.lit("new:"), "dedup_key"))
-    return Q.enqueue(S.jobs(spark, d), keys.union(fresh)).select("kind", "dedup_key")
 
+def _times(rows):
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return rows.select("id", "status", us("locked_until").alias("lease_us"), us("finished_at").alias("finished_us"), us("updated_at").alias("updated_us"), "last_error")
 
-@query("select id, case when id % 3 = 0 then 'succeeded' when attempts >= max_attempts then 'dead' else 'failed' end as status from jobs where status = 'running'")
+
+@query(f"select id, status, {_ENDED}, case when status <> 'succeeded' then concat('error ', attempts) end as last_error from (select id, attempts, case when id % 3 = 0 then 'succeeded' when attempts >= max_attempts then 'dead' else 'failed' end as status from jobs where status = 'running')")
 def settle(spark, d):
-    return Q.settled(S.jobs(spark, d), F.col("id") % 3 == 0).select("id", "status")
+    return _times(Q.settled(S.jobs(spark, d), F.col("id") % 3 == 0, _now(), F.concat(F.lit("error "), "attempts")))
+
+
+@query(f"select id, status, {_ENDED}, 'gone' as last_error from (select id, 'dead' as status from jobs where kind = 1 and status <> 'succeeded')")
+def mark_dead(spark, d):
+    return _times(Q.mark_dead(S.jobs(spark, d), (F.col("kind") == 1) & (F.col("status") != "succeeded"), F.lit("gone"), _now()))
+
+
+@query("select id, string_split(traceparent, '-')[2] as trace_id, string_split(traceparent, '-')[3] as parent_span, 'consumer' as span from jobs where status = 'running' and length(traceparent) = 55")
+def queue_traces(spark, d):
+    parts = F.split("traceparent", "-")
+    return S.jobs(spark, d).where("status = 'running'").where(F.length("traceparent") == 55).select("id", F.element_at(parts, 2).alias("trace_id"), F.element_at(parts, 3).alias("parent_span"), F.lit("consumer").alias("span"))
+
+
+@query(f"""select worker, case when started > coalesce(ended, timestamp '1970-01-01') then 'busy' else 'idle' end as state,
+  case when started > coalesce(ended, timestamp '1970-01-01') then epoch(timestamp '{NOW}') - floor(epoch(started)) < 864000 else epoch(timestamp '{NOW}') - floor(epoch(tick)) < 259200 end as live, claim_ok and store_ok as ready
+  from (select user_id as worker, max(ts) filter (event_type = 'view') as started, max(ts) filter (event_type = 'purchase') as ended, max(ts) as tick, arg_max(event_type, ts) <> 'error' as claim_ok, count(*) filter (event_type = 'signup') > 0 as store_ok from events group by 1)""")
+def worker_health(spark, d):
+    at = lambda kind: F.max(F.when(F.col("event_type") == kind, F.col("ts")))
+    seen = S.table(spark, d, "events").groupBy(F.col("user_id").alias("worker")).agg(at("view").alias("started"), at("purchase").alias("ended"), F.max("ts").alias("last_tick"), (F.max_by("event_type", "ts") != "error").alias("claim_ok"), (F.count_if(F.col("event_type") == "signup") > 0).alias("store_ok"))
+    busy = F.col("started") > F.coalesce("ended", F.lit("1970-01-01").cast("timestamp_ntz"))
+    return Q.health(seen.withColumn("job_started", F.when(busy, F.col("started"))), _now(), 864000, 259200).select("worker", "state", "live", "ready")
 
 
 @query(f"select id, epoch_us(timestamp '{NOW}' + interval 300 second) as lease_us from jobs where status = 'running'")

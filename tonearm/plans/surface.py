@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.pagewriter import COLOR_NAMES
 from ..operators import relational as R
 from ..sources import tables as S
 from .base import query
@@ -14,15 +15,37 @@ def json_projection(spark, d):
     return S.table(spark, d, "events").select("event_id", F.from_json("props", "k bigint, missing string").alias("p")).select("event_id", "p.k")
 
 
-@query("select event_id from events where event_type is null or event_type like 'vi%' or event_type = 'click'")
+_MIME = "case event_type when 'view' then 'audio/mpeg' when 'click' then 'application/octet-stream' when 'purchase' then 'video/mp4' when 'error' then 'text/plain' end"
+
+
+@query(f"select event_id from (select event_id, {_MIME} as mime from events) where mime is null or mime like 'audio/%' or mime = 'application/octet-stream'")
 def audio_files(spark, d):
-    kind = F.col("event_type")
-    return S.table(spark, d, "events").where(kind.isNull() | kind.startswith("vi") | (kind == "click")).select("event_id")
+    mime = F.create_map(*map(F.lit, ("view", "audio/mpeg", "click", "application/octet-stream", "purchase", "video/mp4", "error", "text/plain")))[F.col("event_type")]
+    return S.table(spark, d, "events").where(T.audio_mime(mime)).select("event_id")
 
 
-@query("select p_partkey as id, p_name as title from part where p_brand not in ('Brand#11', 'Brand#22')")
+@query("select p_partkey as id, title from (select p_partkey, case p_partkey % 9 when 3 then 'Private video' when 5 then 'Deleted video' else p_name end as title from part) where title not in ('Private video', 'Deleted video')")
 def without_private(spark, d):
-    return S.table(spark, d, "part").where(~F.col("p_brand").isin("Brand#11", "Brand#22")).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"))
+    n = F.col("p_partkey") % 9
+    titled = S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(n == 3, "Private video").when(n == 5, "Deleted video").otherwise(F.col("p_name")).alias("title"))
+    return titled.where(T.listed(F.col("title")))
+
+
+@query("""select doc_id, coalesce(nullif(title, ''), 'Unknown Title') as title, coalesce(nullif(uploader, ''), 'Unknown') as uploader, coalesce(nullif(url, ''), nullif(page, ''), 'https://www.youtube.com/watch?v=' || vid, '') as url, coalesce(vid, '') as video_id
+  from (select doc_id, case doc_id % 3 when 0 then '' when 1 then source end as title, case when doc_id % 2 = 0 then lang end as uploader, case when doc_id % 5 = 0 then '' when doc_id % 5 = 1 then concat('u:', doc_id) end as url, case when doc_id % 7 = 0 then 'page' end as page, case when doc_id % 4 > 0 then cast(doc_id as varchar) end as vid from documents)""")
+def search_results(spark, d):
+    """Defaults of missing fields of a remote search, the address from the id where none is given."""
+    n = F.col("doc_id")
+    found = S.table(spark, d, "documents").select("doc_id", F.when(n % 3 == 0, "").when(n % 3 == 1, F.col("source")).alias("title"), F.when(n % 2 == 0, F.col("lang")).alias("uploader"), F.when(n % 5 == 0, "").when(n % 5 == 1, F.concat(F.lit("u:"), "doc_id")).alias("url"), F.when(n % 7 == 0, "page").alias("webpage_url"), F.when(n % 4 > 0, n.cast("string")).alias("id"))
+    return found.select("doc_id", *T.search_defaults())
+
+
+@query("""select event_id, message, message like '%Video unavailable%' or message like '%Private video%' or message like '%Sign in to confirm your age%' or message like '%Sign in to confirm you''re not a bot%' as permanent
+  from (select event_id, concat('ERROR: ', case event_id % 7 when 0 then 'Video unavailable' when 1 then 'Private video. Sign in' when 2 then 'Sign in to confirm your age' when 3 then 'Sign in to confirm you''re not a bot' when 4 then 'timed out' when 5 then 'private video' else event_type end) as message from events)""")
+def permanent_errors(spark, d):
+    n = F.col("event_id") % 7
+    said = F.when(n == 0, "Video unavailable").when(n == 1, "Private video. Sign in").when(n == 2, "Sign in to confirm your age").when(n == 3, "Sign in to confirm you're not a bot").when(n == 4, "timed out").when(n == 5, "private video").otherwise(F.col("event_type"))
+    return S.table(spark, d, "events").select("event_id", F.concat(F.lit("ERROR: "), said).alias("message")).withColumn("permanent", T.permanent_error(F.col("message")))
 
 
 @query("select doc_id, coalesce(case when doc_id % 2 = 0 then source end, case when doc_id % 3 = 0 then lang end, 'Unknown Artist') as artist from documents")
@@ -46,9 +69,16 @@ def request_kinds(spark, d):
     return S.table(spark, d, "pages").withColumn("q", asked).select("page_id", kind.alias("kind"), F.regexp_extract("q", "[?&]list=([^&]+)", 1).alias("list"))
 
 
-@query("select doc_id, trim(source) <> '' and strlen(lang) >= 2 as valid, not (source like '%/%' or source = '') as relative from documents")
+_PATHS = "case doc_id % 6 when 0 then source when 1 then concat('/', source) when 2 then concat('a/../', source) when 3 then 'a//b' when 4 then '' else concat('a/', source, '/./b') end"
+
+
+@query(f"select doc_id, trim(source) <> '' and strlen(password) >= 8 as valid, trim(lang) <> '' as named, not regexp_matches(path, '(^|/)[.]{{0,2}}(/|$)') as relative from (select *, substr(text, 1, cast(doc_id % 12 as int)) as password, {_PATHS} as path from documents)")
 def validation(spark, d):
-    return S.table(spark, d, "documents").select("doc_id", ((F.trim("source") != "") & (F.octet_length("lang") >= 2)).alias("valid"), (T.relative(F.col("source")) & ~F.col("source").contains("/")).alias("relative"))
+    """Names that aren't blank, passwords of eight bytes, paths that stay under their root."""
+    n, source = F.col("doc_id") % 6, F.col("source")
+    path = F.when(n == 0, source).when(n == 1, F.concat(F.lit("/"), source)).when(n == 2, F.concat(F.lit("a/../"), source)).when(n == 3, "a//b").when(n == 4, "").otherwise(F.concat(F.lit("a/"), source, F.lit("/./b")))
+    password = F.substring("text", F.lit(1), (F.col("doc_id") % 12).cast("int"))
+    return S.table(spark, d, "documents").select("doc_id", T.credentials(source, password).alias("valid"), (F.trim("lang") != "").alias("named"), T.relative(path).alias("relative"))
 
 
 @query("select event_id, coalesce(status, -1) as status, coalesce(status >= 500, false) as server_error, status is null or status >= 400 as client_error from (select event_id, event_type, case when event_id % 10 = 9 then null else cast((event_id % 5 + 1) * 100 as int) end as status from events) where not (event_type = 'view' and coalesce(status, 0) < 400)")
@@ -65,11 +95,11 @@ def log_levels(spark, d):
     return S.table(spark, d, "events").withColumn("line", line).select("event_id", F.when(debug, "debug").otherwise("info").alias("level"), F.when(debug, F.expr("substring(line, 9)")).otherwise(F.col("line")).alias("message"))
 
 
-@query("select p_partkey as id, title in (select safe from (select translate(p_name, '/\\:*?\"<>|', '_________') as safe from part where p_partkey % 2 = 0)) as skipped from (select p_partkey, translate(p_name, '/\\:*?\"<>|', '_________') as title from part)")
+@query("select p_partkey as id, title from (select p_partkey, concat(translate(concat(p_brand, ' - ', p_name), '/\\:*?\"<>|', '_________'), '.mp3') as title from part) where title not in (select concat(translate(concat(p_brand, ' - ', p_name), '/\\:*?\"<>|', '_________'), '.mp3') from part where p_size > 25)")
 def skip_downloads(spark, d):
-    named = S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.safe_name(F.col("p_name")).alias("title"))
-    there = named.where("id % 2 = 0").select("title").distinct().withColumn("there", F.lit(True))
-    return named.join(there, "title", "left").select("id", F.coalesce("there", F.lit(False)).alias("skipped"))
+    """Tracks to download: those whose file name isn't there yet."""
+    named = S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size", F.concat(T.safe_name(F.concat("p_brand", F.lit(" - "), "p_name")), F.lit(".mp3")).alias("title"))
+    return R.missing(named.select("id", "title"), named.where("p_size > 25"), "title").select("id", "title")
 
 
 @query("select user_id, url from (select distinct user_id, event_type as url from events) where (user_id, url) not in (select (user_id, event_type) from events where event_id % 5 = 0)")
@@ -79,9 +109,12 @@ def not_completed(spark, d):
     return R.delete(urls.distinct(), done, ["user_id", "url"])
 
 
-@query("select track_id, title from (select l_partkey as track_id, row_number() over (partition by l_partkey order by l_orderkey, l_linenumber) as n from lineitem) join tracks using (track_id) where n = 1 and track_id % 4 <> 0")
+@query("""select playlist_id, place, title from (select playlist_id, track_id, row_number() over (partition by playlist_id order by first, track_id) as place from (select l_orderkey as playlist_id, l_partkey as track_id, min(l_linenumber) as first from lineitem group by 1, 2)) join tracks using (track_id) where artist <> 'Brand#22'""")
 def first_match(spark, d):
-    return S.table(spark, d, "lineitem").select(F.col("l_partkey").alias("track_id")).dropDuplicates(["track_id"]).join(S.tracks(spark, d).where("track_id % 4 <> 0"), "track_id").select("track_id", "title")
+    """The tracks of each list in the order of its hashes, the first place of a repeated one; unknown hashes drop out."""
+    first = S.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("playlist_id"), F.col("l_partkey").alias("track_id")).agg(F.min("l_linenumber").alias("first"))
+    placed = first.withColumn("place", F.row_number().over(Window.partitionBy("playlist_id").orderBy("first", "track_id")).cast("long"))
+    return placed.join(S.tracks(spark, d).where("artist <> 'Brand#22'"), "track_id").select("playlist_id", "place", "title")
 
 
 @query("select track_id, title from (select * from tracks where title ilike '%a%' order by title, track_id limit 10) order by title, track_id limit 5")
@@ -97,10 +130,11 @@ def path_parts(spark, d):
     return S.table(spark, d, "pages").withColumn("path", path).select("page_id", T.extension(F.col("path")).alias("ext"), T.stem(F.col("path")).alias("stem"), T.parent(F.col("path")).alias("parent"))
 
 
-@query("select p_partkey as id, case p_partkey % 8 when 0 then 1 when 1 then 4 when 2 then 4 when 3 then 5 when 4 then 11 when 5 then 12 when 6 then 12 else 0 end as code from part")
+@query("""select p_partkey as id, case p_partkey % 8 when 0 then 1 when 1 then 4 when 2 then 4 when 3 then 5 when 4 then 11 when 5 then 12 when 6 then 12 else 0 end as code,
+  case p_partkey % 8 when 0 then 'MP3 File' when 1 then 'M4A File' when 2 then 'M4A File' when 3 then 'FLAC File' when 4 then 'WAV File' when 5 then 'AIFF File' when 6 then 'AIFF File' else 'OGG File' end as kind from part""")
 def file_types(spark, d):
     ext = F.element_at(F.array(*map(F.lit, ("MP3", "m4a", "AAC", "flac", "Wav", "aiff", "aif", "ogg"))), (F.col("p_partkey") % 8 + 1).cast("int"))
-    return S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.file_type(ext).alias("code"))
+    return S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.file_type(ext).alias("code"), T.kind(ext).alias("kind"))
 
 
 @query("select p_partkey as id, cast(trunc(bpm * 100) as int) as page_tempo, cast(round(bpm * 100) as int) as grid_tempo, printf('%04d-01-01', 1950 + p_size) as released from (select *, p_size + p_partkey % 100 / 3 as bpm from part)")
@@ -117,24 +151,10 @@ def band_bytes(spark, d):
     return S.table(spark, d, "part").select(F.col("p_partkey").alias("id"), scaled.cast("int").alias("scaled"), F.shiftleft(third, 5).bitwiseOR(s.bitwiseAND(F.lit(31))).alias("detail"))
 
 
-@query("select doc_id, unnest(range(0, 4)) as i, (strlen(text) * unnest(range(0, 4))) // 4 as offset_bytes from documents")
+@query("select doc_id, i, (strlen(text) * i) // 400 as offset_bytes from documents, (select unnest(range(0, 400)) as i)")
 def seek_points(spark, d):
-    rows = S.table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("i"))
-    return rows.select("doc_id", "i", F.floor(F.col("n") * F.col("i") / 4).alias("offset_bytes"))
-
-
-@query("select * from (values (0, 'pdb', 1), (1, 'library', 2), (2, 'auxiliary', 2)) t(place, kind, files) union all select 3, 'tags', cast(3 * count(*) as int) from labels union all select 4, 'audio', cast(count(*) as int) from labels")
-def export_manifest(spark, d):
-    n = S.artifacts(spark, d).agg(F.count(F.lit(1)).alias("n"))
-    fixed = spark.createDataFrame([(0, "pdb", 1), (1, "library", 2), (2, "auxiliary", 2)], "place int, kind string, files int")
-    per = n.select(F.explode(F.array(F.struct(F.lit(3).alias("place"), F.lit("tags").alias("kind"), (3 * F.col("n")).cast("int").alias("files")), F.struct(F.lit(4).alias("place"), F.lit("audio").alias("kind"), F.col("n").cast("int").alias("files")))).alias("x")).select("x.*")
-    return fixed.union(per)
-
-
-@query("select event_id, case when event_type = 'view' then event_id % 600 < 300 else event_id % 600 < 120 end as live from events")
-def liveness(spark, d):
-    age = F.col("event_id") % 600
-    return S.table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "view", age < 300).otherwise(age < 120).alias("live"))
+    rows = S.table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(399).cast("long"))).alias("i"))
+    return rows.select("doc_id", "i", F.expr("n * i div 400").alias("offset_bytes"))
 
 
 @query("""select vec_id, min(i) filter (rise > 0.3 * top) as first from (select *, max(rise) over (partition by vec_id) as top from
@@ -154,10 +174,6 @@ def trace_context(spark, d):
     return S.table(spark, d, "events").withColumn("t", trace).select("event_id", F.element_at(F.split("t", "-"), 2).alias("trace_id"), ((F.length("t") == 55) & (F.size(F.split("t", "-")) == 4)).alias("valid"))
 
 
-#: The device's colours by id; fixed values of the format.
-COLORS = ("Pink", "Red", "Orange", "Yellow", "Green", "Aqua", "Blue", "Purple")
-
-
 @query("select * from (values (1, 'Pink'), (2, 'Red'), (3, 'Orange'), (4, 'Yellow'), (5, 'Green'), (6, 'Aqua'), (7, 'Blue'), (8, 'Purple')) t(color_id, name)")
 def color_rows(spark, d):
-    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(COLORS)], "color_id int, name string")
+    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(COLOR_NAMES)], "color_id int, name string")

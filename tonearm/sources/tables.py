@@ -44,7 +44,7 @@ def user_tracks(spark, d):
 def jobs(spark, d):
     e = table(spark, d, "events")
     status = F.create_map(*[F.lit(x) for kv in STATUS.items() for x in kv])[F.col("event_type")]
-    return e.select(F.col("event_id").alias("id"), (F.col("event_id") % 2).alias("kind"), F.col("user_id").cast("string").alias("dedup_key"), F.col("props").alias("payload"), status.alias("status"), (F.col("event_id") % 7).cast("int").alias("attempts"), F.lit(5).alias("max_attempts"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("interval 300 seconds")).alias("locked_until"))
+    return e.select(F.col("event_id").alias("id"), (F.col("event_id") % 2).alias("kind"), F.col("user_id").cast("string").alias("dedup_key"), F.col("props").alias("payload"), status.alias("status"), (F.col("event_id") % 7).cast("int").alias("attempts"), F.lit(5).alias("max_attempts"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("interval 300 seconds")).alias("locked_until"), F.concat_ws("-", F.lit("00"), F.md5(F.col("event_id").cast("string")), F.substring(F.md5("event_type"), 1, 16), F.lit("01")).alias("traceparent"))
 
 
 def artifacts(spark, d):
@@ -59,6 +59,13 @@ def inside(location: str) -> str:
 
 
 def blobs(spark: SparkSession, root: str, extensions: tuple = AUDIO, recursive: bool = True) -> DataFrame:
-    """Files under `root` by extension, any case: path, length, modificationTime, content."""
+    """Files under `root`, or right in it, by extension of any case, sorted by path: path, length, modificationTime, content."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    return read.load(root).where(F.lower(F.substring_index("path", ".", -1)).isin(*extensions))
+    depth = F.size(F.split(F.substring_index("path", root.rstrip("/") + "/", -1), "/"))
+    found = read.load(root).where(F.lower(F.substring_index("path", ".", -1)).isin(*extensions))
+    return (found if recursive else found.where(depth == 1)).orderBy("path")
+
+
+def blob(spark: SparkSession, root: str, location: str) -> DataFrame:
+    """One file by its path under `root`."""
+    return spark.read.format("binaryFile").load(f"{root}/{inside(location)}")

@@ -28,17 +28,25 @@ def step(status: str | None, attempts: int, job_id: int | None, event: str, new_
     return status, attempts, job_id
 
 
-def transitions(events: DataFrame, most: int = 5) -> DataFrame:
+def transitions(events: DataFrame, most: int = 5, lease_ms: int | None = None) -> DataFrame:
     """`events` is a stream of (event_id, kind, dedup_key, event). Emits the state of the key's job after each event, in order
-    of event_id within a micro-batch. State is one row a key."""
+    of event_id within a micro-batch. State is one row a key. With `lease_ms`, a running job whose worker is silent for that
+    long (by the clock of the stream, as leases are) is lost, and the loss comes out as an event."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, attempts, job = state.get if state.exists else (None, 0, None)
+        if state.hasTimedOut:
+            arrived = [(-1, "lost")]
+        else:
+            arrived = sorted((r.event_id, r.event) for pdf in batches for r in pdf.itertuples())
         out = []
-        for row in pd.concat(batches).sort_values("event_id").itertuples():
-            status, attempts, job = step(status, attempts, job, row.event, row.event_id, most)
-            out.append((key[0], key[1], job, row.event, status, attempts))
+        for event_id, event in arrived:
+            status, attempts, job = step(status, attempts, job, event, event_id, most)
+            out.append((key[0], key[1], job, event, status, attempts))
         state.update((status, attempts, job))
+        if lease_ms is not None and status == "running":
+            state.setTimeoutDuration(lease_ms)
         yield pd.DataFrame(out, columns=["kind", "dedup_key", "job_id", "event", "status", "attempts"])
 
-    return events.groupBy("kind", "dedup_key").applyInPandasWithState(run, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.NoTimeout if lease_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    return events.groupBy("kind", "dedup_key").applyInPandasWithState(run, OUT, STATE, "append", timeout)
