@@ -42,3 +42,14 @@ def test_page_files_by_key(spark):
     got = {r.device: bytes(r.content) for r in page_files(own, more, "device").collect()}
     by_id = sorted((t for t in tracks if t["device"] == "p"), key=lambda t: t["id"])
     assert got == {"p": page_file(by_id), "q": page_file(by_id, lists)}
+
+
+def test_page_diffs_by_kind(spark):
+    from tonearm.functions.pagewriter import page_file
+    from tonearm.operators.device import page_diffs
+
+    fixed = {"analyze_path": "/a", "sample_rate": 44100, "bit_depth": 16, "bitrate": 320, "bpm": 120.5, "duration_secs": 61.0, "file_size": 9, "file_path": "x/1.mp3"}
+    track = lambda title: page_file([{"id": 1, "title": title, "artist": "a", **fixed}])
+    rows = lambda *c: spark.createDataFrame([(k, x) for k, x in enumerate(c)], "k long, content binary")
+    got = page_diffs(rows(track("one"), track("one"), track("one")), rows(track("two"), track("one"), track("one") + bytes(4096)), "k").collect()
+    assert {(r.k, r.kind, r.pages, r.runs) for r in got} == {(0, "tracks", 1, 1), (2, "only_right", 1, 0)}

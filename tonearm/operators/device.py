@@ -63,3 +63,24 @@ def row_counts(files: DataFrame, by: str) -> DataFrame:
                 yield pd.DataFrame([(key, name, counts.get(kind, 0), len(errors), len(warnings)) for kind, name in KINDS.items()], columns=[by, "kind", "n", "errors", "warnings"])
 
     return files.mapInPandas(run, f"{by} {dict(files.dtypes)[by]}, kind string, n long, errors int, warnings int")
+
+
+def page_diffs(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
+    """`by`, kind, pages and runs: how many pages of each kind of table differ between two files of a key, and in how many runs
+    of bytes; 'only_left' and 'only_right' count the pages that one file has more, 'file' is the header."""
+    pairs = left.select(by, F.col("content").alias("a")).join(right.select(by, F.col("content").alias("b")), by)
+
+    def run(batches):
+        for pdf in batches:
+            for key, a, b in zip(pdf[by], pdf["a"], pdf["b"], strict=True):
+                one = bytes(a)
+                found = P.diff(one, bytes(b))
+                pages, runs = {}, {}
+                for page, *_ in found["runs"]:
+                    kind = "file" if page == 0 else KINDS.get(int.from_bytes(one[page * P.PAGE + 8 : page * P.PAGE + 12], "little"), "other")
+                    pages.setdefault(kind, set()).add(page)
+                    runs[kind] = runs.get(kind, 0) + 1
+                rows = [(key, k, len(pages[k]), runs[k]) for k in pages] + [(key, k, len(found[k]), 0) for k in ("only_left", "only_right") if found[k]]
+                yield pd.DataFrame(rows, columns=[by, "kind", "pages", "runs"])
+
+    return pairs.mapInPandas(run, f"{by} {dict(left.dtypes)[by]}, kind string, pages long, runs long")

@@ -160,3 +160,10 @@ def device_dictionaries(spark, d):
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("dictionary"), v.alias("name")) for k, v in names.items()]))
     first = rows.select("user_id", "content_id", kinds.alias("x")).select("user_id", "content_id", "x.*").where("name is not null").groupBy("user_id", "dictionary", "name").agg(F.min("content_id").alias("first"))
     return first.select("user_id", "dictionary", "name", F.dense_rank().over(Window.partitionBy("user_id", "dictionary").orderBy("first")).cast("long").alias("code"))
+
+
+@query()
+def page_file_diffs(spark, d):
+    """Each user's page file against the next user's: differing pages and runs by kind of table."""
+    files = page_files(spark, d)
+    return device.page_diffs(files, files.withColumn("user_id", F.col("user_id") - 1), "user_id")
