@@ -18,7 +18,7 @@ BATCH = 4 << 20
 
 
 def squeeze(data) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def expand(data: bytes) -> bytes:
