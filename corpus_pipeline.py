@@ -18,11 +18,17 @@ def _fresh(docs: DataFrame, name: str) -> str:
 
 
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """`docs` saved with a number for each row, and the name of that column: rows are told apart by it alone, so null ids,
-    repeated ids and repeated rows are rows like others. Numbers ascend with a hash of the whole row within a partition's
-    range only, so a choice among rows goes by that hash first."""
+    """`docs` with a name for each row, and the name of that column: rows are told apart by it alone, so null ids, repeated ids
+    and repeated rows are rows like others. A row of Parquet files is named by its file and place; rows of anything else are
+    saved and numbered, which costs a copy. The name begins with a hash of the whole row, so that a choice by the least name
+    doesn't hang on files; rows with equal hashes are the same."""
     name = _fresh(docs, "row_number")
-    own = F.struct(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash"), F.monotonically_increasing_id().alias("number"))
+    whole = F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("hash")
+    scan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation"
+    if scan and "_metadata" not in {c.lower() for c in docs.columns}:
+        place = [F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("number")]
+        return docs.withColumn(name, F.struct(whole, *place)), name
+    own = F.struct(whole, F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("number"))
     return saved(docs.withColumn(name, own), "numbered"), name
 
 
