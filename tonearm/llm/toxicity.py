@@ -238,15 +238,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     words, idf = words[common], np.log((1 + total) / frequency[common])
     taken = np.bincount(toxic, minlength=2)
     weight = np.array([population.get(int(c), 0) / max(1, taken[c]) for c in toxic])
-    found = []
+    best = None
     for power in POWERS:
         index = BlockMaxIndex(Space(words, idf**power), bags, names, toxic)
         x = _fold_votes(index, bags)
         beta = calibrated(x, toxic, weight)
         p = chance(np.hstack((x, np.ones((len(x), 1)))), beta)
-        found.append((float(-(weight @ np.log(np.where(toxic == 1, p, 1 - p)))), power, beta, index))
-    _, _, beta, index = min(found, key=lambda f: f[:2])
-    return Model(index, beta)
+        loss = float(-(weight @ np.log(np.where(toxic == 1, p, 1 - p))))
+        if best is None or loss < best[0]:  # the others' indexes go
+            best = loss, index, beta
+    return Model(*best[1:])
 
 
 def _fold_votes(index: BlockMaxIndex, bags) -> np.ndarray:
