@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tonearm.llm import components, exact_dedup, lm_score, lz_fingerprint, mixing, near_dedup, sharding, sketch, sp_codec, text, token_output, toxicity, window_dedup
+from tonearm.llm import common, components, exact_dedup, lm_score, lz_fingerprint, mixing, near_dedup, sharding, sketch, sp_codec, text, token_output, toxicity, window_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -593,7 +593,7 @@ def test_written_shards(spark, rows, docs, tmp_path):
 def test_buckets_by_id_and_hash():
     bounds = [(3, 5), (7, -9), (7, 0), (7, 4), (9, 1)]
     rows = [(a, h) for a in (1, 3, 5, 7, 9, 11) for h in (-20, -9, 0, 3, 4, 5, 6)]
-    got = lz_fingerprint._bucket(np.array([a for a, _ in rows]), np.array([h for _, h in rows]), bounds)
+    got = common.bucket_of_bounds(np.array([a for a, _ in rows]), np.array([h for _, h in rows]), bounds)
     assert got.tolist() == [sum(b <= r for b in bounds) for r in rows]
 
 

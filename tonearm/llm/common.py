@@ -3,16 +3,18 @@
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch sent to a Python worker. Texts reach 100 KB and more, so batches stay small.
-ARROW_ROWS = 512
+#: Rows and bytes of an Arrow batch sent to a Python worker. Texts reach 100 KB and more, so batches stay small.
+ARROW_ROWS, ARROW_BYTES = 512, 4 << 20
 
 
 def arrow_limits(spark: SparkSession) -> None:
     """Bounds the Arrow batches of every Python stage that follows in this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -97,3 +99,22 @@ def numbered(rows: DataFrame, parts: DataFrame) -> DataFrame:
         starts.append((part, before))
         before += n
     return rows.join(F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _before long")), "_part").withColumn("_at", F.col("_before") + F.col("_place")).drop("_before")
+
+
+def range_starts(narrow: DataFrame, n: int) -> list[tuple[int, int]]:
+    """The least (at, h) of each of about `n` equal ranges of the rows of `narrow`, in order: a row for each range reaches the
+    driver. The second column splits values of the first that many rows share."""
+    placed, _ = ranked(narrow.select("at", "h"), [F.col("at"), F.col("h")], n, "ranges")
+    firsts = sorted(tuple(r.first) for r in placed.groupBy("_part").agg(F.min(F.struct("at", "h")).alias("first")).collect())
+    dropped(placed)
+    return firsts
+
+
+def bucket_of_bounds(at: np.ndarray, h: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
+    """How many of the sorted bounds are not above each (at, h)."""
+    first, second = (np.array([b[k] for b in bounds], np.int64) for k in (0, 1))
+    low, high = np.searchsorted(first, at, "left"), np.searchsorted(first, at, "right")
+    for x, y in set(zip(low[high > low].tolist(), high[high > low].tolist(), strict=True)):  # ids that are bounds themselves
+        own = np.flatnonzero((low == x) & (high == y))
+        low[own] += np.searchsorted(second[x:y], h[own], "right")
+    return low

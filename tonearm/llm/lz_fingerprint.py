@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, dropped, parts_for, ranked, saved
+from .common import arrow_limits, bucket_of_bounds, dropped, parts_for, range_starts, saved
 from .sketch import sketch
 from .text import U, byte_symbols, mix, rolling, stretch
 
@@ -142,16 +142,6 @@ def _compared(batches):
         yield out
 
 
-def _bucket(at: np.ndarray, h: np.ndarray, bounds: list[tuple[int, int]]) -> np.ndarray:
-    """How many of the sorted bounds are not above each (at, h)."""
-    first, second = (np.array([b[k] for b in bounds], np.int64) for k in (0, 1))
-    low, high = np.searchsorted(first, at, "left"), np.searchsorted(first, at, "right")
-    for x, y in set(zip(low[high > low].tolist(), high[high > low].tolist(), strict=True)):  # ids that are bounds themselves
-        own = np.flatnonzero((low == x) & (high == y))
-        low[own] += np.searchsorted(second[x:y], h[own], "right")
-    return low
-
-
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`, with the columns of OUT. Documents are ordered by id, null ids first and rows of one
     id by a hash of the text, then by text; after the last comes the first, so a lone document is its own next. A null text
@@ -165,16 +155,14 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.lit(lowest)).alias("at"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h"))
     narrow = saved(rows.select("at", "h", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")), "places")
     n = min(100_000, parts_for(narrow, F.col("n"), 8 << 20))
-    placed, _ = ranked(narrow, [F.col("at"), F.col("h")], n, "buckets")
+    firsts = range_starts(narrow, n)
     dropped(narrow)
-    firsts = sorted(tuple(r.first) for r in placed.groupBy("_part").agg(F.min(F.struct("at", "h")).alias("first")).collect())  # a row for each bucket
-    dropped(placed)
     if not firsts:
         return spark.createDataFrame([], OUT)
 
     @F.pandas_udf("int")
     def bucket_of(at: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series(_bucket(at.to_numpy(), h.to_numpy(), firsts[1:]).astype(np.int32))
+        return pd.Series(bucket_of_bounds(at.to_numpy(), h.to_numpy(), firsts[1:]).astype(np.int32))
 
     dealt = rows.withColumn("bucket", bucket_of("at", "h"))
     also = spark.createDataFrame([(*first, (i - 1) % len(firsts)) for i, first in enumerate(firsts)], "at long, h long, tail_bucket int")

@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits, parts_for, saved
+from .common import arrow_limits, bucket_of_bounds, dropped, parts_for, range_starts, saved
 from .text import SPACE, U, chunks, mix, text_bytes
 
 BLOCK_IDS = 1 << 16
 #: Pieces remembered by a worker, some 200 bytes each. At half of them the older half is dropped, but for what is used again.
-_REMEMBERED = 1_000_000
+_REMEMBERED = 400_000
 #: Bytes of a piece that is told from others by comparison of three words; longer ones are compared singly.
 _SHORT = 24
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
@@ -188,7 +188,7 @@ class Encoder:
 BLOCKS = "part int, block int, first long, n_ids long, doc_ids array<long>, lengths array<int>, packed binary"
 
 
-def _encoded(path: str, end_id: int, bits: int):
+def _encoded(path: str, end_id: int, bits: int, bounds: list[tuple[int, int]]):
     wide = np.dtype("<u2" if bits <= 16 else "<u4")
 
     def run(batches):
@@ -198,6 +198,7 @@ def _encoded(path: str, end_id: int, bits: int):
         encoder = Encoder.of(path)
         for batch in batches:
             data, at = text_bytes(batch.column("text"))
+            part = pa.array(bucket_of_bounds(batch.column("at").to_numpy(), batch.column("h").to_numpy(), bounds).astype(np.int32))
             for x, y in chunks(at):
                 ids, n = encoder.encode(data[at[x] : at[y]], at[x : y + 1] - at[x])
                 cut = np.concatenate(([0], np.cumsum(n + 1)))
@@ -206,7 +207,7 @@ def _encoded(path: str, end_id: int, bits: int):
                 own[cut[1:] - 1] = False
                 out[own] = ids
                 packed = pa.BinaryArray.from_buffers(pa.binary(), y - x, [None, pa.py_buffer((cut * wide.itemsize).astype(np.int32)), pa.py_buffer(out.tobytes())])
-                yield pa.record_batch([batch.column("doc_id").slice(x, y - x), pa.array(n + 1), packed], ["doc_id", "n", "ids"])
+                yield pa.record_batch([*(batch.column(c).slice(x, y - x) for c in ("doc_id", "at", "h")), part.slice(x, y - x), pa.array(n + 1), packed], ["doc_id", "at", "h", "part", "n", "ids"])
 
     return run
 
@@ -215,9 +216,7 @@ def _written(bits: int):
     wide = np.dtype("<u2" if bits <= 16 else "<u4")
 
     def blocks(batches):
-        from pyspark import TaskContext
-
-        part, block, first = TaskContext.get().partitionId(), 0, 0
+        part, block, first = None, 0, 0
         names, lengths, held, n = [], [], [], 0
 
         def closed():
@@ -225,15 +224,16 @@ def _written(bits: int):
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([block], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([names], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int32())), pa.array([packed], pa.binary())], ["part", "block", "first", "n_ids", "doc_ids", "lengths", "packed"])
 
         for batch in batches:
-            for name, size, ids in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids")), strict=True):
+            for own, name, size, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n", "ids")), strict=True):
+                if own != part or n >= BLOCK_IDS:
+                    if names:
+                        yield closed()
+                    block, first = (0, 0) if own != part else (block + 1, first + n)
+                    part, names, lengths, held, n = own, [], [], [], 0
                 names.append(name)
                 lengths.append(size)
                 held.append(ids)
                 n += size
-                if n >= BLOCK_IDS:
-                    yield closed()
-                    first += n
-                    names, lengths, held, n, block = [], [], [], 0, block + 1
         if names:
             yield closed()
 
@@ -242,17 +242,20 @@ def _written(bits: int):
 
 def write_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, partitions: int | None = None) -> tuple[DataFrame, int]:
     """Encodes every whole text (null: empty) with the tokenizer file at `path`, appends `end_id`, and writes blocks in
-    ascending id order, null ids first; rows that share an id are ordered by a hash of their ids, then by the ids. Returns the
-    written dataset and the bits of an id. Part p holds ids before those of part p + 1, and blocks of a part follow one
-    another. Texts are read once; a null or repeated id's rows spread over parts by that hash."""
+    ascending id order, null ids first; rows that share an id are ordered by a hash of their text, then by their ids. Returns
+    the written dataset and the bits of an id. Part p holds ids before those of part p + 1, and blocks of a part follow one
+    another. Parts are ranges of id and hash, so rows without an id spread; texts are encoded once, and only ids move."""
     arrow_limits(docs.sparkSession)
     bits = width(Encoder.of(path).vocabulary)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ids = rows.mapInArrow(_encoded(path, end_id, bits), "doc_id long, n long, ids binary").withColumn("h", F.xxhash64("ids"))
-    ids = saved(ids, "token-ids")
-    order = [F.col("doc_id").asc_nulls_first(), F.col("h")]
-    n = partitions or parts_for(ids, F.col("n") * 4)
-    dealt = ids.repartitionByRange(n, *order).sortWithinPartitions(*order, "ids").drop("h")
+    place = [F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("at"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("h")]
+    narrow = saved(docs.select(*place, F.coalesce(F.octet_length(text_col), F.lit(0)).alias("n")), "token-places")
+    n = partitions or parts_for(narrow, F.col("n"))
+    bounds = range_starts(narrow, n)[1:]
+    dropped(narrow)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *place, F.col(text_col).alias("text"))
+    ids = rows.mapInArrow(_encoded(path, end_id, bits, bounds), "doc_id long, at long, h long, part int, n long, ids binary")
+    dealt = ids.repartition(n, "part").sortWithinPartitions("part", "at", "h", "ids").select("part", "doc_id", "n", "ids")
     return saved(dealt.mapInArrow(_written(bits), BLOCKS), "token-blocks"), bits
 
 
