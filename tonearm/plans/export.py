@@ -8,7 +8,7 @@ from ..functions import identity as I
 from ..functions import text as T
 from ..sources import tables as S
 from .base import query
-from .device import listed, numbered
+from .device import listed, numbered, numbers
 
 _FOLD = "list_reduce(list_prepend(14695981039346656037::hugeint, bytes), lambda h, b: (xor(h, b) * 1099511628211::hugeint) % 18446744073709551616::hugeint)"
 _SEED = f"""(select user_id, case when fold = 0 then 1311768467463790320::hugeint else fold end as seed from (select user_id, {_FOLD} as fold from (select user_id, list(byte::hugeint order by part, a, b) as bytes from (
@@ -17,11 +17,13 @@ _SEED = f"""(select user_id, case when fold = 0 then 1311768467463790320::hugein
 
 
 def seeds(spark, d):
-    """The seed of each user's device: their track numbers, then the names of their playlists in order."""
-    ids = numbered(spark, d).groupBy("user_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list("content_id")), I.id_bytes)).alias("ids"))
-    names = listed(spark, d).groupBy("user_id").agg(F.flatten(F.transform(F.sort_array(F.collect_list("name")), I.text_bytes)).alias("names"))
-    none = F.array().cast("array<long>")
-    return ids.join(names, "user_id", "left").select("user_id", I.seed(F.concat("ids", F.coalesce("names", none))).alias("seed"))
+    """The seed of each user's device: their track numbers, then the names of their playlists in order. A user with playlists
+    alone has one too."""
+    ids = numbers(spark, d).select("user_id", F.lit(0).alias("part"), F.col("content_id").alias("at"), F.lit("").alias("name"))
+    names = listed(spark, d).select("user_id", F.lit(1).alias("part"), F.col("number").alias("at"), "name")
+    rows = ids.unionByName(names).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("part", "at", "name"))).alias("rows"))
+    data = F.transform("rows", lambda r: F.when(r["part"] == 0, I.id_bytes(r["at"])).otherwise(I.text_bytes(r["name"])))
+    return rows.select("user_id", I.seed(F.flatten(data)).alias("seed"))
 
 
 _UUID = "printf('%08x%08x', (seed >> 32)::bigint, (seed & 4294967295)::bigint) || printf('%08x%08x', (turned >> 32)::bigint, (turned & 4294967295)::bigint)"
