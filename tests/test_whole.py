@@ -87,3 +87,28 @@ def odd_library(at, spark):
 def test_every_owner_has_an_identity(spark, tmp_path):
     got, want = odd_library(tmp_path, spark)("device_identity")
     assert got == want and len(got) == 5
+
+
+def test_strongest_lags_of_odd_clips(spark, tmp_path):
+    """Against the SQL: repeated and unknown ids, unknown samples, clips too short, two lags almost level; and no row for each sample."""
+    level = [0.0] * 40
+    level[0], level[4], level[7] = 1.0, 3.6, 0.100000001 * 33
+    wave = lambda n, k: [((i * k) % 11 - 5) / 4 for i in range(n)]
+    rows = [(1, level), (2, wave(64, 3)), (3, wave(64, 5)), (3, wave(50, 7)), (3, wave(3, 2)), (4, wave(4, 3)), (5, wave(5, 3)), (6, []), (7, None), (8, [None] * 12), (9, [None, 1.0] * 10), (None, wave(64, 3)), (10, [None, *wave(40, 3)]), (10, wave(41, 4)), (11, wave(64, 9)), (11, wave(64, 9))]
+    rows += [(k, wave(64, k % 10 + 1)) for k in range(20, 60)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    db = duckdb.connect()
+    for name in ("customer", "part", "orders", "lineitem", "events"):
+        db.execute(f"create view {name} as select * from '{DIR}/{name}.parquet'")
+    db.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in db.execute(ORACLE["strongest_lags"]).fetchall()}
+    for size in ("10000", "3"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found = QUERIES["strongest_lags"](spark, str(tmp_path))
+            got = found.collect()
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(got) == len(want) and {r.vec_id: (r.lag, r.power) for r in got} == want
+    assert want[1] == (4, 0.100000001) and want[8] == (None, None) and not {4, 6, 7} & set(want)
+    assert "Generate" not in found._jdf.queryExecution().toString()

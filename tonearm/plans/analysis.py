@@ -92,12 +92,10 @@ def preview_sections(spark, d):
 @query("""select vec_id, arg_min(lag, -round(power, 9) * 1000 + lag / 1000000.0) as lag, round(max(power), 9) as power from (select a.vec_id, b.i - a.i as lag, avg(a.x * b.x) as power from
   (select vec_id, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as x from embeddings) a join (select vec_id, generate_subscripts(embedding, 1) as i, cast(unnest(embedding) as double) as x from embeddings) b on a.vec_id = b.vec_id and b.i - a.i between 4 and 32 group by 1, 2) group by vec_id""")
 def strongest_lags(spark, d):
-    """The lag of the highest mean autocorrelation, the first of equal ones."""
-    x = S.table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", "i", F.col("x").cast("double").alias("x"))
-    later = x.select("vec_id", F.explode(F.sequence(F.lit(4), F.lit(32))).alias("lag"), "i", F.col("x").alias("y")).withColumn("i", F.col("i") - F.col("lag"))
-    power = x.join(later, ["vec_id", "i"]).groupBy("vec_id", "lag").agg(F.avg(F.col("x") * F.col("y")).alias("power"))
-    best = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc(F.round("power", 9)), "lag"))
-    return power.withColumn("n", best).where("n = 1").select("vec_id", F.col("lag").cast("long").alias("lag"), F.round("power", 9).alias("power"))
+    """The lag of the highest mean autocorrelation: a later lag stands back by a billionth of power each, and the
+    first of equal ones counts."""
+    clips = S.table(spark, d, "embeddings").select("vec_id", "embedding").where("vec_id is not null")
+    return clips.repartition("vec_id").sortWithinPartitions("vec_id").mapInArrow(G.strongest_lags, "vec_id long, lag long, power double")
 
 
 @query("select vec_id, cast(k as bigint) as frame, round((trunc(x[2 * k + 1] * 32767) / 32768 + trunc(x[2 * k + 2] * 32767) / 32768) / 2, 6) as mono, len(x) / 2 / 1000.0 as seconds from (select vec_id, [cast(greatest(least(v, 1), -1) as double) for v in embedding] as x from embeddings), (select unnest(range(0, 32)) as k)")
