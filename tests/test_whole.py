@@ -112,3 +112,10 @@ def test_strongest_lags_of_odd_clips(spark, tmp_path):
         assert len(got) == len(want) and {r.vec_id: (r.lag, r.power) for r in got} == want
     assert want[1] == (4, 0.100000001) and want[8] == (None, None) and not {4, 6, 7} & set(want)
     assert "Generate" not in found._jdf.queryExecution().toString()
+
+
+def test_rows_of_every_file_are_counted(spark, tmp_path):
+    """Against the SQL; no file leaves the worker that wrote it."""
+    got, want = odd_library(tmp_path, spark)("page_row_counts")
+    assert got == want
+    assert "content" not in QUERIES["page_row_counts"](spark, DIR)._jdf.queryExecution().toString()
