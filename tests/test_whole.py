@@ -119,3 +119,16 @@ def test_rows_of_every_file_are_counted(spark, tmp_path):
     got, want = odd_library(tmp_path, spark)("page_row_counts")
     assert got == want
     assert "content" not in QUERIES["page_row_counts"](spark, DIR)._jdf.queryExecution().toString()
+
+
+def test_neighbours_files_are_compared_where_they_are_written(spark):
+    """Against files that are written by themselves, over the ends of blocks."""
+    from tonearm.operators.device import BLOCK, page_diffs
+    from tonearm.plans.device import page_files
+
+    files = spark.createDataFrame(page_files(spark, DIR).collect(), "user_id long, content binary")
+    want = page_diffs(files, files.selectExpr("user_id - 1 as user_id", "content"), "user_id").collect()
+    found = QUERIES["page_file_diffs"](spark, DIR)
+    got = found.collect()
+    assert sorted(got) == sorted(want) and len({r.user_id // BLOCK for r in got if r.user_id % BLOCK == BLOCK - 1}) > 1
+    assert "content" not in found._jdf.queryExecution().toString()

@@ -97,7 +97,8 @@ def page_diffs(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
     return pairs.mapInPandas(run, f"{by} {dict(left.dtypes)[by]}, kind string, pages long, runs long")
 
 
-#: What every track of a library is given.
+#: Users that share a block, and what every track of a library is given.
+BLOCK = 64
 FIXED = {"sample_rate": 44100, "bit_depth": 16, "bitrate": 320, "bpm": 128.0, "duration_secs": 180.0, "file_size": 5_000_000, "analyze_path": "PIONEER/USBANLZ"}
 #: Tables of which a user's own rows decide whether they are listed.
 OWN = ("tracks", "artists", "tree", "entries")
@@ -121,6 +122,14 @@ def in_order(library: DataFrame, by: str = "user_id") -> DataFrame:
     return library.repartition(by).sortWithinPartitions(*order).drop("created_at", "playlist_id")
 
 
+def blocks(library: DataFrame) -> DataFrame:
+    """The same by block: BLOCK users, and the one that follows the last."""
+    first = lambda user: user - F.pmod(user, F.lit(BLOCK))
+    user = F.col("user_id")
+    known = library.where(user.isNotNull())
+    return in_order(known.withColumn("block", F.explode(F.array_distinct(F.array(first(user), first(user - 1))))), "block")
+
+
 def _libraries(batches):
     """(block, user, tracks, lists) from rows in order, which without a block are one block; a track that comes again counts once. Only one user's rows are held,
     beside a batch."""
@@ -184,3 +193,22 @@ def library_counts(library: DataFrame) -> DataFrame:
         yield from _written(rows, ["user_id", "kind", "n", "errors", "warnings"], [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int32()])
 
     return in_order(library).mapInArrow(run, "user_id long, kind string, n long, errors int, warnings int")
+
+
+def library_diffs(library: DataFrame) -> DataFrame:
+    """user_id, kind, pages and runs as in page_diffs, of each user's file against that of the user one number on. Users travel in
+    blocks, and files are compared where they were written, two at a time."""
+
+    def found(batches):
+        last = None
+        for block, user, tracks, lists in _libraries(batches):
+            if tracks:
+                file = own_file(tracks, lists)
+                if last and last[:2] == (block, user - 1):
+                    yield from ((user - 1, *x) for x in _differing(last[2], file))
+                last = (block, user, file)
+
+    def run(batches):
+        yield from _written(found(batches), ["user_id", "kind", "pages", "runs"], [pa.int64(), pa.string(), pa.int64(), pa.int64()])
+
+    return blocks(library).mapInArrow(run, "user_id long, kind string, pages long, runs long")
