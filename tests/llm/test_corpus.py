@@ -696,3 +696,19 @@ def test_windows_that_many_batches_hold(spark):
             seen.add(b[s : s + 100])
         want[i] = len(gone)
     assert len(rows) > window_dedup.HOT and got == want
+
+
+def test_small_tables_need_no_python_workers(spark, toxic, rows, monkeypatch):
+    """The driver's small tables in the pipeline: their rows reach executors without Python workers beside the operators'."""
+    tables, make = [], type(spark).createDataFrame
+    docs, labels = toxic[:2]
+    documents = frame(spark, rows)
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, *a, **b: tables.append(make(self, *a, **b)) or tables[-1])
+    toxicity.fit(docs.select("doc_id", "text"), labels)
+    mixing.mix_documents(documents).count()
+    assert len(tables) >= 2
+    for table in tables:
+        assert "PythonRDD" not in table._jdf.queryExecution().toRdd().toDebugString()
+    some = common.small_table(spark, [(1, None), (2, 3)], pa.schema([("a", pa.int64()), ("b", pa.int32())]))
+    assert some.dtypes == [("a", "bigint"), ("b", "int")] and sorted(map(tuple, some.collect())) == [(1, None), (2, 3)]
+    assert common.small_table(spark, [], pa.schema([("a", pa.int64())])).count() == 0

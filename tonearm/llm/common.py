@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,12 @@ def clear(spark: SparkSession) -> None:
     _removed(spark, work_dir(spark))
 
 
+def small_table(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """Rows of the driver as a table that only JVMs read. From a list, Spark would have two more Python workers and a daemon of
+    their own on each executor copy the rows, which stay beside those of the operators: over 80 MB."""
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema))
+
+
 def released(spark: SparkSession) -> None:
     """Lets the context cleaner drop shuffle files whose plans are no longer referenced."""
     import gc
@@ -98,7 +105,7 @@ def numbered(rows: DataFrame, parts: DataFrame) -> DataFrame:
     for part, n in sorted((r._part, r._rows) for r in parts.collect()):  # a row for each partition
         starts.append((part, before))
         before += n
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(starts, "_part int, _before long")), "_part").withColumn("_at", F.col("_before") + F.col("_place")).drop("_before")
+    return rows.join(F.broadcast(small_table(rows.sparkSession, starts, pa.schema([("_part", pa.int32()), ("_before", pa.int64())]))), "_part").withColumn("_at", F.col("_before") + F.col("_place")).drop("_before")
 
 
 def range_starts(narrow: DataFrame, n: int) -> list[tuple[int, int]]:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_limits
+from .common import arrow_limits, small_table
 from .text import SIGNS, U, chunks, text_bytes, word_hashes
 
 #: The bound of the sample that is learnt from: examples of a class, and bytes of the longest text that may be one.
@@ -225,7 +225,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     for c in (0, 1):
         some = able.where(F.col("toxic") == c).orderBy("u", "doc_id").limit(EXAMPLES).select("doc_id", "toxic")
         chosen = some if chosen is None else chosen.union(some)
-    picked = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, toxic int")
+    picked = small_table(spark, [tuple(r) for r in chosen.collect()], pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32())]))
     rows = docs.join(F.broadcast(picked), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= EXAMPLE_BYTES).select("doc_id", "toxic", "text").mapInArrow(_bags, "doc_id long, toxic int, words binary, counts binary").collect()
     rows.sort(key=lambda r: (bytes(r.words), bytes(r.counts), -r.toxic, r.doc_id))
     rows = list({(bytes(r.words), bytes(r.counts)): r for r in reversed(rows)}.values())[::-1]  # copies tell nothing new
